@@ -32,8 +32,21 @@ def safe_div(a, b) -> Column:
     return col(a) / nullif_zero(b)
 
 
+def xdiv(a, b) -> Column:
+    """Exact-ish NUMERIC division: the dividend is widened to DECIMAL(38,18)
+    so the quotient keeps >= 16 decimals before any ROUND (PostgreSQL NUMERIC
+    semantics; integer/integer never goes through DOUBLE)."""
+    return col(a).cast("decimal(38,18)") / nullif_zero(b)
+
+
 def ratio(a, b, scale: int = 4) -> Column:
-    return F.round(safe_div(a, b), scale)
+    """``ROUND(a / NULLIF(b, 0), scale)`` in decimal arithmetic."""
+    return F.round(xdiv(a, b), scale)
+
+
+def xavg(c) -> Column:
+    """AVG of an exact column as NUMERIC (sum / count in decimal)."""
+    return xdiv(F.sum(c), F.count(c))
 
 
 def money(c, scale: int = 2) -> Column:
