@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.plans import business, marts, table_functions, views
+from shelfwise.plans import business, marts, predictions, quality, table_functions, views
 from shelfwise.sources.catalog import Catalog
 
 
@@ -61,6 +61,8 @@ def build_registry() -> dict[str, Callable[[Catalog], DataFrame]]:
     reg.update(views.VIEWS)
     reg.update(marts.MARTS_BASIC)
     reg["m05"], reg["m09"] = _m05, _m09
+    reg["m14"] = predictions.ml_predictions
+    reg["m15"] = quality.data_quality_summary
     reg.update(business.QUERIES)
     reg["fn1_monthly_revenue"] = table_functions.monthly_revenue
     reg["fn2_store_performance"] = _fn2

@@ -56,6 +56,11 @@ CALENDAR_START, CALENDAR_END = "1994-12-01", "2002-12-31"
 SNAPSHOT_FIRST, SNAPSHOT_LAST = "2000-09-01", "2001-08-01"
 LABOR_FIRST, LABOR_LAST = "1995-01-01", "2001-08-01"
 INVENTORY_AS_OF = "2001-07-15 00:00:00"
+PRODUCTS_UPDATED_AT = "2001-06-01 00:00:00"
+# Staging (model output) rules.
+SCORING_DATE = "2001-08-01"
+PREDICTIONS_LOADED_AT = "2001-08-02 06:00:00"
+FORECAST_FROM = "2000-01-01"
 
 
 def _pick(key, labels):
@@ -171,7 +176,8 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
                         F.lit("EA").alias("unit_of_measure"),
                         price.alias("current_list_price"),
                         F.round(price * _rate(50 + k % 20), 2).cast(MONEY).alias("current_unit_cost"),
-                        (k % 12 != 0).alias("is_active")))
+                        (k % 12 != 0).alias("is_active"),
+                        F.lit(PRODUCTS_UPDATED_AT).cast("timestamp_ntz").alias("updated_at")))
 
     def suppliers():
         k = F.col("s_suppkey")
@@ -431,7 +437,52 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
             k.alias("store_id"), F.lit(None).cast("int").alias("employee_id"), "work_date",
             hours.alias("labor_hours"), (hours * 20).cast(MONEY).alias("labor_cost"))
 
+    # ---------------- model-output staging (S8 stand-ins) ----------------
+    loaded_at = F.lit(PREDICTIONS_LOADED_AT).cast("timestamp_ntz")
+
+    def stg_churn_predictions():
+        o = orders().where(F.col("order_status").isin("Completed", "Returned", "PartiallyReturned"))
+        last = o.groupBy("customer_id").agg(F.max("order_date").alias("last_order"))
+        days = F.least(F.datediff(_date(SCORING_DATE), F.col("last_order")), F.lit(720))
+        prob = (F.floor(days * 10000 / 720).cast("long")).cast("double") / 10000.0
+        k = F.col("customer_id")
+        return last.select(
+            k, prob.alias("churn_probability"),
+            F.when(prob >= 0.5, 1).otherwise(0).alias("churn_predicted"),
+            F.lit(None).cast("int").alias("churn_actual"),
+            F.when(k % 11 == 0, F.lit("  ")).otherwise(F.lit("churn_gbm")).alias("model_name"),
+            F.lit(0.5).alias("threshold"), loaded_at.alias("loaded_at"))
+
+    def stg_profit_predictions():
+        o = orders().where(F.col("order_status").isin("Completed", "Returned", "PartiallyReturned"))
+        k = F.col("order_id")
+        prob = (k % 100).cast("double") / 100.0
+        return o.select(
+            "order_id", "customer_id", "order_date", F.col("net_amount").cast("decimal(38,10)").alias("net_sales"),
+            F.lit(None).cast("double").alias("margin_pct"), F.lit(1).alias("is_profitable"),
+            prob.alias("profit_probability"), F.when(prob >= 0.5, 1).otherwise(0).alias("profit_predicted"),
+            F.when(k % 13 == 0, F.lit(None).cast("string")).otherwise(F.lit("profit_xgb")).alias("model_name"),
+            loaded_at.alias("loaded_at"))
+
+    def stg_sales_forecast_predictions():
+        o = orders().where(F.col("order_status").isin("Completed", "Returned", "PartiallyReturned"))
+        m = o.groupBy(F.trunc("order_date", "MM").alias("ds")).agg(
+            F.sum("net_amount").cast("decimal(38,10)").alias("y_true"))
+        naive = F.lag("y_true", 12).over(Window.orderBy("ds"))  # months: bounded by the calendar
+        recent = F.col("ds") >= _date(FORECAST_FROM)
+        nul = F.lit(None).cast("decimal(38,10)")
+        m = m.withColumn("seasonal_naive", naive)
+        return m.select(
+            "ds", "y_true", "seasonal_naive", nul.alias("sarimax"), nul.alias("sarimax_lower"), nul.alias("sarimax_upper"),
+            nul.alias("ml_xgboost"),
+            F.when(recent, F.lit("backtest")).otherwise(F.lit("history")).alias("forecast_horizon"),
+            F.when(recent, F.col("seasonal_naive")).alias("yhat"), nul.alias("yhat_lower"), nul.alias("yhat_upper"),
+            F.when(recent, F.lit("seasonal_naive")).otherwise(F.lit(" ")).alias("model_used"),
+            loaded_at.alias("loaded_at"))
+
     return {
+        "stg_churn_predictions": stg_churn_predictions, "stg_profit_predictions": stg_profit_predictions,
+        "stg_sales_forecast_predictions": stg_sales_forecast_predictions,
         "regions": regions, "channels": once("channels", channels),
         "payment_methods": once("payment_methods", payment_methods),
         "stores": stores, "distribution_centers": distribution_centers, "calendar_date": calendar_date,

@@ -108,7 +108,7 @@ oltp_products AS (
          CAST(round(CAST(p_retailprice AS DECIMAL(18,2))
                     * CAST('0.' || CAST(50 + p_partkey % 20 AS VARCHAR) AS DECIMAL(4,2)), 2) AS DECIMAL(18,2))
            AS current_unit_cost,
-         p_partkey % 12 <> 0 AS is_active
+         p_partkey % 12 <> 0 AS is_active, TIMESTAMP '2001-06-01 00:00:00' AS updated_at
   FROM part JOIN cat_l1 ON p_type = l1_code),
 oltp_suppliers AS (
   SELECT CAST(s_suppkey AS INTEGER) AS supplier_id, 'SUP' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS supplier_code,
@@ -288,5 +288,37 @@ oltp_store_labor_hours AS (
   FROM (SELECT n_nationkey,
                CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 MONTH)) AS DATE) AS work_date
         FROM nation)),
+oltp_stg_churn_predictions AS (
+  SELECT customer_id, CAST(floor(least(DATE '2001-08-01' - max(order_date), 720) * 10000 / 720) AS BIGINT) / 10000.0
+           AS churn_probability_raw
+  FROM oltp_orders WHERE order_status IN ('Completed', 'Returned', 'PartiallyReturned') GROUP BY customer_id),
+stg_churn AS (
+  SELECT customer_id, CAST(churn_probability_raw AS DOUBLE) AS churn_probability,
+         CASE WHEN churn_probability_raw >= 0.5 THEN 1 ELSE 0 END AS churn_predicted,
+         CAST(NULL AS INTEGER) AS churn_actual,
+         CASE WHEN customer_id % 11 = 0 THEN '  ' ELSE 'churn_gbm' END AS model_name,
+         0.5 AS threshold, TIMESTAMP '2001-08-02 06:00:00' AS loaded_at
+  FROM oltp_stg_churn_predictions),
+stg_profit AS (
+  SELECT order_id, customer_id, order_date, CAST(net_amount AS DECIMAL(38,10)) AS net_sales,
+         CAST(NULL AS DOUBLE) AS margin_pct, 1 AS is_profitable,
+         CAST(order_id % 100 AS DOUBLE) / 100.0 AS profit_probability,
+         CASE WHEN CAST(order_id % 100 AS DOUBLE) / 100.0 >= 0.5 THEN 1 ELSE 0 END AS profit_predicted,
+         CASE WHEN order_id % 13 = 0 THEN NULL ELSE 'profit_xgb' END AS model_name,
+         TIMESTAMP '2001-08-02 06:00:00' AS loaded_at
+  FROM oltp_orders WHERE order_status IN ('Completed', 'Returned', 'PartiallyReturned')),
+stg_forecast_m AS (
+  SELECT CAST(date_trunc('month', order_date) AS DATE) AS ds, CAST(sum(net_amount) AS DECIMAL(38,10)) AS y_true
+  FROM oltp_orders WHERE order_status IN ('Completed', 'Returned', 'PartiallyReturned') GROUP BY 1),
+stg_forecast AS (
+  SELECT ds, y_true, seasonal_naive, CAST(NULL AS DECIMAL(38,10)) AS sarimax,
+         CAST(NULL AS DECIMAL(38,10)) AS sarimax_lower, CAST(NULL AS DECIMAL(38,10)) AS sarimax_upper,
+         CAST(NULL AS DECIMAL(38,10)) AS ml_xgboost,
+         CASE WHEN ds >= DATE '2000-01-01' THEN 'backtest' ELSE 'history' END AS forecast_horizon,
+         CASE WHEN ds >= DATE '2000-01-01' THEN seasonal_naive END AS yhat,
+         CAST(NULL AS DECIMAL(38,10)) AS yhat_lower, CAST(NULL AS DECIMAL(38,10)) AS yhat_upper,
+         CASE WHEN ds >= DATE '2000-01-01' THEN 'seasonal_naive' ELSE ' ' END AS model_used,
+         TIMESTAMP '2001-08-02 06:00:00' AS loaded_at
+  FROM (SELECT *, lag(y_true, 12) OVER (ORDER BY ds) AS seasonal_naive FROM stg_forecast_m)),
 params AS (SELECT max(order_date) AS as_of FROM oltp_orders)
 """

@@ -19,6 +19,8 @@ SCHEMAS = {
     'm11': [("shipment_id", "BIGINT"), ("order_id", "BIGINT"), ("order_date", "DATE"), ("dc_id", "BIGINT"), ("dc_code", "VARCHAR"), ("dc_name", "VARCHAR"), ("store_id", "BIGINT"), ("carrier_name", "VARCHAR"), ("shipment_status", "VARCHAR"), ("ship_date", "DATE"), ("delivery_date", "DATE"), ("fulfillment_lead_time_days", "BIGINT"), ("transit_days", "BIGINT"), ("delay_flag", "VARCHAR")],
     'm12': [("order_date", "DATE"), ("net_sales", "DOUBLE"), ("gross_profit", "DOUBLE"), ("margin_pct", "DOUBLE"), ("order_count", "BIGINT"), ("units_sold", "BIGINT"), ("aov", "DOUBLE"), ("refund_amount", "DOUBLE"), ("units_returned", "BIGINT"), ("stockout_positions", "BIGINT"), ("snapshot_positions", "BIGINT")],
     'm13': [("payment_method_id", "BIGINT"), ("method_code", "VARCHAR"), ("method_name", "VARCHAR"), ("method_group", "VARCHAR"), ("payment_month", "DATE"), ("payment_count", "BIGINT"), ("payment_amount", "DOUBLE")],
+    'm14': [("model_name", "VARCHAR"), ("entity_type", "VARCHAR"), ("entity_id", "VARCHAR"), ("customer_id", "VARCHAR"), ("score", "DOUBLE"), ("churn_probability", "DOUBLE"), ("label", "VARCHAR"), ("prediction_date", "DATE"), ("as_of_date", "DATE"), ("confidence", "DOUBLE"), ("model_version", "VARCHAR"), ("prediction_source", "VARCHAR"), ("title", "VARCHAR"), ("explanation", "VARCHAR"), ("estimated_impact", "DOUBLE")],
+    'm15': [("check_date", "DATE"), ("as_of_date", "DATE"), ("check_name", "VARCHAR"), ("entity_name", "VARCHAR"), ("namespace", "VARCHAR"), ("score", "DOUBLE"), ("severity", "VARCHAR"), ("message", "VARCHAR"), ("description", "VARCHAR"), ("overall_score", "DOUBLE"), ("dq_score", "DOUBLE"), ("quality_score", "DOUBLE"), ("owner", "VARCHAR"), ("missing_value_pct", "DOUBLE"), ("duplicate_pct", "DOUBLE"), ("freshness", "DOUBLE"), ("validity", "DOUBLE"), ("consistency", "DOUBLE"), ("completeness", "DOUBLE"), ("invalid_records", "BIGINT")],
     'q01': [("year_number", "BIGINT"), ("month_number", "BIGINT"), ("month_name", "VARCHAR"), ("month_start", "DATE"), ("net_sales", "DOUBLE"), ("order_count", "BIGINT")],
     'q02': [("year_number", "BIGINT"), ("quarter_number", "BIGINT"), ("net_sales", "DOUBLE"), ("gross_profit", "DOUBLE"), ("order_count", "BIGINT")],
     'q03': [("month_start", "DATE"), ("net_sales", "DOUBLE"), ("prior_year_sales", "DOUBLE"), ("yoy_growth_pct", "DOUBLE")],
