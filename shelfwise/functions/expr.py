@@ -130,5 +130,10 @@ def format_percent(c, digits: int = 1) -> Column:
     return F.concat(F.format_number(col(c).cast("double") * 100, digits), F.lit("%"))
 
 
+def percent_text(c, digits: int = 1) -> Column:
+    """``12.3%`` from a ratio, rounded half-up in DECIMAL (no locale grouping)."""
+    return F.concat(F.round(col(c).cast("decimal(38,10)") * 100, digits).cast("string"), F.lit("%"))
+
+
 def format_count(c) -> Column:
     return F.format_number(col(c).cast("double"), 0)

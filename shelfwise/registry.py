@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.plans import business, marts, predictions, quality, table_functions, views
+from shelfwise.plans import business, kpis, marts, predictions, quality, table_functions, views
 from shelfwise.sources.catalog import Catalog
 
 
@@ -69,6 +69,7 @@ def build_registry() -> dict[str, Callable[[Catalog], DataFrame]]:
     reg["fn3_customer_rfm_asof"] = table_functions.customer_rfm_asof
     reg["fn4_category_contribution"] = _fn4
     reg["fn5_executive_scorecard"] = _fn5
+    reg.update(kpis.KPIS)
     return reg
 
 
