@@ -70,7 +70,38 @@ def build_registry() -> dict[str, Callable[[Catalog], DataFrame]]:
     reg["fn4_category_contribution"] = _fn4
     reg["fn5_executive_scorecard"] = _fn5
     reg.update(kpis.KPIS)
+    reg.update(_viewquery_entries())
+    reg.update(_integrity_entries())
     return reg
 
 
+def _viewquery_entries():
+    from shelfwise.operators import viewquery as VQ
+    page_q = VQ.ViewQuery(page=2, page_size=50, sort_by="net_sales", sort_dir="desc", search="NATION_1",
+                          filters=(VQ.FilterClause("channel_name", "in", ("Store Express", "Store Standard")),))
+    cust_q = VQ.ViewQuery(filters=(VQ.FilterClause("lifecycle_status", "in", ("Active", "At Risk")),))
+    ys = {"revenue": "net_sales", "profit": "gross_profit", "orders": "order_count"}
+    return {
+        "vq1_view_query_page": lambda cat: VQ.view_query(cat, "sales_summary", page_q).rows,
+        "vq1_view_query_total": lambda cat: VQ.view_query(cat, "sales_summary", page_q).total,
+        "vq2_summarize": lambda cat: VQ.summarize(cat, "customer_360", cust_q, [
+            "lifetime_net_sales", "lifetime_gross_profit", "order_count", "lifetime_units"]),
+        "vq3_kpi_cards_sales": lambda cat: VQ.kpi_cards(cat, "sales"),
+        "vq3_kpi_cards_finance": lambda cat: VQ.kpi_cards(cat, "finance"),
+        "vq3_kpi_cards_customer": lambda cat: VQ.kpi_cards(cat, "customer"),
+        "vq4_time_series": lambda cat: VQ.time_series(cat, "executive_scorecard", "order_date", ys)
+        .select("series", "x", "y"),
+    }
+
+
+def _integrity_entries():
+    from shelfwise.operators import integrity as IC
+    return {
+        "c1_c2_keys": lambda cat: IC.check_summary(cat, kinds=("not_null", "unique")),
+        "c3_foreign_keys": lambda cat: IC.check_summary(cat, kinds=("foreign_key",)),
+        "c4_c5_domains_ranges": lambda cat: IC.check_summary(cat, kinds=("domain", "range")),
+        "c6_c7_row_checks": lambda cat: IC.check_summary(cat, kinds=("row",)),
+    }
+
+
 REGISTRY = build_registry()

@@ -125,7 +125,7 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
             F.col("n_name").alias("city"), state.alias("state_code"),
             (F.lit(5000) + k * 1000).alias("selling_sq_ft"),
             F.add_months(_date("1995-01-01"), k * 4).alias("open_date"),
-            F.when(k % 7 == 6, _date("2001-06-30")).alias("close_date"),
+            F.when(k % 7 == 6, F.add_months(F.add_months(_date("1995-01-01"), k * 4), 12)).alias("close_date"),
             (k % 7 != 6).alias("is_active"))
 
     def distribution_centers():

@@ -22,11 +22,12 @@ except ImportError:  # pragma: no cover - generated file missing
 def raw_queries() -> dict[str, str]:
     out = dict(V)
     out.update(Q)
-    try:
-        from shelfwise.testing.oracle_kpis import K
-        out.update(K)
-    except ImportError:
-        pass
+    from shelfwise.testing.oracle_integrity import C_QUERIES
+    from shelfwise.testing.oracle_kpis import K
+    from shelfwise.testing.oracle_viewquery import VQ
+    out.update(K)
+    out.update(VQ)
+    out.update(C_QUERIES)
     return out
 
 

@@ -56,7 +56,8 @@ oltp_stores AS (
          n_name AS city, 'S' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS state_code,
          5000 + n_nationkey * 1000 AS selling_sq_ft,
          CAST(DATE '1995-01-01' + to_months(n_nationkey * 4) AS DATE) AS open_date,
-         CASE WHEN n_nationkey % 7 = 6 THEN DATE '2001-06-30' END AS close_date,
+         CASE WHEN n_nationkey % 7 = 6 THEN CAST(DATE '1995-01-01' + to_months(n_nationkey * 4 + 12) AS DATE) END
+           AS close_date,
          n_nationkey % 7 <> 6 AS is_active
   FROM nation),
 oltp_distribution_centers AS (

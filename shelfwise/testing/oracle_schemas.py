@@ -1,6 +1,10 @@
 """Output column types per query (the output convention of ``registry.present``)."""
 
 SCHEMAS = {
+    'c1_c2_keys': [("rule", "VARCHAR"), ("table", "VARCHAR"), ("kind", "VARCHAR"), ("violations", "BIGINT")],
+    'c3_foreign_keys': [("rule", "VARCHAR"), ("table", "VARCHAR"), ("kind", "VARCHAR"), ("violations", "BIGINT")],
+    'c4_c5_domains_ranges': [("rule", "VARCHAR"), ("table", "VARCHAR"), ("kind", "VARCHAR"), ("violations", "BIGINT")],
+    'c6_c7_row_checks': [("rule", "VARCHAR"), ("table", "VARCHAR"), ("kind", "VARCHAR"), ("violations", "BIGINT")],
     'fn1_monthly_revenue': [("year_number", "BIGINT"), ("month_number", "BIGINT"), ("month_start", "DATE"), ("net_sales", "DOUBLE"), ("gross_profit", "DOUBLE"), ("order_count", "BIGINT"), ("yoy_net_sales", "DOUBLE"), ("yoy_growth_pct", "DOUBLE")],
     'fn2_store_performance': [("store_id", "BIGINT"), ("store_code", "VARCHAR"), ("store_name", "VARCHAR"), ("region_name", "VARCHAR"), ("net_sales", "DOUBLE"), ("gross_profit", "DOUBLE"), ("margin_pct", "DOUBLE"), ("order_count", "BIGINT"), ("aov", "DOUBLE"), ("units_sold", "BIGINT"), ("sales_rank", "BIGINT"), ("sales_per_sqft", "DOUBLE")],
     'fn3_customer_rfm_asof': [("customer_id", "BIGINT"), ("recency_days", "BIGINT"), ("frequency", "BIGINT"), ("monetary", "DOUBLE"), ("r_score", "BIGINT"), ("f_score", "BIGINT"), ("m_score", "BIGINT"), ("rfm_segment", "VARCHAR")],
@@ -124,4 +128,11 @@ SCHEMAS = {
     'v15': [("campaign_id", "BIGINT"), ("campaign_code", "VARCHAR"), ("campaign_name", "VARCHAR"), ("campaign_type", "VARCHAR"), ("channel_id", "BIGINT"), ("channel_name", "VARCHAR"), ("start_date", "DATE"), ("end_date", "DATE"), ("budget_amount", "DOUBLE"), ("actual_spend", "DOUBLE"), ("objective_code", "VARCHAR"), ("lift_factor", "DOUBLE"), ("status_code", "VARCHAR")],
     'v16': [("campaign_response_id", "BIGINT"), ("campaign_id", "BIGINT"), ("campaign_code", "VARCHAR"), ("customer_id", "BIGINT"), ("response_timestamp", "TIMESTAMP"), ("response_type", "VARCHAR"), ("order_id", "BIGINT"), ("attributed_revenue", "DOUBLE")],
     'v17': [("date_id", "BIGINT"), ("full_date", "DATE"), ("day_of_week", "BIGINT"), ("day_name", "VARCHAR"), ("week_of_year", "BIGINT"), ("month_number", "BIGINT"), ("month_name", "VARCHAR"), ("quarter_number", "BIGINT"), ("year_number", "BIGINT"), ("fiscal_year", "BIGINT"), ("fiscal_quarter", "BIGINT"), ("is_weekend", "BOOLEAN"), ("is_holiday", "BOOLEAN"), ("holiday_name", "VARCHAR"), ("season_name", "VARCHAR")],
+    'vq1_view_query_page': [("order_date", "DATE"), ("year_number", "BIGINT"), ("quarter_number", "BIGINT"), ("month_number", "BIGINT"), ("store_id", "BIGINT"), ("store_code", "VARCHAR"), ("store_name", "VARCHAR"), ("store_format", "VARCHAR"), ("region_id", "BIGINT"), ("region_code", "VARCHAR"), ("region_name", "VARCHAR"), ("channel_id", "BIGINT"), ("channel_code", "VARCHAR"), ("channel_name", "VARCHAR"), ("order_count", "BIGINT"), ("units_sold", "BIGINT"), ("gross_sales", "DOUBLE"), ("discount_amount", "DOUBLE"), ("net_sales", "DOUBLE"), ("cogs_amount", "DOUBLE"), ("gross_profit", "DOUBLE")],
+    'vq1_view_query_total': [("total_items", "BIGINT"), ("total_pages", "BIGINT")],
+    'vq2_summarize': [("lifetime_net_sales", "DOUBLE"), ("lifetime_gross_profit", "DOUBLE"), ("order_count", "DOUBLE"), ("lifetime_units", "DOUBLE")],
+    'vq3_kpi_cards_customer': [("id", "VARCHAR"), ("title", "VARCHAR"), ("value", "DOUBLE"), ("format", "VARCHAR")],
+    'vq3_kpi_cards_finance': [("id", "VARCHAR"), ("title", "VARCHAR"), ("value", "DOUBLE"), ("format", "VARCHAR")],
+    'vq3_kpi_cards_sales': [("id", "VARCHAR"), ("title", "VARCHAR"), ("value", "DOUBLE"), ("format", "VARCHAR")],
+    'vq4_time_series': [("series", "VARCHAR"), ("x", "DATE"), ("y", "DOUBLE")],
 }
