@@ -7,9 +7,10 @@ total order are computed the way a distributed sort does it:
 1. range-partition on the sort keys and sort inside each partition;
 2. tag each row with its partition id and its ordinal inside the partition
    (``monotonically_increasing_id`` = ``pid << 33 | ordinal``);
-3. freeze that assignment with a reliable ``checkpoint()`` (lineage cut in the
-   shared ``spark.checkpoint.dir``, so a lost executor cannot re-shuffle rows
-   into a different order);
+3. freeze that assignment by writing the tagged rows once as a Parquet table
+   under the shared ``spark.checkpoint.dir`` (a lineage cut: a lost executor
+   cannot re-shuffle rows into a different order, and unlike an eager
+   ``checkpoint()`` the input is computed only once);
 4. prefix-sum the per-partition counts (one row per partition, broadcast) and
    add the offset.
 
@@ -19,6 +20,8 @@ keys must form a total order: callers append a unique tie-breaker.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,18 +34,34 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def freeze(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to a fresh folder under ``spark.checkpoint.dir`` and
+    read it back (the shared folder the cluster names; never a local temp)."""
+    from shelfwise.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfwise-frozen-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
+
+
 def global_row_number(df: DataFrame, order_by: list[Column], name: str = "row_number",
-                      total_name: str | None = None, num_partitions: int | None = None) -> DataFrame:
+                      total_name: str | None = None, num_partitions: int | None = None,
+                      materialize_input: bool = False) -> DataFrame:
     """Add ``name`` = 1-based position of each row in ``order_by`` (a total order).
 
     If ``total_name`` is given, the total row count is added as well.
     """
     n = _partitions(df, num_partitions)
+    if materialize_input:
+        # range partitioning samples its input in a separate pass; with AQE the
+        # upstream shuffle stages are already materialised when it samples, so
+        # this is only needed for inputs without an exchange below them
+        df = freeze(df)
     tagged = (df.repartitionByRange(n, *order_by)
               .sortWithinPartitions(*order_by)
               .withColumn("_rk_pid", F.spark_partition_id())
-              .withColumn("_rk_mono", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+              .withColumn("_rk_mono", F.monotonically_increasing_id()))
+    tagged = freeze(tagged)
     counts = tagged.groupBy("_rk_pid").agg(F.count(F.lit(1)).alias("_rk_n"))
     w = Window.orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -68,9 +87,9 @@ def ntile_expr(position: Column, total: Column, tiles: int) -> Column:
 
 
 def with_ntile(df: DataFrame, order_by: list[Column], tiles: int, name: str,
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, materialize_input: bool = False) -> DataFrame:
     """``NTILE(tiles) OVER (ORDER BY order_by)`` over the whole frame, distributed."""
-    ranked = global_row_number(df, order_by, "_nt_pos", "_nt_total", num_partitions)
+    ranked = global_row_number(df, order_by, "_nt_pos", "_nt_total", num_partitions, materialize_input)
     return ranked.withColumn(name, ntile_expr(F.col("_nt_pos"), F.col("_nt_total"), tiles)) \
                  .drop("_nt_pos", "_nt_total")
 

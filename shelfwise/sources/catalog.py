@@ -29,9 +29,10 @@ TABLE_ORDER = (
 
 class Catalog:
     def __init__(self, spark: SparkSession, builders: dict[str, Callable[[], DataFrame]],
-                 as_of: dt.date | str | None = None):
+                 as_of: dt.date | str | None = None, shared: dict | None = None):
         self.spark = spark
-        self._builders = dict(builders)
+        self._shared = shared if shared is not None else {}
+        self._builders = builders
         self._frames: dict[str, DataFrame] = {}
         self._as_of = as_of
         self._extras: dict[str, DataFrame] = {}
@@ -60,6 +61,7 @@ class Catalog:
 
     def register(self, name: str, df_or_builder) -> None:
         if callable(df_or_builder) and not isinstance(df_or_builder, DataFrame):
+            self._builders = dict(self._builders)
             self._builders[name] = df_or_builder
             self._frames.pop(name, None)
         else:
@@ -76,13 +78,15 @@ class Catalog:
     def as_of(self) -> dt.date:
         """Explicit as-of date; defaults to ``max(order_date)`` (one scalar)."""
         if self._as_of is None:
-            self._as_of = self["orders"].agg(F.max("order_date")).first()[0]
+            if "default_as_of" not in self._shared:  # a data statistic: once per source
+                self._shared["default_as_of"] = self["orders"].agg(F.max("order_date")).first()[0]
+            self._as_of = self._shared["default_as_of"]
         if isinstance(self._as_of, str):
             self._as_of = dt.date.fromisoformat(self._as_of)
         return self._as_of
 
     def with_as_of(self, as_of) -> "Catalog":
-        other = Catalog(self.spark, self._builders, as_of)
+        other = Catalog(self.spark, self._builders, as_of, self._shared)
         other._frames = dict(self._frames)
         return other
 
@@ -99,6 +103,17 @@ class Catalog:
         return cls(spark, builders, as_of)
 
     @classmethod
-    def from_tpch(cls, spark: SparkSession, sf_dir: str, as_of=None) -> "Catalog":
+    def from_tpch(cls, spark: SparkSession, sf_dir: str, as_of=None, fresh: bool = False) -> "Catalog":
+        """The TPC-H-bound catalog; one per (session, folder, as_of) so the
+        logical plans of tables and marts are built once per session."""
         from shelfwise.sources.tpch_binding import tpch_builders
-        return cls(spark, tpch_builders(spark, sf_dir), as_of)
+        key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+        if fresh or key not in _SESSION_BINDINGS:
+            _SESSION_BINDINGS[key] = (tpch_builders(spark, sf_dir), {})
+        # source bindings are shared per session; marts and queries are
+        # planned (and executed) afresh for every catalog
+        builders, shared = _SESSION_BINDINGS[key]
+        return cls(spark, builders, as_of, shared)
+
+
+_SESSION_BINDINGS: dict[tuple, dict] = {}

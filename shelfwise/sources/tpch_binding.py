@@ -81,12 +81,31 @@ def _date(s: str):
     return F.lit(s).cast("date")
 
 
-def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
-    def raw(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _values(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small fixed relation as a JVM-side VALUES list (no Python round trip)."""
+    def lit(v):
+        if isinstance(v, bool):
+            return "TRUE" if v else "FALSE"
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return str(v)
+    fields = [f.strip().split(" ") for f in ddl.split(",")]
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    cols = ", ".join(f"CAST(c{i} AS {t}) AS {n}" for i, (n, t) in enumerate(fields))
+    names = ", ".join(f"c{i}" for i in range(len(fields)))
+    return spark.sql(f"SELECT {cols} FROM VALUES {body} AS t({names})")
+
 
+def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
     cache: dict[str, DataFrame] = {}
 
+    def raw(name: str) -> DataFrame:
+        # one DataFrame per source file: the footer/schema is read once
+        key = f"raw:{name}"
+        if key not in cache:
+            cache[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return cache[key]
+
     def once(name, fn):
         def build():
             if name not in cache:
@@ -104,12 +123,12 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
                         F.lit(True).alias("is_active"))
 
     def channels():
-        schema = "channel_id int, channel_code string, channel_name string, channel_group string, is_active boolean"
-        return spark.createDataFrame(CHANNEL_ROWS, schema)
+        return _values(spark, CHANNEL_ROWS, "channel_id int, channel_code string, channel_name string, "
+                                            "channel_group string, is_active boolean")
 
     def payment_methods():
-        schema = "payment_method_id int, method_code string, method_name string, method_group string, is_active boolean"
-        return spark.createDataFrame(PAYMENT_METHOD_ROWS, schema)
+        return _values(spark, PAYMENT_METHOD_ROWS, "payment_method_id int, method_code string, method_name string, "
+                                                   "method_group string, is_active boolean")
 
     def _nation_cols():
         k = F.col("n_nationkey")
