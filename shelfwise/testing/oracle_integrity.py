@@ -10,6 +10,28 @@ def _lit(v) -> str:
     return f"'{v}'" if isinstance(v, str) else str(v)
 
 
+# The row (CHECK) rules written as SQL predicates; NULL passes as in a CHECK.
+ROW_PREDICATES = {
+    "ck_stores_dates": "close_date IS NULL OR close_date >= open_date",
+    "ck_stores_active_close": "is_active = FALSE OR close_date IS NULL",
+    "ck_products_margin": "current_unit_cost <= current_list_price * 1.05",
+    "ck_orders_discount_le_gross": "discount_amount <= gross_amount",
+    "ck_orders_ts_date": "CAST(order_timestamp AS DATE) = order_date",
+    "ck_order_items_net": "line_net_amount <= line_gross_amount",
+    "ck_order_items_discount_le_gross": "discount_amount <= line_gross_amount",
+    "ck_shipments_dates": "delivery_date IS NULL OR ship_date IS NULL OR delivery_date >= ship_date",
+    "ck_inventory_reserved_le_onhand": "quantity_reserved <= quantity_on_hand",
+    "ck_inventory_available_calc": "quantity_available = quantity_on_hand - quantity_reserved",
+    "ck_inventory_location_xor": "(location_type = 'STORE' AND store_id IS NOT NULL AND dc_id IS NULL) "
+                                 "OR (location_type = 'DC' AND dc_id IS NOT NULL AND store_id IS NULL)",
+    "ck_inventory_max": "max_stock IS NULL OR reorder_point IS NULL OR max_stock >= reorder_point",
+    "ck_calendar_holiday": "(is_holiday AND holiday_name IS NOT NULL) OR (NOT is_holiday AND holiday_name IS NULL)",
+    "ck_campaigns_dates": "end_date >= start_date",
+    "ck_po_dates": "expected_receipt_date IS NULL OR expected_receipt_date >= order_date",
+    "ck_labor_hours": "labor_hours >= 0 AND labor_hours <= CASE WHEN employee_id IS NULL THEN 500 ELSE 24 END",
+}
+
+
 def rule_sql(r: Rule) -> str | None:
     t = f"oltp_{r.table}"
     if r.kind == "not_null":
@@ -32,6 +54,8 @@ def rule_sql(r: Rule) -> str | None:
         bad = " OR ".join(x for x in ([f"{c} < {r.low}"] if r.low is not None else [])
                           + ([f"{c} > {r.high}"] if r.high is not None else []))
         n = f"(SELECT count(*) FROM {t} WHERE {c} IS NOT NULL AND ({bad}))"
+    elif r.kind == "row" and r.rule in ROW_PREDICATES:
+        n = f"(SELECT count(*) FROM {t} WHERE NOT coalesce(({ROW_PREDICATES[r.rule]}), TRUE))"
     else:
         return None
     return f"SELECT '{r.rule}' AS rule, '{r.table}' AS \"table\", '{r.kind}' AS kind, {n} AS violations"
@@ -54,4 +78,5 @@ C_QUERIES = {
     "c1_c2_keys": summary_sql(("not_null", "unique"), TPCH_TABLES),
     "c3_foreign_keys": summary_sql(("foreign_key",), TPCH_TABLES),
     "c4_c5_domains_ranges": summary_sql(("domain", "range"), TPCH_TABLES),
+    "c6_c7_row_checks": summary_sql(("row",), TPCH_TABLES),
 }
