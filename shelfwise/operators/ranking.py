@@ -20,11 +20,11 @@ keys must form a total order: callers append a unique tie-breaker.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.operators.materialize import freeze
+
 _ORD_BITS = 33
 
 
@@ -34,16 +34,6 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to a fresh folder under ``spark.checkpoint.dir`` and
-    read it back (the shared folder the cluster names; never a local temp)."""
-    from shelfwise.session import ensure_checkpoint_dir
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfwise-frozen-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
-
-
 def global_row_number(df: DataFrame, order_by: list[Column], name: str = "row_number",
                       total_name: str | None = None, num_partitions: int | None = None,
                       materialize_input: bool = False) -> DataFrame:

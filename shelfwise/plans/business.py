@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.expr import is_sold, month_start, months_between_starts, ratio, xavg, xdiv
+from shelfwise.operators.materialize import attach_scalars
 from shelfwise.operators.ranking import percentile_cont, top_dense_rank, top_n
 from shelfwise.plans import marts as M
 from shelfwise.plans.table_functions import executive_scorecard
@@ -41,11 +42,10 @@ def _r2(c):
 
 def one_row_join(*frames: DataFrame) -> DataFrame:
     """Side-by-side columns of several 1-row aggregates (equi-join on a constant key)."""
-    out = None
-    for f in frames:
-        f = f.withColumn("_one", F.lit(1))
-        out = f if out is None else out.join(B(f), "_one")
-    return out.drop("_one")
+    out = frames[0]
+    for f in frames[1:]:
+        out = attach_scalars(out, f)
+    return out
 
 
 def _calendar(cat: Catalog, *cols) -> DataFrame:

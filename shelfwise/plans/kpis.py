@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.expr import (any_of, iso_week_key, mean_of_present, month_key, percent_text,
                                       priority_from_score, ratio, risk_level, supplier_risk, trend_label, xdiv)
+from shelfwise.operators.materialize import attach_scalars
 from shelfwise.operators.period import Period, make_period, resolve_period
 from shelfwise.plans import marts as M
 from shelfwise.plans.predictions import ml_predictions
@@ -76,7 +77,7 @@ def _paged(df: DataFrame, order: list[Column], page: int, page_size: int) -> Dat
     total = df.agg(F.count(F.lit(1)).alias("total_items"))
     page_rows = df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
     total = total.withColumn("total_pages", F.floor((F.col("total_items") + page_size - 1) / page_size).cast("long"))
-    return page_rows.join(B(total.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).drop("_one")
+    return attach_scalars(page_rows, total)
 
 
 def _region_name() -> Column:
@@ -629,9 +630,9 @@ def k19_inventory(cat: Catalog, page: int = 1, page_size: int = 20, sort_by: str
     inv = _inventory(cat, category, search, region)
     tot = inv.agg(F.sum("quantity_on_hand").alias("total_on_hand"))
     # the reference's turnover is one global number for every row (sales units / total on hand)
-    glob = tot.join(B(_units_sold(cat, None, None, region)).withColumn("_one", F.lit(1)),
-                    F.lit(1) == F.col("_one")).select(ratio("sales_units", "total_on_hand", R6).alias("_turn"))
-    rows = inv.join(B(glob.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).select(
+    glob = attach_scalars(tot, _units_sold(cat, None, None, region)).select(
+        ratio("sales_units", "total_on_hand", R6).alias("_turn"))
+    rows = attach_scalars(inv, glob).select(
         F.coalesce("product_name", "sku", F.col("product_id").cast("string"), F.lit("Unknown")).alias("product"),
         F.col("product_id").cast("string").alias("product_id"), "sku", F.col("category_name").alias("category"),
         F.col("quantity_on_hand").cast("double").alias("stock"), F.col("reorder_point").cast("double").alias("safety_stock"),
@@ -842,8 +843,7 @@ def k27_cashflow(cat: Catalog, date_from=None, date_to=None, region=None) -> Dat
     ref = sc.groupBy(month_key("order_date").alias("period")).agg(F.sum("refund_amount").alias("out_ref"))
     # payments present -> they are the inflows; otherwise net sales (decided inside the plan)
     has_pay = inflow_pay.agg((F.count(F.lit(1)) > 0).alias("has_pay"))
-    j = (by_month.join(ref, "period", "full_outer").join(inflow_pay, "period", "full_outer")
-         .join(B(has_pay.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")))
+    j = attach_scalars(by_month.join(ref, "period", "full_outer").join(inflow_pay, "period", "full_outer"), has_pay)
     z = F.lit(0)
     inflows = F.when(F.col("has_pay"), F.coalesce("inflows", z)).otherwise(F.coalesce("revenue", z))
     outflows = F.coalesce("out_sales", z) + F.coalesce("out_ref", z)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.expr import ratio, xdiv
+from shelfwise.operators.materialize import attach_scalars
 from shelfwise.sources.catalog import Catalog
 
 DEC = "decimal(38,6)"
@@ -112,8 +113,7 @@ def data_quality_summary(cat: Catalog, as_of: dt.date | None = None) -> DataFram
                 "missing_value_pct", "duplicate_pct", "freshness", "validity", "consistency", "completeness",
                 F.col("row_count").alias("invalid_records"))
             metric = part if metric is None else metric.unionByName(part)
-        metric = metric.join(F.broadcast(overall.withColumn("_one", F.lit(1))),
-                             F.lit(1) == F.col("_one")).drop("_one")
+        metric = attach_scalars(metric, overall)
         metric = metric.select(
             F.lit(as_of).alias("check_date"), F.lit(as_of).alias("as_of_date"), "check_name", "entity_name",
             "namespace", "score", "severity", "message", "description", "overall_score",

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfwise.operators.materialize import freeze
 from shelfwise.sources.calendar import calendar
 
 MONEY = "decimal(18,2)"
@@ -160,10 +161,13 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
 
     # ---------------- product ----------------
     def _l1():
-        # one row per distinct p_type: bounded by the type vocabulary
-        return (raw("part").select("p_type").distinct()
-                .select(F.col("p_type").alias("l1_code"),
-                        F.dense_rank().over(Window.orderBy("p_type")).cast("int").alias("l1_id")))
+        # one row per distinct p_type (the type vocabulary): numbered once and
+        # frozen, so the many plans that touch products read a tiny table
+        # instead of re-running the distinct + numbering each time
+        l1 = (raw("part").select("p_type").distinct()
+              .select(F.col("p_type").alias("l1_code"),
+                      F.dense_rank().over(Window.orderBy("p_type")).cast("int").alias("l1_id")))
+        return freeze(l1)
 
     l1 = once("l1", _l1)
     brand_no = F.split_part(F.col("p_brand"), F.lit("#"), F.lit(2)).cast("int")
