@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.expr import ratio, xdiv
-from shelfwise.operators.materialize import attach_scalars
+from shelfwise.operators.materialize import attach_scalars, freeze
 from shelfwise.sources.catalog import Catalog
 
 DEC = "decimal(38,6)"
@@ -99,6 +99,8 @@ def data_quality_summary(cat: Catalog, as_of: dt.date | None = None) -> DataFram
         for c in ("completeness", "missing_value_pct", "duplicate_pct", "validity", "consistency", "freshness",
                   "score"):
             scored = scored.withColumn(c, F.col(c).cast(DEC))
+        # five rows, read by six branches below: profile the tables exactly once
+        scored = freeze(scored)
         overall = scored.agg(F.round(xdiv(F.sum("score"), F.count("score")), 6).cast(DEC).alias("overall_score"))
 
         def text(c):
