@@ -137,3 +137,19 @@ def percent_text(c, digits: int = 1) -> Column:
 
 def format_count(c) -> Column:
     return F.format_number(col(c).cast("double"), 0)
+
+
+# F16: loose coercion of text values (dates, numbers, booleans); bad text -> NULL
+def loose_date(c) -> Column:
+    s = F.trim(col(c).cast("string"))
+    return F.coalesce(s.try_cast("date"), F.to_date(F.try_to_timestamp(s)))
+
+
+def loose_float(c) -> Column:
+    return F.trim(col(c).cast("string")).try_cast("double")
+
+
+def loose_bool(c) -> Column:
+    s = F.lower(F.trim(col(c).cast("string")))
+    return (F.when(s.isin("true", "t", "yes", "y", "1"), F.lit(True))
+            .when(s.isin("false", "f", "no", "n", "0"), F.lit(False)))

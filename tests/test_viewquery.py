@@ -108,3 +108,18 @@ def test_kpi_cards_shape(spark):
     cat = C.from_tpch(spark, "/root/testdata/sf0.001")
     rows = kpi_cards(cat, "finance").collect()
     assert [r.id for r in rows] == ["gross_sales", "cogs", "gross_profit", "discounts"]
+
+
+def test_page_dto(spark):
+    cat = Catalog(spark, {})
+    dto = view_query(cat, _fixture_view(spark), ViewQuery(page=1, page_size=2, sort_by="net_sales")).to_dict()
+    assert dto["pagination"] == {"page": 1, "page_size": 2, "total_items": 3, "total_pages": 2}
+    assert dto["columns"][0] == {"key": "order_date", "label": "Order Date"} and len(dto["rows"]) == 2
+
+
+def test_loose_coercion(spark):
+    from shelfwise.functions.expr import loose_bool, loose_date, loose_float
+    df = spark.createDataFrame([("2024-01-05", "1.5", "Yes"), ("junk", "x", "maybe")], "d string, f string, b string")
+    r = df.select(loose_date("d").alias("d"), loose_float("f").alias("f"), loose_bool("b").alias("b")).collect()
+    assert (r[0].d, r[0].f, r[0].b) == (dt.date(2024, 1, 5), 1.5, True)
+    assert (r[1].d, r[1].f, r[1].b) == (None, None, None)
