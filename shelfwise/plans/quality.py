@@ -75,7 +75,7 @@ def data_quality_summary(cat: Catalog, as_of: dt.date | None = None) -> DataFram
     as_of = as_of or cat.as_of
 
     def build():
-        now = F.lit(dt.datetime.combine(as_of, dt.time())).cast("timestamp_ntz")
+        now = F.lit(f"{as_of.isoformat()} 00:00:00").cast("timestamp_ntz")  # zone-independent
         p = table_profiles(cat)
         rows, miss = F.col("row_count"), F.col("missing_critical")
         dup = F.greatest(F.col("duplicate_keys"), F.lit(0))

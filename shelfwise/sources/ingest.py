@@ -205,7 +205,8 @@ def load_predictions(spark: SparkSession, pred_dir: str, loaded_at=None) -> dict
             df = read_table(spark, path, table, target).data
         else:
             df = spark.createDataFrame([], target)
-        out[table] = df.withColumn("loaded_at", F.lit(loaded_at).cast("timestamp_ntz"))
+        stamp = loaded_at.isoformat(sep=" ") if hasattr(loaded_at, "isoformat") else str(loaded_at)
+        out[table] = df.withColumn("loaded_at", F.lit(stamp).cast("timestamp_ntz"))
     return out
 
 
