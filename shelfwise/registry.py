@@ -70,6 +70,18 @@ def build_registry() -> dict[str, Callable[[Catalog], DataFrame]]:
     reg["fn4_category_contribution"] = _fn4
     reg["fn5_executive_scorecard"] = _fn5
     reg.update(kpis.KPIS)
+    # parameter paths of the roll-ups (filters, grains, sort keys, pages)
+    import datetime as _dt
+    reg["k06_sales_overview_filtered"] = lambda cat: kpis.k06_sales_overview(cat, region=["ASIA", "EUROPE"],
+                                                                             search="NATION_2")
+    reg["k07_sales_trends_monthly"] = lambda cat: kpis.k07_sales_trends(
+        cat, grain="monthly", date_from=_dt.date(1998, 1, 1), date_to=_dt.date(2000, 12, 31))
+    reg["k08_category_performance_filtered"] = lambda cat: kpis.k08_category_performance(cat, category=["SMALL",
+                                                                                                         "large"])
+    reg["k09_product_performance_margin_p2"] = lambda cat: kpis.k09_product_performance(
+        cat, page=2, page_size=25, sort_by="margin", sort_dir="asc")
+    reg["k16_top_customers_detail_orders_p3"] = lambda cat: kpis.k16_top_customers_detail(
+        cat, page=3, page_size=50, sort_by="orders", sort_dir="asc")
     reg.update(_viewquery_entries())
     reg.update(_integrity_entries())
     return reg

@@ -533,3 +533,30 @@ def _expand(sql: str) -> str:
 
 for _k in list(K):
     K[_k] = _expand(K[_k])
+
+
+# ------------------------------------------------------------------ parameterised variants
+def _with_base(sql: str, table: str, where: str) -> str:
+    body = sql.replace(table, "base")
+    return body.replace("WITH ", f"WITH base AS (SELECT * FROM {table} WHERE {where}), ", 1)
+
+
+_SEARCH = ("(store_code ILIKE '%NATION_2%' OR store_name ILIKE '%NATION_2%' OR region_name ILIKE '%NATION_2%' "
+           "OR channel_name ILIKE '%NATION_2%')")
+K["k06_sales_overview_filtered"] = _with_base(K["k06_sales_overview"], "vw_sales_daily",
+                                              f"region_name IN ('ASIA', 'EUROPE') AND {_SEARCH}")
+K["k07_sales_trends_monthly"] = """
+SELECT strftime(order_date, '%Y-%m') AS period, sum(net_sales) AS revenue, sum(order_count) AS orders,
+       sum(gross_profit) AS profit
+FROM vw_sales_daily WHERE order_date BETWEEN DATE '1998-01-01' AND DATE '2000-12-31' GROUP BY 1"""
+K["k08_category_performance_filtered"] = K["k08_category_performance"].replace(
+    "FROM (SELECT f.order_id", "FROM (SELECT f.order_id", 1).replace(
+    "coalesce(category_name, 'Uncategorized') AS category FROM " + LINES_CAT,
+    "coalesce(category_name, 'Uncategorized') AS category FROM " + LINES_CAT
+    + " WHERE lower(coalesce(category_name, 'Uncategorized')) IN ('small', 'large')")
+K["k09_product_performance_margin_p2"] = K["k09_product_performance"].replace(
+    "ORDER BY coalesce(revenue, 0) DESC, pid LIMIT 20", "ORDER BY coalesce(margin, 0) ASC, pid LIMIT 25 OFFSET 25"
+).replace("(count(*) + 19) / 20", "(count(*) + 24) / 25")
+K["k16_top_customers_detail_orders_p3"] = K["k16_top_customers_detail"].replace(
+    "ORDER BY coalesce(lifetime_value, 0) DESC, cid LIMIT 20", "ORDER BY coalesce(orders, 0) ASC, cid LIMIT 50 OFFSET 100"
+).replace("(count(*) + 19) / 20", "(count(*) + 49) / 50")

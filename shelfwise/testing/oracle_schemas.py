@@ -16,9 +16,13 @@ SCHEMAS = {
     'k04_top_risks': [("id", "VARCHAR"), ("title", "VARCHAR"), ("description", "VARCHAR"), ("priority", "VARCHAR"), ("impact", "VARCHAR"), ("owner", "VARCHAR"), ("source", "VARCHAR"), ("rank", "BIGINT")],
     'k05_opportunities': [("id", "VARCHAR"), ("title", "VARCHAR"), ("description", "VARCHAR"), ("estimated_impact", "VARCHAR"), ("priority", "VARCHAR"), ("source", "VARCHAR")],
     'k06_sales_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
+    'k06_sales_overview_filtered': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
     'k07_sales_trends': [("period", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "BIGINT"), ("profit", "DOUBLE")],
+    'k07_sales_trends_monthly': [("period", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "BIGINT"), ("profit", "DOUBLE")],
     'k08_category_performance': [("category", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "DOUBLE"), ("growth", "DOUBLE"), ("margin", "DOUBLE")],
+    'k08_category_performance_filtered': [("category", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "DOUBLE"), ("growth", "DOUBLE"), ("margin", "DOUBLE")],
     'k09_product_performance': [("product_id", "VARCHAR"), ("product", "VARCHAR"), ("sku", "VARCHAR"), ("category", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "DOUBLE"), ("units", "DOUBLE"), ("margin", "DOUBLE"), ("growth", "DOUBLE"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
+    'k09_product_performance_margin_p2': [("product_id", "VARCHAR"), ("product", "VARCHAR"), ("sku", "VARCHAR"), ("category", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "DOUBLE"), ("units", "DOUBLE"), ("margin", "DOUBLE"), ("growth", "DOUBLE"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
     'k10_regional_performance': [("region", "VARCHAR"), ("revenue", "DOUBLE"), ("growth", "DOUBLE"), ("orders", "BIGINT")],
     'k11_top_customers': [("customer", "VARCHAR"), ("customer_id", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "DOUBLE"), ("lifetime_value", "DOUBLE"), ("lifetime_value_available", "BOOLEAN")],
     'k12_customer_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
@@ -26,6 +30,7 @@ SCHEMAS = {
     'k14_cohorts': [("cohort", "VARCHAR"), ("cohort_size", "DOUBLE"), ("month_offset", "BIGINT"), ("retention_pct", "DOUBLE"), ("customer_count", "DOUBLE")],
     'k15_customer_distribution': [("region", "VARCHAR"), ("customer_count", "DOUBLE"), ("revenue", "DOUBLE"), ("growth", "DOUBLE")],
     'k16_top_customers_detail': [("customer_id", "VARCHAR"), ("customer", "VARCHAR"), ("segment", "VARCHAR"), ("region", "VARCHAR"), ("lifetime_value", "DOUBLE"), ("orders", "DOUBLE"), ("average_order_value", "DOUBLE"), ("lifecycle_status", "VARCHAR"), ("last_order_date", "DATE"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
+    'k16_top_customers_detail_orders_p3': [("customer_id", "VARCHAR"), ("customer", "VARCHAR"), ("segment", "VARCHAR"), ("region", "VARCHAR"), ("lifetime_value", "DOUBLE"), ("orders", "DOUBLE"), ("average_order_value", "DOUBLE"), ("lifecycle_status", "VARCHAR"), ("last_order_date", "DATE"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
     'k17_churn_risk': [("risk_level", "VARCHAR"), ("customer_count", "DOUBLE"), ("predicted_revenue_at_risk", "DOUBLE"), ("confidence", "DOUBLE"), ("confidence_available", "BOOLEAN")],
     'k18_operations_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
     'k19_inventory': [("product", "VARCHAR"), ("product_id", "VARCHAR"), ("sku", "VARCHAR"), ("category", "VARCHAR"), ("stock", "DOUBLE"), ("safety_stock", "DOUBLE"), ("turnover", "DOUBLE"), ("inventory_value", "DOUBLE"), ("stock_status", "VARCHAR"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
