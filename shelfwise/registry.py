@@ -82,11 +82,38 @@ def build_registry() -> dict[str, Callable[[Catalog], DataFrame]]:
         cat, page=2, page_size=25, sort_by="margin", sort_dir="asc")
     reg["k16_top_customers_detail_orders_p3"] = lambda cat: kpis.k16_top_customers_detail(
         cat, page=3, page_size=50, sort_by="orders", sort_dir="asc")
+    reg.update(_sql_function_entries())
     reg.update(_viewquery_entries())
     reg.update(_integrity_entries())
     return reg
 
 
+def _sql_function_entries():
+    """The SQL table functions, called through ``spark.sql`` on the same catalog."""
+    import datetime as dt
+
+    from shelfwise.plans import sql_functions as SQ
+
+    def run(cat, sql_text):
+        SQ.install(cat)
+        return cat.spark.sql(sql_text)
+
+    def bounds(cat):
+        lo, _ = table_functions.order_date_bounds(cat)
+        return lo.isoformat(), cat.as_of.isoformat()
+
+    return {
+        "fn1_monthly_revenue_sql": lambda cat: run(cat, "SELECT * FROM fn_monthly_revenue()"),
+        "fn2_store_performance_sql": lambda cat: run(
+            cat, "SELECT * FROM fn_store_performance(DATE'{}', DATE'{}')".format(*bounds(cat))),
+        "fn4_category_contribution_sql": lambda cat: run(
+            cat, "SELECT * FROM fn_category_contribution(DATE'{}', DATE'{}')".format(*bounds(cat))),
+        "fn5_executive_scorecard_sql": lambda cat: run(
+            cat, "SELECT * FROM fn_executive_scorecard(DATE'{}', DATE'{}')".format(
+                (cat.as_of - dt.timedelta(days=364)).isoformat(), cat.as_of.isoformat())),
+    }
+
+
 def _viewquery_entries():
     from shelfwise.operators import viewquery as VQ
     page_q = VQ.ViewQuery(page=2, page_size=50, sort_by="net_sales", sort_dir="desc", search="NATION_1",

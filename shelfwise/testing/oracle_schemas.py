@@ -6,10 +6,14 @@ SCHEMAS = {
     'c4_c5_domains_ranges': [("rule", "VARCHAR"), ("table", "VARCHAR"), ("kind", "VARCHAR"), ("violations", "BIGINT")],
     'c6_c7_row_checks': [("rule", "VARCHAR"), ("table", "VARCHAR"), ("kind", "VARCHAR"), ("violations", "BIGINT")],
     'fn1_monthly_revenue': [("year_number", "BIGINT"), ("month_number", "BIGINT"), ("month_start", "DATE"), ("net_sales", "DOUBLE"), ("gross_profit", "DOUBLE"), ("order_count", "BIGINT"), ("yoy_net_sales", "DOUBLE"), ("yoy_growth_pct", "DOUBLE")],
+    'fn1_monthly_revenue_sql': [("year_number", "BIGINT"), ("month_number", "BIGINT"), ("month_start", "DATE"), ("net_sales", "DOUBLE"), ("gross_profit", "DOUBLE"), ("order_count", "BIGINT"), ("yoy_net_sales", "DOUBLE"), ("yoy_growth_pct", "DOUBLE")],
     'fn2_store_performance': [("store_id", "BIGINT"), ("store_code", "VARCHAR"), ("store_name", "VARCHAR"), ("region_name", "VARCHAR"), ("net_sales", "DOUBLE"), ("gross_profit", "DOUBLE"), ("margin_pct", "DOUBLE"), ("order_count", "BIGINT"), ("aov", "DOUBLE"), ("units_sold", "BIGINT"), ("sales_rank", "BIGINT"), ("sales_per_sqft", "DOUBLE")],
+    'fn2_store_performance_sql': [("store_id", "BIGINT"), ("store_code", "VARCHAR"), ("store_name", "VARCHAR"), ("region_name", "VARCHAR"), ("net_sales", "DOUBLE"), ("gross_profit", "DOUBLE"), ("margin_pct", "DOUBLE"), ("order_count", "BIGINT"), ("aov", "DOUBLE"), ("units_sold", "BIGINT"), ("sales_rank", "BIGINT"), ("sales_per_sqft", "DOUBLE")],
     'fn3_customer_rfm_asof': [("customer_id", "BIGINT"), ("recency_days", "BIGINT"), ("frequency", "BIGINT"), ("monetary", "DOUBLE"), ("r_score", "BIGINT"), ("f_score", "BIGINT"), ("m_score", "BIGINT"), ("rfm_segment", "VARCHAR")],
     'fn4_category_contribution': [("category_code", "VARCHAR"), ("category_name", "VARCHAR"), ("net_sales", "DOUBLE"), ("gross_profit", "DOUBLE"), ("units_sold", "BIGINT"), ("contribution_pct", "DOUBLE"), ("sales_rank", "BIGINT"), ("cumulative_pct", "DOUBLE")],
+    'fn4_category_contribution_sql': [("category_code", "VARCHAR"), ("category_name", "VARCHAR"), ("net_sales", "DOUBLE"), ("gross_profit", "DOUBLE"), ("units_sold", "BIGINT"), ("contribution_pct", "DOUBLE"), ("sales_rank", "BIGINT"), ("cumulative_pct", "DOUBLE")],
     'fn5_executive_scorecard': [("net_sales", "DOUBLE"), ("prior_period_net_sales", "DOUBLE"), ("sales_growth_pct", "DOUBLE"), ("gross_profit", "DOUBLE"), ("margin_pct", "DOUBLE"), ("order_count", "BIGINT"), ("aov", "DOUBLE"), ("active_customers", "BIGINT"), ("return_rate_value", "DOUBLE"), ("avg_fulfillment_days", "DOUBLE")],
+    'fn5_executive_scorecard_sql': [("net_sales", "DOUBLE"), ("prior_period_net_sales", "DOUBLE"), ("sales_growth_pct", "DOUBLE"), ("gross_profit", "DOUBLE"), ("margin_pct", "DOUBLE"), ("order_count", "BIGINT"), ("aov", "DOUBLE"), ("active_customers", "BIGINT"), ("return_rate_value", "DOUBLE"), ("avg_fulfillment_days", "DOUBLE")],
     'k01_dashboard_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
     'k02_dashboard_trends': [("date", "DATE"), ("revenue", "DOUBLE"), ("profit", "DOUBLE"), ("orders", "BIGINT")],
     'k03_dashboard_regional': [("region", "VARCHAR"), ("revenue", "DOUBLE"), ("profit", "DOUBLE"), ("growth", "DOUBLE"), ("order_count", "BIGINT")],
