@@ -35,6 +35,43 @@ from shelfwise.sources.catalog import Catalog
 B = F.broadcast
 R6 = 6
 
+# Owners and recommendation texts of the risk/opportunity feeds.
+RISK_TEXT = {
+    "stockouts": ("Inventory Operations", "Expedite replenishment for stocked-out SKUs and review safety stock."),
+    "below_reorder": ("Inventory Planning", "Trigger purchase orders for below-reorder items."),
+    "supplier_on_time": ("Procurement", "Engage supplier on lead-time recovery or dual-source critical SKUs."),
+    "rising_returns": ("Quality / CX", "Inspect return reasons and tighten quality checks for the category."),
+    "low_margin": ("Finance / Regional Ops", "Review pricing, mix, and COGS for the region."),
+    "contraction": ("Commercial Finance", "Investigate demand and discounting pressure in the region."),
+    "rising_cost": ("Cost Controllers", "Contain {} growth versus prior period."),
+    "budget_overrun": ("FP&A", "Re-forecast spend and enforce budget controls."),
+    "enterprise_margin": ("CFO Office", "Prioritize margin expansion initiatives across regions."),
+    "ml_risk": ("Customer Analytics", None),
+    "stockout_pressure": ("Operations", None),
+}
+FEED_TITLES = {
+    "ml_risk": "Elevated risk signal ({})", "stockout_pressure": "Inventory stockout pressure",
+    "ml_opportunity": "Growth opportunity ({})", "margin_expansion": "Margin expansion trajectory",
+    "margin_expansion_description": "Recent scorecard margin exceeds the start of the trailing window",
+}
+
+
+def _owner(key):
+    return F.lit(RISK_TEXT[key][0]).alias("owner")
+
+
+def _advice(key):
+    return F.lit(RISK_TEXT[key][1]).alias("recommendation")
+
+
+def _title_text(template, value):
+    before, after = template.split("{}")
+    return F.concat(F.lit(before), value, F.lit(after))
+
+
+def _title(key, entity):
+    return _title_text(FEED_TITLES[key], entity)
+
 
 def _money(c) -> Column:
     return F.round(c, 2)
@@ -177,20 +214,20 @@ def k04_top_risks(cat: Catalog, limit: int = 10) -> DataFrame:
         F.lit(2).alias("_grp"), (-F.coalesce("score", F.lit(0.0))).alias("_k1"), F.col("entity_id").alias("_k2"),
         F.lit("").alias("_k3"),
         F.concat(F.lit("ml-risk-"), F.col("entity_id")).alias("id"),
-        F.coalesce("title", F.concat(F.lit("Elevated risk signal ("), F.col("entity_id"), F.lit(")"))).alias("title"),
+        F.coalesce("title", _title("ml_risk", F.col("entity_id"))).alias("title"),
         F.coalesce("explanation", F.col("model_name")).alias("description"),
         priority_from_score(F.col("score")).alias("priority"),
         percent_text("score").alias("impact"),
-        F.lit("Customer Analytics").alias("owner"), F.lit("machine_learning_predictions").alias("source"))
+        _owner("ml_risk"), F.lit("machine_learning_predictions").alias("source"))
     sc = M.executive_daily_kpis(cat)
     latest = sc.orderBy(F.col("order_date").desc()).limit(1)
     r = xdiv("stockout_positions", "snapshot_positions")
     stock_items = latest.where(r >= 0.05).select(
         F.lit(3).alias("_grp"), F.lit(0.0).alias("_k1"), F.lit("").alias("_k2"), F.lit("").alias("_k3"),
-        F.lit("inventory-stockout-pressure").alias("id"), F.lit("Inventory stockout pressure").alias("title"),
+        F.lit("inventory-stockout-pressure").alias("id"), F.lit(FEED_TITLES["stockout_pressure"]).alias("title"),
         F.concat(F.col("stockout_positions").cast("string"), F.lit(" of "), F.col("snapshot_positions").cast("string"),
                  F.lit(" positions stocked out on latest scorecard day")).alias("description"),
-        priority_from_score(r).alias("priority"), percent_text(r).alias("impact"), F.lit("Operations").alias("owner"), F.lit("executive_scorecard").alias("source"))
+        priority_from_score(r).alias("priority"), percent_text(r).alias("impact"), _owner("stockout_pressure"), F.lit("executive_scorecard").alias("source"))
     items = dq_items.unionByName(ml_items).unionByName(stock_items)
     top = items.orderBy("_grp", F.col("_k1").asc_nulls_first(), "_k2", "_k3").limit(limit)
     w = Window.orderBy("_grp", F.col("_k1").asc_nulls_first(), "_k2", "_k3")
@@ -209,7 +246,7 @@ def k05_opportunities(cat: Catalog, limit: int = 10) -> DataFrame:
     ml_items = pred.where(is_opp).select(
         F.lit(1).alias("_grp"), (-s).alias("_k1"), F.col("entity_id").alias("_k2"),
         F.concat(F.lit("ml-opp-"), F.col("entity_id")).alias("id"),
-        F.coalesce("title", F.concat(F.lit("Growth opportunity ("), F.col("entity_id"), F.lit(")"))).alias("title"),
+        F.coalesce("title", _title("ml_opportunity", F.col("entity_id"))).alias("title"),
         F.coalesce("explanation", F.col("model_name")).alias("description"),
         F.col("estimated_impact").cast("string").alias("estimated_impact"),
         F.when(s >= 0.7, "high").when(s >= 0.4, "medium").otherwise("low").alias("priority"),
@@ -221,8 +258,8 @@ def k05_opportunities(cat: Catalog, limit: int = 10) -> DataFrame:
                       F.max_by("margin_pct", "order_date").alias("m1"))
     margin_item = ends.where((F.col("n") >= 4) & (F.col("m1") > F.col("m0"))).select(
         F.lit(2).alias("_grp"), F.lit(0.0).alias("_k1"), F.lit("").alias("_k2"), F.lit("margin-expansion").alias("id"),
-        F.lit("Margin expansion trajectory").alias("title"),
-        F.lit("Recent scorecard margin exceeds the start of the trailing window").alias("description"),
+        F.lit(FEED_TITLES["margin_expansion"]).alias("title"),
+        F.lit(FEED_TITLES["margin_expansion_description"]).alias("description"),
         percent_text(F.col("m1") - F.col("m0")).alias("estimated_impact"),
         F.lit("medium").alias("priority"), F.lit("executive_scorecard").alias("source"))
     items = ml_items.unionByName(margin_item)
@@ -720,13 +757,11 @@ def k23_operational_risks(cat: Catalog, category=None, supplier=None, search=Non
         F.lit(1).alias("_grp"), F.lit("").alias("_k"),
         F.concat(F.col("so").cast("string"), F.lit(" stockout positions")).alias("risk"),
         F.when(F.col("so") >= 10, "critical").otherwise("high").alias("severity"),
-        F.lit("Inventory Operations").alias("owner"),
-        F.lit("Expedite replenishment for stocked-out SKUs and review safety stock.").alias("recommendation"))
+        _owner("stockouts"), _advice("stockouts"))
     below = inv.where(F.col("below") > 0).select(
         F.lit(2).alias("_grp"), F.lit("").alias("_k"),
         F.concat(F.col("below").cast("string"), F.lit(" SKUs below reorder point")).alias("risk"),
-        F.lit("medium").alias("severity"), F.lit("Inventory Planning").alias("owner"),
-        F.lit("Trigger purchase orders for below-reorder items.").alias("recommendation"))
+        F.lit("medium").alias("severity"), _owner("below_reorder"), _advice("below_reorder"))
     sp = M.supplier_performance(cat)
     if supplier:
         sp = sp.where(_isin_ci("supplier_name", supplier) | _isin_ci("supplier_code", supplier))
@@ -735,14 +770,12 @@ def k23_operational_risks(cat: Catalog, category=None, supplier=None, search=Non
         F.lit(3).alias("_grp"), F.col("supplier_code").alias("_k"),
         F.concat(F.lit("Low on-time delivery: "), F.coalesce("supplier_name", F.lit("Supplier"))).alias("risk"),
         F.when(F.col("on_time_rate") < 0.5, "high").otherwise("medium").alias("severity"),
-        F.lit("Procurement").alias("owner"),
-        F.lit("Engage supplier on lead-time recovery or dual-source critical SKUs.").alias("recommendation"))
+        _owner("supplier_on_time"), _advice("supplier_on_time"))
     top3 = k21_returns_by_category(cat, category=category, search=search).limit(3)
     rets = top3.where(F.col("trend") == "up").select(
         F.lit(4).alias("_grp"), F.col("category").alias("_k"),
         F.concat(F.lit("Rising returns in "), F.col("category")).alias("risk"), F.lit("medium").alias("severity"),
-        F.lit("Quality / CX").alias("owner"),
-        F.lit("Inspect return reasons and tighten quality checks for the category.").alias("recommendation"))
+        _owner("rising_returns"), _advice("rising_returns"))
     u = stock.unionByName(below).unionByName(sup).unionByName(rets)
     return u.orderBy("_grp", "_k").limit(limit).drop("_grp", "_k")
 
@@ -876,33 +909,30 @@ def k28_financial_risks(cat: Catalog, region=None, department=None, search=None,
         F.lit(1).alias("_grp"), F.col("region").alias("_k"), F.lit(0).alias("_sub"),
         F.concat(F.lit("Low margin in "), F.col("region")).alias("risk"),
         F.when(F.col("margin") < 0.05, "high").otherwise("medium").alias("severity"),
-        F.col("profit").alias("estimated_impact"), F.lit("Finance / Regional Ops").alias("owner"),
-        F.lit("Review pricing, mix, and COGS for the region.").alias("recommendation"))
+        F.col("profit").alias("estimated_impact"), _owner("low_margin"), _advice("low_margin"))
     contraction = prof.where(F.col("growth") < -0.1).select(
         F.lit(1).alias("_grp"), F.col("region").alias("_k"), F.lit(1).alias("_sub"),
         F.concat(F.lit("Revenue contraction in "), F.col("region")).alias("risk"), F.lit("high").alias("severity"),
-        F.col("revenue").alias("estimated_impact"), F.lit("Commercial Finance").alias("owner"),
-        F.lit("Investigate demand and discounting pressure in the region.").alias("recommendation"))
+        F.col("revenue").alias("estimated_impact"), _owner("contraction"), _advice("contraction"))
     costs = k26_cost_breakdown(cat, region=region, search=search)
     rising = costs.where((F.col("trend") == "up") & (F.coalesce("percentage", F.lit(0)) >= 0.3)).select(
         F.lit(2).alias("_grp"), F.col("cost_category").alias("_k"), F.lit(0).alias("_sub"),
         F.concat(F.lit("Rising "), F.col("cost_category"), F.lit(" share")).alias("risk"), F.lit("medium").alias("severity"),
-        F.col("amount").alias("estimated_impact"), F.lit("Cost Controllers").alias("owner"),
-        F.concat(F.lit("Contain "), F.col("cost_category"), F.lit(" growth versus prior period.")).alias("recommendation"))
+        F.col("amount").alias("estimated_impact"), _owner("rising_cost"),
+        _title_text(RISK_TEXT["rising_cost"][1], F.col("cost_category")).alias("recommendation"))
     budget = k29_budget_variance(cat, department=department, search=search)
     over = budget.where(F.col("variance_pct") > 0.1).select(
         F.lit(3).alias("_grp"), F.col("department").alias("_k"), F.lit(0).alias("_sub"),
         F.concat(F.lit("Budget overrun: "), F.col("department")).alias("risk"),
         F.when(F.col("variance_pct") > 0.25, "critical").otherwise("high").alias("severity"),
-        F.col("variance").alias("estimated_impact"), F.lit("FP&A").alias("owner"),
-        F.lit("Re-forecast spend and enforce budget controls.").alias("recommendation"))
+        F.col("variance").alias("estimated_impact"), _owner("budget_overrun"), _advice("budget_overrun"))
     ov = k24_finance_overview(cat, region=region, search=search).where(
         (F.col("metric_id") == "profit_margin") & F.col("available") & (F.col("value") < 0.2))
     ent = ov.select(
         F.lit(4).alias("_grp"), F.lit("").alias("_k"), F.lit(0).alias("_sub"),
         F.lit("Enterprise margin below 20%").alias("risk"), F.lit("medium").alias("severity"),
-        F.lit(None).cast("decimal(38,2)").alias("estimated_impact"), F.lit("CFO Office").alias("owner"),
-        F.lit("Prioritize margin expansion initiatives across regions.").alias("recommendation"))
+        F.lit(None).cast("decimal(38,2)").alias("estimated_impact"), _owner("enterprise_margin"),
+        _advice("enterprise_margin"))
     u = reduce(DataFrame.unionByName, [low, contraction, rising, over, ent])
     return u.orderBy("_grp", "_k", "_sub").limit(limit).drop("_grp", "_k", "_sub")
 
