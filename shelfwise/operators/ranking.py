@@ -85,31 +85,31 @@ def with_ntile(df: DataFrame, order_by: list[Column], tiles: int, name: str,
 
 
 def percentile_cont(df: DataFrame, value: str, fractions: dict[str, float],
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, extra_aggs: dict[str, Column] | None = None) -> DataFrame:
     """Exact ``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY value)`` for each alias -> p.
 
     One row out. NULLs are ignored; the value is read as DOUBLE and
-    interpolated linearly between the neighbouring ranks.
+    interpolated linearly between the neighbouring ranks. ``extra_aggs`` are
+    evaluated over the same (already materialised) rows in the same pass,
+    with the original value column available under its own name.
     """
-    vals = df.select(F.col(value).cast("double").alias("_pc_v")).where(F.col("_pc_v").isNotNull())
+    vals = df.select(F.col(value).cast("double").alias("_pc_v"), F.col(value)).where(F.col("_pc_v").isNotNull())
     ranked = global_row_number(vals, [F.col("_pc_v")], "_pc_pos", "_pc_n", num_partitions)
     idx = F.col("_pc_pos") - 1
     aggs, picks = [], []
     for alias, p in fractions.items():
         rn = (F.col("_pc_n") - 1).cast("double") * F.lit(float(p))
         lo, hi = F.floor(rn), F.ceil(rn)
+        # conditional aggregates pick the (at most 2) neighbouring ranks
         aggs += [F.max(F.when(idx == lo, F.col("_pc_v"))).alias(f"_{alias}_lo"),
                  F.max(F.when(idx == hi, F.col("_pc_v"))).alias(f"_{alias}_hi"),
                  F.max(rn - lo).alias(f"_{alias}_d")]
         picks.append((F.col(f"_{alias}_lo") + (F.col(f"_{alias}_hi") - F.col(f"_{alias}_lo")) * F.col(f"_{alias}_d"))
                      .alias(alias))
-    # only the (at most 2 per fraction) neighbouring ranks survive the filter
-    wanted = None
-    for p in fractions.values():
-        rn = (F.col("_pc_n") - 1).cast("double") * F.lit(float(p))
-        cond = (idx == F.floor(rn)) | (idx == F.ceil(rn))
-        wanted = cond if wanted is None else (wanted | cond)
-    return ranked.where(wanted).agg(*aggs).select(*picks)
+    for alias, expr in (extra_aggs or {}).items():
+        aggs.append(expr.alias(alias))
+        picks.append(F.col(alias))
+    return ranked.agg(*aggs).select(*picks)
 
 
 def top_dense_rank(df: DataFrame, value: str, n: int, name: str, ascending: bool = False) -> DataFrame:

@@ -358,9 +358,8 @@ def q27(cat):
 
 def q28(cat):
     c = M.customer_360(cat).where(F.col("lifetime_net_sales").isNotNull())
-    pct = percentile_cont(c, "lifetime_net_sales", {"p50_sales": 0.5, "p90_sales": 0.9, "p99_sales": 0.99})
-    avg = c.agg(F.round(xavg("lifetime_net_sales"), 2).alias("avg_sales"))
-    out = one_row_join(pct, avg)
+    out = percentile_cont(c, "lifetime_net_sales", {"p50_sales": 0.5, "p90_sales": 0.9, "p99_sales": 0.99},
+                          extra_aggs={"avg_sales": F.round(xavg("lifetime_net_sales"), 2)})
     return out.select(*[_r2(c).alias(c) for c in ("p50_sales", "p90_sales", "p99_sales")], "avg_sales")
 
 
