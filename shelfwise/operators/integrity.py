@@ -264,6 +264,8 @@ RULES: list[Rule] = [
     _rng("inventory", "quantity_reserved", 0, None, ("inventory_id",)),
     _rng("marketing_campaigns", "lift_factor", 0.5, 3.0, ("campaign_id",)),
     _rng("stores", "selling_sq_ft", 1, None, ("store_id",)),
+    # Regex predicate (two upper-case letters)
+    _row("ck_regions_country", "regions", lambda: C("country_code").rlike("^[A-Z]{2}$"), ("region_id",)),
     _row("ck_stores_dates", "stores", lambda: C("close_date").isNull() | (C("close_date") >= C("open_date")),
          ("store_id",)),
     _row("ck_stores_active_close", "stores", lambda: (C("is_active") == False) | C("close_date").isNull(),  # noqa

@@ -12,6 +12,7 @@ def _lit(v) -> str:
 
 # The row (CHECK) rules written as SQL predicates; NULL passes as in a CHECK.
 ROW_PREDICATES = {
+    "ck_regions_country": "regexp_full_match(country_code, '[A-Z]{2}')",
     "ck_stores_dates": "close_date IS NULL OR close_date >= open_date",
     "ck_stores_active_close": "is_active = FALSE OR close_date IS NULL",
     "ck_products_margin": "current_unit_cost <= current_list_price * 1.05",
