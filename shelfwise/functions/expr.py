@@ -122,12 +122,16 @@ def supplier_risk(on_time, quality) -> Column:
     return F.when(m.isNull(), "Unknown").when(m < 0.5, "High").when(m < 0.75, "Medium").otherwise("Low")
 
 
+# display text. Values are rounded in DECIMAL first (half-up), so the
+# formatting step never rounds: ``$1,235``, ``12.3%``, ``1,234`` / ``1,234.5``.
 def format_currency(c) -> Column:
-    return F.concat(F.lit("$"), F.format_number(col(c).cast("double"), 2))
+    v = col(c).cast("decimal(38,6)")
+    return F.concat(F.lit("$"), F.format_number(F.round(v, 0), 0))
 
 
 def format_percent(c, digits: int = 1) -> Column:
-    return F.concat(F.format_number(col(c).cast("double") * 100, digits), F.lit("%"))
+    v = col(c).cast("decimal(38,6)")
+    return F.concat(F.round(v * 100, digits).cast("string"), F.lit("%"))
 
 
 def percent_text(c, digits: int = 1) -> Column:
@@ -136,7 +140,12 @@ def percent_text(c, digits: int = 1) -> Column:
 
 
 def format_count(c) -> Column:
-    return F.format_number(col(c).cast("double"), 0)
+    v = col(c).cast("decimal(38,6)")
+    return F.when(v == F.floor(v), F.format_number(v, 0)).otherwise(F.format_number(F.round(v, 1), 1))
+
+
+def format_value(c, fmt: str) -> Column:
+    return {"currency": format_currency, "percent": format_percent}.get(fmt, format_count)(c)
 
 
 # F16: loose coercion of text values (dates, numbers, booleans); bad text -> NULL

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.expr import (any_of, iso_week_key, mean_of_present, month_key, percent_text,
+from shelfwise.functions.expr import (any_of, format_value, iso_week_key, mean_of_present, month_key, percent_text,
                                       priority_from_score, ratio, risk_level, supplier_risk, trend_label, xdiv)
 from shelfwise.operators.materialize import attach_scalars
 from shelfwise.operators.period import Period, make_period, resolve_period
@@ -83,12 +83,14 @@ def _growth(cur, prior) -> Column:
 
 
 def cards(row: DataFrame, specs: list[tuple]) -> DataFrame:
-    """specs: (metric_id, label, value, delta or None, format, available)."""
+    """specs: (metric_id, label, value, delta or None, format, available);
+    ``formatted_value`` is the display text of the value (F11)."""
     structs = []
     for mid, label, value, delta, fmt, available in specs:
         d = delta if delta is not None else F.lit(None)
         structs.append(F.struct(
             F.lit(mid).alias("metric_id"), F.lit(label).alias("label"), value.cast("double").alias("value"),
+            format_value(value, fmt).alias("formatted_value"),
             d.cast("double").alias("delta"), trend_label(d).alias("trend"), F.lit(fmt).alias("format"),
             available.alias("available")))
     return row.select(F.inline(F.array(*structs)))

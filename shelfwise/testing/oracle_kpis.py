@@ -21,11 +21,22 @@ def growth(cur: str, prior: str) -> str:
     return R(f"{cur} - {prior}", prior, 6)
 
 
+def formatted(value: str, fmt: str) -> str:
+    v = f"CAST({value} AS DECIMAL(38,6))"
+    if fmt == "currency":
+        return f"('$' || format('{{:,}}', CAST(round({v}, 0) AS BIGINT)))"
+    if fmt == "percent":
+        return f"(CAST(round({v} * 100, 1) AS VARCHAR) || '%')"
+    return (f"(CASE WHEN {v} = floor({v}) THEN format('{{:,}}', CAST({v} AS BIGINT)) "
+            f"ELSE format('{{:,.1f}}', round({v}, 1)) END)")
+
+
 def cards_sql(ctes: str, src: str, specs: list[tuple]) -> str:
     rows = []
     for mid, label, value, delta, fmt, avail in specs:
         d = delta or "CAST(NULL AS DOUBLE)"
         rows.append(f"SELECT '{mid}' AS metric_id, '{label}' AS label, CAST({value} AS DOUBLE) AS value, "
+                    f"{formatted(value, fmt)} AS formatted_value, "
                     f"CAST({d} AS DOUBLE) AS delta, {trend(d)} AS trend, '{fmt}' AS format, ({avail}) AS available "
                     f"FROM {src}")
     return f"WITH {ctes}\n" + "\nUNION ALL\n".join(rows)

@@ -14,13 +14,13 @@ SCHEMAS = {
     'fn4_category_contribution_sql': [("category_code", "VARCHAR"), ("category_name", "VARCHAR"), ("net_sales", "DOUBLE"), ("gross_profit", "DOUBLE"), ("units_sold", "BIGINT"), ("contribution_pct", "DOUBLE"), ("sales_rank", "BIGINT"), ("cumulative_pct", "DOUBLE")],
     'fn5_executive_scorecard': [("net_sales", "DOUBLE"), ("prior_period_net_sales", "DOUBLE"), ("sales_growth_pct", "DOUBLE"), ("gross_profit", "DOUBLE"), ("margin_pct", "DOUBLE"), ("order_count", "BIGINT"), ("aov", "DOUBLE"), ("active_customers", "BIGINT"), ("return_rate_value", "DOUBLE"), ("avg_fulfillment_days", "DOUBLE")],
     'fn5_executive_scorecard_sql': [("net_sales", "DOUBLE"), ("prior_period_net_sales", "DOUBLE"), ("sales_growth_pct", "DOUBLE"), ("gross_profit", "DOUBLE"), ("margin_pct", "DOUBLE"), ("order_count", "BIGINT"), ("aov", "DOUBLE"), ("active_customers", "BIGINT"), ("return_rate_value", "DOUBLE"), ("avg_fulfillment_days", "DOUBLE")],
-    'k01_dashboard_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
+    'k01_dashboard_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("formatted_value", "VARCHAR"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
     'k02_dashboard_trends': [("date", "DATE"), ("revenue", "DOUBLE"), ("profit", "DOUBLE"), ("orders", "BIGINT")],
     'k03_dashboard_regional': [("region", "VARCHAR"), ("revenue", "DOUBLE"), ("profit", "DOUBLE"), ("growth", "DOUBLE"), ("order_count", "BIGINT")],
     'k04_top_risks': [("id", "VARCHAR"), ("title", "VARCHAR"), ("description", "VARCHAR"), ("priority", "VARCHAR"), ("impact", "VARCHAR"), ("owner", "VARCHAR"), ("source", "VARCHAR"), ("rank", "BIGINT")],
     'k05_opportunities': [("id", "VARCHAR"), ("title", "VARCHAR"), ("description", "VARCHAR"), ("estimated_impact", "VARCHAR"), ("priority", "VARCHAR"), ("source", "VARCHAR")],
-    'k06_sales_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
-    'k06_sales_overview_filtered': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
+    'k06_sales_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("formatted_value", "VARCHAR"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
+    'k06_sales_overview_filtered': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("formatted_value", "VARCHAR"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
     'k07_sales_trends': [("period", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "BIGINT"), ("profit", "DOUBLE")],
     'k07_sales_trends_monthly': [("period", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "BIGINT"), ("profit", "DOUBLE")],
     'k08_category_performance': [("category", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "DOUBLE"), ("growth", "DOUBLE"), ("margin", "DOUBLE")],
@@ -29,20 +29,20 @@ SCHEMAS = {
     'k09_product_performance_margin_p2': [("product_id", "VARCHAR"), ("product", "VARCHAR"), ("sku", "VARCHAR"), ("category", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "DOUBLE"), ("units", "DOUBLE"), ("margin", "DOUBLE"), ("growth", "DOUBLE"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
     'k10_regional_performance': [("region", "VARCHAR"), ("revenue", "DOUBLE"), ("growth", "DOUBLE"), ("orders", "BIGINT")],
     'k11_top_customers': [("customer", "VARCHAR"), ("customer_id", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "DOUBLE"), ("lifetime_value", "DOUBLE"), ("lifetime_value_available", "BOOLEAN")],
-    'k12_customer_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
+    'k12_customer_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("formatted_value", "VARCHAR"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
     'k13_rfm_segments': [("segment", "VARCHAR"), ("customer_count", "DOUBLE"), ("revenue", "DOUBLE"), ("average_order_value", "DOUBLE"), ("growth", "DOUBLE")],
     'k14_cohorts': [("cohort", "VARCHAR"), ("cohort_size", "DOUBLE"), ("month_offset", "BIGINT"), ("retention_pct", "DOUBLE"), ("customer_count", "DOUBLE")],
     'k15_customer_distribution': [("region", "VARCHAR"), ("customer_count", "DOUBLE"), ("revenue", "DOUBLE"), ("growth", "DOUBLE")],
     'k16_top_customers_detail': [("customer_id", "VARCHAR"), ("customer", "VARCHAR"), ("segment", "VARCHAR"), ("region", "VARCHAR"), ("lifetime_value", "DOUBLE"), ("orders", "DOUBLE"), ("average_order_value", "DOUBLE"), ("lifecycle_status", "VARCHAR"), ("last_order_date", "DATE"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
     'k16_top_customers_detail_orders_p3': [("customer_id", "VARCHAR"), ("customer", "VARCHAR"), ("segment", "VARCHAR"), ("region", "VARCHAR"), ("lifetime_value", "DOUBLE"), ("orders", "DOUBLE"), ("average_order_value", "DOUBLE"), ("lifecycle_status", "VARCHAR"), ("last_order_date", "DATE"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
     'k17_churn_risk': [("risk_level", "VARCHAR"), ("customer_count", "DOUBLE"), ("predicted_revenue_at_risk", "DOUBLE"), ("confidence", "DOUBLE"), ("confidence_available", "BOOLEAN")],
-    'k18_operations_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
+    'k18_operations_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("formatted_value", "VARCHAR"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
     'k19_inventory': [("product", "VARCHAR"), ("product_id", "VARCHAR"), ("sku", "VARCHAR"), ("category", "VARCHAR"), ("stock", "DOUBLE"), ("safety_stock", "DOUBLE"), ("turnover", "DOUBLE"), ("inventory_value", "DOUBLE"), ("stock_status", "VARCHAR"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
     'k20_supplier_performance': [("supplier", "VARCHAR"), ("supplier_id", "VARCHAR"), ("on_time_pct", "DOUBLE"), ("quality_score", "DOUBLE"), ("lead_time", "DOUBLE"), ("purchase_volume", "DOUBLE"), ("risk_level", "VARCHAR")],
     'k21_returns_by_category': [("category", "VARCHAR"), ("return_count", "DOUBLE"), ("return_pct", "DOUBLE"), ("return_cost", "DOUBLE"), ("trend", "VARCHAR")],
     'k22_warehouse_performance': [("warehouse", "VARCHAR"), ("inventory", "DOUBLE"), ("fulfillment", "DOUBLE"), ("stockouts", "DOUBLE"), ("average_processing_time", "DOUBLE")],
     'k23_operational_risks': [("risk", "VARCHAR"), ("severity", "VARCHAR"), ("owner", "VARCHAR"), ("recommendation", "VARCHAR")],
-    'k24_finance_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
+    'k24_finance_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("formatted_value", "VARCHAR"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
     'k25_profitability_by_region': [("region", "VARCHAR"), ("revenue", "DOUBLE"), ("cost", "DOUBLE"), ("profit", "DOUBLE"), ("margin", "DOUBLE"), ("growth", "DOUBLE")],
     'k26_cost_breakdown': [("cost_category", "VARCHAR"), ("amount", "DOUBLE"), ("percentage", "DOUBLE"), ("trend", "VARCHAR")],
     'k27_cashflow': [("period", "VARCHAR"), ("inflows", "DOUBLE"), ("outflows", "DOUBLE"), ("net_cashflow", "DOUBLE"), ("profit", "DOUBLE"), ("margin", "DOUBLE")],
