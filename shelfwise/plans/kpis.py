@@ -407,9 +407,10 @@ def k09_product_performance(cat: Catalog, page: int = 1, page_size: int = 20, so
         key = F.coalesce(F.col(PRODUCT_SORTS.get(sort_by, "revenue")), F.lit(0))
     order = [key.desc() if sort_dir == "desc" else key.asc(), F.col("_pid").asc()]
     out = _paged(rows, order, page, page_size).drop("_pid")
-    if columns:
+    if columns:  # P13: unrequested fields become NULL, the product label is always kept
         keep = set(columns) | {"product", "total_items", "total_pages"}
-        out = out.select(*[c for c in out.columns if c in keep])
+        out = out.select(*[F.col(c) if c in keep else F.lit(None).cast(out.schema[c].dataType).alias(c)
+                           for c in out.columns])
     return out
 
 
@@ -566,7 +567,8 @@ def k16_top_customers_detail(cat: Catalog, page: int = 1, page_size: int = 20, s
     out = _paged(rows, order, page, page_size).drop("_cid")
     if columns:
         keep = set(columns) | {"customer", "total_items", "total_pages"}
-        out = out.select(*[F.col(c) if c in keep else F.lit(None).alias(c) for c in out.columns])
+        out = out.select(*[F.col(c) if c in keep else F.lit(None).cast(out.schema[c].dataType).alias(c)
+                           for c in out.columns])
     return out
 
 
@@ -685,7 +687,8 @@ def k19_inventory(cat: Catalog, page: int = 1, page_size: int = 20, sort_by: str
     out = _paged(rows, order, page, page_size).drop("_iid")
     if columns:
         keep = set(columns) | {"product", "total_items", "total_pages"}
-        out = out.select(*[F.col(c) if c in keep else F.lit(None).alias(c) for c in out.columns])
+        out = out.select(*[F.col(c) if c in keep else F.lit(None).cast(out.schema[c].dataType).alias(c)
+                           for c in out.columns])
     return out
 
 

@@ -100,3 +100,10 @@ def test_materialized_marts_serve_the_same_results(spark, tmpdir_path):
     assert "m03" in plan  # served from the written table
     got = sorted(map(tuple, Q.q29(cat).collect())), sorted(map(tuple, K.k06_sales_overview(cat).collect()))
     assert got == expect
+
+
+def test_projection_mask(spark):
+    cat = Catalog.from_tpch(spark, SF_SMALL)
+    rows = K.k09_product_performance(cat, columns=["revenue"]).collect()
+    assert rows and all(r.units is None and r.margin is None and r.product is not None for r in rows)
+    assert any(r.revenue is not None for r in rows)
