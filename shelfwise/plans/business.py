@@ -26,7 +26,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.expr import is_sold, month_start, months_between_starts, ratio, xavg, xdiv
+from shelfwise.functions.expr import month_start, months_between_starts, ratio, xavg, xdiv
 from shelfwise.operators.materialize import attach_scalars
 from shelfwise.operators.ranking import percentile_cont, top_dense_rank, top_n
 from shelfwise.plans import marts as M

@@ -17,14 +17,13 @@ returns), D18, D19, D20, D22. Sort keys that the reference wraps in
 
 from __future__ import annotations
 
-import datetime as dt
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.expr import (any_of, format_value, iso_week_key, mean_of_present, month_key, percent_text,
-                                      priority_from_score, ratio, risk_level, supplier_risk, trend_label, xdiv)
+from shelfwise.functions.expr import (any_of, format_value, iso_week_key, month_key, percent_text, priority_from_score,
+                                      ratio, risk_level, supplier_risk, trend_label, xdiv)
 from shelfwise.operators.materialize import attach_scalars
 from shelfwise.operators.period import Period, make_period, resolve_period
 from shelfwise.plans import marts as M
@@ -960,4 +959,4 @@ KPIS = {
     "k29_budget_variance": k29_budget_variance,
 }
 
-__all__ = ["KPIS", "cards", "mean_of_present", "dt"]
+__all__ = ["KPIS", "cards", "make_period"]

@@ -12,7 +12,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.expr import days_between, is_sold, month_start, ratio, xavg, xdiv
+from shelfwise.functions.expr import days_between, month_start, ratio, xavg
+from shelfwise.operators.materialize import attach_scalars
 from shelfwise.plans import marts as M
 from shelfwise.sources.catalog import Catalog
 
@@ -112,8 +113,7 @@ def executive_scorecard(cat: Catalog, start, end) -> DataFrame:  # FN5
     o = cat.orders.where(F.col("order_date").between(_d(start), _d(end))).select("order_id", "order_date")
     ship = (cat.shipments.where(F.col("ship_date").isNotNull()).join(o, "order_id")
             .agg(xavg(days_between("ship_date", "order_date")).alias("lead")))
-    from shelfwise.plans.business import one_row_join
-    j = one_row_join(sales, rets, ship)
+    j = attach_scalars(attach_scalars(sales, rets), ship)
     return j.select(F.round("net", 2).alias("net_sales"), F.round("prior_net", 2).alias("prior_period_net_sales"),
                     ratio(F.col("net") - F.col("prior_net"), "prior_net", 4).alias("sales_growth_pct"),
                     F.round("gp", 2).alias("gross_profit"), ratio("gp", "net", 4).alias("margin_pct"),
@@ -123,4 +123,4 @@ def executive_scorecard(cat: Catalog, start, end) -> DataFrame:  # FN5
 
 
 __all__ = ["monthly_revenue", "store_performance", "customer_rfm_asof", "category_contribution",
-           "executive_scorecard", "xdiv"]
+           "executive_scorecard"]
