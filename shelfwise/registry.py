@@ -82,6 +82,11 @@ def build_registry() -> dict[str, Callable[[Catalog], DataFrame]]:
         cat, page=2, page_size=25, sort_by="margin", sort_dir="asc")
     reg["k16_top_customers_detail_orders_p3"] = lambda cat: kpis.k16_top_customers_detail(
         cat, page=3, page_size=50, sort_by="orders", sort_dir="asc")
+    reg["k13_rfm_segments_filtered"] = lambda cat: kpis.k13_rfm_segments(cat, segment=["Champions", "loyal"])
+    reg["k14_cohorts_3m"] = lambda cat: kpis.k14_cohorts(cat, max_months=3)
+    reg["k19_inventory_by_product_p2"] = lambda cat: kpis.k19_inventory(cat, page=2, page_size=30, sort_by="product",
+                                                                        sort_dir="asc")
+    reg["k21_returns_by_category_filtered"] = lambda cat: kpis.k21_returns_by_category(cat, category=["SMALL", "medium"])
     reg.update(_sql_function_entries())
     reg.update(_viewquery_entries())
     reg.update(_integrity_entries())
@@ -120,7 +125,13 @@ def _viewquery_entries():
                           filters=(VQ.FilterClause("channel_name", "in", ("Store Express", "Store Standard")),))
     cust_q = VQ.ViewQuery(filters=(VQ.FilterClause("lifecycle_status", "in", ("Active", "At Risk")),))
     ys = {"revenue": "net_sales", "profit": "gross_profit", "orders": "order_count"}
+    import datetime as dt
+    dated_q = VQ.ViewQuery(date_from=dt.date(1998, 1, 1), date_to=dt.date(1999, 12, 31), date_column="first_order_date",
+                           sort_by="last_order_date", sort_dir="asc", page_size=100,
+                           columns=("customer_id", "customer_number", "first_order_date", "last_order_date",
+                                    "lifetime_net_sales"))
     return {
+        "vq1_view_query_dated": lambda cat: VQ.view_query(cat, "customer_360", dated_q).rows,
         "vq1_view_query_page": lambda cat: VQ.view_query(cat, "sales_summary", page_q).rows,
         "vq1_view_query_total": lambda cat: VQ.view_query(cat, "sales_summary", page_q).total,
         "vq2_summarize": lambda cat: VQ.summarize(cat, "customer_360", cust_q, [

@@ -571,3 +571,25 @@ K["k09_product_performance_margin_p2"] = K["k09_product_performance"].replace(
 K["k16_top_customers_detail_orders_p3"] = K["k16_top_customers_detail"].replace(
     "ORDER BY coalesce(lifetime_value, 0) DESC, cid LIMIT 20", "ORDER BY coalesce(orders, 0) ASC, cid LIMIT 50 OFFSET 100"
 ).replace("(count(*) + 19) / 20", "(count(*) + 49) / 50")
+
+K["k13_rfm_segments_filtered"] = K["k13_rfm_segments"].replace(
+    "FROM vw_customer_rfm r LEFT JOIN vw_customer_360 c ON c.customer_id = r.customer_id, cpw\n      GROUP BY 1",
+    "FROM vw_customer_rfm r LEFT JOIN vw_customer_360 c ON c.customer_id = r.customer_id, cpw\n"
+    "      WHERE lower(r.rfm_segment) IN ('champions', 'loyal')\n      GROUP BY 1")
+K["k14_cohorts_3m"] = K["k14_cohorts"].replace("range(0, 6)", "range(0, 3)")
+K["k19_inventory_by_product_p2"] = K["k19_inventory"].replace(
+    "ORDER BY coalesce(inventory_value, 0) DESC, iid LIMIT 20", "ORDER BY lower(coalesce(product, '')) ASC, iid LIMIT 30 OFFSET 30"
+).replace("(count(*) + 19) / 20", "(count(*) + 29) / 30")
+K["k21_returns_by_category_filtered"] = K["k21_returns_by_category"].replace(
+    "FROM vw_fact_return_line f LEFT JOIN vw_product_category_map pcm ON pcm.product_id = f.product_id)",
+    "FROM vw_fact_return_line f LEFT JOIN vw_product_category_map pcm ON pcm.product_id = f.product_id\n"
+    "           WHERE lower(coalesce(pcm.category_name, 'Uncategorized')) IN ('small', 'medium'))")
+# every variant must differ from its base text (a failed replace would silently test the default)
+for _variant, _base in (("k06_sales_overview_filtered", "k06_sales_overview"),
+                        ("k08_category_performance_filtered", "k08_category_performance"),
+                        ("k09_product_performance_margin_p2", "k09_product_performance"),
+                        ("k13_rfm_segments_filtered", "k13_rfm_segments"), ("k14_cohorts_3m", "k14_cohorts"),
+                        ("k16_top_customers_detail_orders_p3", "k16_top_customers_detail"),
+                        ("k19_inventory_by_product_p2", "k19_inventory"),
+                        ("k21_returns_by_category_filtered", "k21_returns_by_category")):
+    assert K[_variant] != K[_base], _variant

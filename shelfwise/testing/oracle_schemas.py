@@ -31,15 +31,19 @@ SCHEMAS = {
     'k11_top_customers': [("customer", "VARCHAR"), ("customer_id", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "DOUBLE"), ("lifetime_value", "DOUBLE"), ("lifetime_value_available", "BOOLEAN")],
     'k12_customer_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("formatted_value", "VARCHAR"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
     'k13_rfm_segments': [("segment", "VARCHAR"), ("customer_count", "DOUBLE"), ("revenue", "DOUBLE"), ("average_order_value", "DOUBLE"), ("growth", "DOUBLE")],
+    'k13_rfm_segments_filtered': [("segment", "VARCHAR"), ("customer_count", "DOUBLE"), ("revenue", "DOUBLE"), ("average_order_value", "DOUBLE"), ("growth", "DOUBLE")],
     'k14_cohorts': [("cohort", "VARCHAR"), ("cohort_size", "DOUBLE"), ("month_offset", "BIGINT"), ("retention_pct", "DOUBLE"), ("customer_count", "DOUBLE")],
+    'k14_cohorts_3m': [("cohort", "VARCHAR"), ("cohort_size", "DOUBLE"), ("month_offset", "BIGINT"), ("retention_pct", "DOUBLE"), ("customer_count", "DOUBLE")],
     'k15_customer_distribution': [("region", "VARCHAR"), ("customer_count", "DOUBLE"), ("revenue", "DOUBLE"), ("growth", "DOUBLE")],
     'k16_top_customers_detail': [("customer_id", "VARCHAR"), ("customer", "VARCHAR"), ("segment", "VARCHAR"), ("region", "VARCHAR"), ("lifetime_value", "DOUBLE"), ("orders", "DOUBLE"), ("average_order_value", "DOUBLE"), ("lifecycle_status", "VARCHAR"), ("last_order_date", "DATE"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
     'k16_top_customers_detail_orders_p3': [("customer_id", "VARCHAR"), ("customer", "VARCHAR"), ("segment", "VARCHAR"), ("region", "VARCHAR"), ("lifetime_value", "DOUBLE"), ("orders", "DOUBLE"), ("average_order_value", "DOUBLE"), ("lifecycle_status", "VARCHAR"), ("last_order_date", "DATE"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
     'k17_churn_risk': [("risk_level", "VARCHAR"), ("customer_count", "DOUBLE"), ("predicted_revenue_at_risk", "DOUBLE"), ("confidence", "DOUBLE"), ("confidence_available", "BOOLEAN")],
     'k18_operations_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("formatted_value", "VARCHAR"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
     'k19_inventory': [("product", "VARCHAR"), ("product_id", "VARCHAR"), ("sku", "VARCHAR"), ("category", "VARCHAR"), ("stock", "DOUBLE"), ("safety_stock", "DOUBLE"), ("turnover", "DOUBLE"), ("inventory_value", "DOUBLE"), ("stock_status", "VARCHAR"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
+    'k19_inventory_by_product_p2': [("product", "VARCHAR"), ("product_id", "VARCHAR"), ("sku", "VARCHAR"), ("category", "VARCHAR"), ("stock", "DOUBLE"), ("safety_stock", "DOUBLE"), ("turnover", "DOUBLE"), ("inventory_value", "DOUBLE"), ("stock_status", "VARCHAR"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
     'k20_supplier_performance': [("supplier", "VARCHAR"), ("supplier_id", "VARCHAR"), ("on_time_pct", "DOUBLE"), ("quality_score", "DOUBLE"), ("lead_time", "DOUBLE"), ("purchase_volume", "DOUBLE"), ("risk_level", "VARCHAR")],
     'k21_returns_by_category': [("category", "VARCHAR"), ("return_count", "DOUBLE"), ("return_pct", "DOUBLE"), ("return_cost", "DOUBLE"), ("trend", "VARCHAR")],
+    'k21_returns_by_category_filtered': [("category", "VARCHAR"), ("return_count", "DOUBLE"), ("return_pct", "DOUBLE"), ("return_cost", "DOUBLE"), ("trend", "VARCHAR")],
     'k22_warehouse_performance': [("warehouse", "VARCHAR"), ("inventory", "DOUBLE"), ("fulfillment", "DOUBLE"), ("stockouts", "DOUBLE"), ("average_processing_time", "DOUBLE")],
     'k23_operational_risks': [("risk", "VARCHAR"), ("severity", "VARCHAR"), ("owner", "VARCHAR"), ("recommendation", "VARCHAR")],
     'k24_finance_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("formatted_value", "VARCHAR"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
@@ -137,6 +141,7 @@ SCHEMAS = {
     'v15': [("campaign_id", "BIGINT"), ("campaign_code", "VARCHAR"), ("campaign_name", "VARCHAR"), ("campaign_type", "VARCHAR"), ("channel_id", "BIGINT"), ("channel_name", "VARCHAR"), ("start_date", "DATE"), ("end_date", "DATE"), ("budget_amount", "DOUBLE"), ("actual_spend", "DOUBLE"), ("objective_code", "VARCHAR"), ("lift_factor", "DOUBLE"), ("status_code", "VARCHAR")],
     'v16': [("campaign_response_id", "BIGINT"), ("campaign_id", "BIGINT"), ("campaign_code", "VARCHAR"), ("customer_id", "BIGINT"), ("response_timestamp", "TIMESTAMP"), ("response_type", "VARCHAR"), ("order_id", "BIGINT"), ("attributed_revenue", "DOUBLE")],
     'v17': [("date_id", "BIGINT"), ("full_date", "DATE"), ("day_of_week", "BIGINT"), ("day_name", "VARCHAR"), ("week_of_year", "BIGINT"), ("month_number", "BIGINT"), ("month_name", "VARCHAR"), ("quarter_number", "BIGINT"), ("year_number", "BIGINT"), ("fiscal_year", "BIGINT"), ("fiscal_quarter", "BIGINT"), ("is_weekend", "BOOLEAN"), ("is_holiday", "BOOLEAN"), ("holiday_name", "VARCHAR"), ("season_name", "VARCHAR")],
+    'vq1_view_query_dated': [("customer_id", "BIGINT"), ("customer_number", "VARCHAR"), ("first_order_date", "DATE"), ("last_order_date", "DATE"), ("lifetime_net_sales", "DOUBLE")],
     'vq1_view_query_page': [("order_date", "DATE"), ("year_number", "BIGINT"), ("quarter_number", "BIGINT"), ("month_number", "BIGINT"), ("store_id", "BIGINT"), ("store_code", "VARCHAR"), ("store_name", "VARCHAR"), ("store_format", "VARCHAR"), ("region_id", "BIGINT"), ("region_code", "VARCHAR"), ("region_name", "VARCHAR"), ("channel_id", "BIGINT"), ("channel_code", "VARCHAR"), ("channel_name", "VARCHAR"), ("order_count", "BIGINT"), ("units_sold", "BIGINT"), ("gross_sales", "DOUBLE"), ("discount_amount", "DOUBLE"), ("net_sales", "DOUBLE"), ("cogs_amount", "DOUBLE"), ("gross_profit", "DOUBLE")],
     'vq1_view_query_total': [("total_items", "BIGINT"), ("total_pages", "BIGINT")],
     'vq2_summarize': [("lifetime_net_sales", "DOUBLE"), ("lifetime_gross_profit", "DOUBLE"), ("order_count", "DOUBLE"), ("lifetime_units", "DOUBLE")],

@@ -40,3 +40,8 @@ SELECT 'revenue' AS series, order_date AS x, CAST(net_sales AS DOUBLE) AS y FROM
 UNION ALL SELECT 'profit', order_date, CAST(gross_profit AS DOUBLE) FROM vw_executive_daily_kpis
 UNION ALL SELECT 'orders', order_date, CAST(order_count AS DOUBLE) FROM vw_executive_daily_kpis""",
 }
+
+VQ["vq1_view_query_dated"] = """
+SELECT customer_id, customer_number, first_order_date, last_order_date, lifetime_net_sales FROM vw_customer_360
+WHERE first_order_date >= DATE '1998-01-01' AND first_order_date <= DATE '1999-12-31'
+ORDER BY last_order_date ASC NULLS LAST, customer_id ASC LIMIT 100"""
