@@ -19,7 +19,9 @@ SUBSET = ["v05", "v06", "m02", "m03", "m05", "m06", "m09", "m10", "m12", "m14",
           "q15", "q16", "q19", "q22", "q25", "q28", "q36", "q43", "q49", "q50", "q54", "q56",
           "fn1_monthly_revenue", "fn3_customer_rfm_asof", "fn5_executive_scorecard", "k01_dashboard_overview",
           "k06_sales_overview", "k09_product_performance", "k14_cohorts", "k17_churn_risk", "k27_cashflow",
-          "vq1_view_query_page", "vq4_time_series", "c3_foreign_keys"]
+          "vq1_view_query_page", "vq1_view_query_dated", "vq4_time_series", "c3_foreign_keys", "c6_c7_row_checks",
+          "fn1_monthly_revenue_sql", "fn5_executive_scorecard_sql", "k13_rfm_segments_filtered",
+          "k09_product_performance_margin_p2"]
 FULL = os.environ.get("SHELFWISE_FULL_ORACLE") == "1"
 NAMES = sorted(REGISTRY) if FULL else SUBSET
 SF = SF_ORACLE if FULL else SF_SMALL
