@@ -87,6 +87,8 @@ def build_registry() -> dict[str, Callable[[Catalog], DataFrame]]:
     reg["k19_inventory_by_product_p2"] = lambda cat: kpis.k19_inventory(cat, page=2, page_size=30, sort_by="product",
                                                                         sort_dir="asc")
     reg["k21_returns_by_category_filtered"] = lambda cat: kpis.k21_returns_by_category(cat, category=["SMALL", "medium"])
+    reg["k17_churn_risk_champions"] = lambda cat: kpis.k17_churn_risk(cat, segment=["Champions"])
+    reg["k22_warehouse_performance_search"] = lambda cat: kpis.k22_warehouse_performance(cat, search="NATION_1")
     reg.update(_sql_function_entries())
     reg.update(_viewquery_entries())
     reg.update(_integrity_entries())

@@ -593,3 +593,16 @@ for _variant, _base in (("k06_sales_overview_filtered", "k06_sales_overview"),
                         ("k19_inventory_by_product_p2", "k19_inventory"),
                         ("k21_returns_by_category_filtered", "k21_returns_by_category")):
     assert K[_variant] != K[_base], _variant
+
+K["k17_churn_risk_champions"] = K["k17_churn_risk"].replace(
+    "WHERE ml.entity_type = 'customer'",
+    "WHERE ml.entity_type = 'customer' AND ml.entity_id IN (SELECT CAST(customer_id AS VARCHAR) FROM vw_customer_rfm "
+    "WHERE lower(rfm_segment) IN ('champions'))")
+K["k22_warehouse_performance_search"] = K["k22_warehouse_performance"].replace(
+    "FROM vw_inventory_health GROUP BY 1",
+    "FROM vw_inventory_health WHERE contains(lower(coalesce(dc_name, store_name, 'Unknown')), 'nation_1') GROUP BY 1"
+).replace(
+    "FROM vw_shipment_performance GROUP BY 1",
+    "FROM vw_shipment_performance WHERE contains(lower(coalesce(dc_name, dc_code, 'Unknown')), 'nation_1') GROUP BY 1")
+assert K["k17_churn_risk_champions"] != K["k17_churn_risk"]
+assert K["k22_warehouse_performance_search"].count("contains(") == 2

@@ -38,6 +38,7 @@ SCHEMAS = {
     'k16_top_customers_detail': [("customer_id", "VARCHAR"), ("customer", "VARCHAR"), ("segment", "VARCHAR"), ("region", "VARCHAR"), ("lifetime_value", "DOUBLE"), ("orders", "DOUBLE"), ("average_order_value", "DOUBLE"), ("lifecycle_status", "VARCHAR"), ("last_order_date", "DATE"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
     'k16_top_customers_detail_orders_p3': [("customer_id", "VARCHAR"), ("customer", "VARCHAR"), ("segment", "VARCHAR"), ("region", "VARCHAR"), ("lifetime_value", "DOUBLE"), ("orders", "DOUBLE"), ("average_order_value", "DOUBLE"), ("lifecycle_status", "VARCHAR"), ("last_order_date", "DATE"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
     'k17_churn_risk': [("risk_level", "VARCHAR"), ("customer_count", "DOUBLE"), ("predicted_revenue_at_risk", "DOUBLE"), ("confidence", "DOUBLE"), ("confidence_available", "BOOLEAN")],
+    'k17_churn_risk_champions': [("risk_level", "VARCHAR"), ("customer_count", "DOUBLE"), ("predicted_revenue_at_risk", "DOUBLE"), ("confidence", "DOUBLE"), ("confidence_available", "BOOLEAN")],
     'k18_operations_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("formatted_value", "VARCHAR"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
     'k19_inventory': [("product", "VARCHAR"), ("product_id", "VARCHAR"), ("sku", "VARCHAR"), ("category", "VARCHAR"), ("stock", "DOUBLE"), ("safety_stock", "DOUBLE"), ("turnover", "DOUBLE"), ("inventory_value", "DOUBLE"), ("stock_status", "VARCHAR"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
     'k19_inventory_by_product_p2': [("product", "VARCHAR"), ("product_id", "VARCHAR"), ("sku", "VARCHAR"), ("category", "VARCHAR"), ("stock", "DOUBLE"), ("safety_stock", "DOUBLE"), ("turnover", "DOUBLE"), ("inventory_value", "DOUBLE"), ("stock_status", "VARCHAR"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
@@ -45,6 +46,7 @@ SCHEMAS = {
     'k21_returns_by_category': [("category", "VARCHAR"), ("return_count", "DOUBLE"), ("return_pct", "DOUBLE"), ("return_cost", "DOUBLE"), ("trend", "VARCHAR")],
     'k21_returns_by_category_filtered': [("category", "VARCHAR"), ("return_count", "DOUBLE"), ("return_pct", "DOUBLE"), ("return_cost", "DOUBLE"), ("trend", "VARCHAR")],
     'k22_warehouse_performance': [("warehouse", "VARCHAR"), ("inventory", "DOUBLE"), ("fulfillment", "DOUBLE"), ("stockouts", "DOUBLE"), ("average_processing_time", "DOUBLE")],
+    'k22_warehouse_performance_search': [("warehouse", "VARCHAR"), ("inventory", "DOUBLE"), ("fulfillment", "DOUBLE"), ("stockouts", "DOUBLE"), ("average_processing_time", "DOUBLE")],
     'k23_operational_risks': [("risk", "VARCHAR"), ("severity", "VARCHAR"), ("owner", "VARCHAR"), ("recommendation", "VARCHAR")],
     'k24_finance_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("formatted_value", "VARCHAR"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
     'k25_profitability_by_region': [("region", "VARCHAR"), ("revenue", "DOUBLE"), ("cost", "DOUBLE"), ("profit", "DOUBLE"), ("margin", "DOUBLE"), ("growth", "DOUBLE")],
