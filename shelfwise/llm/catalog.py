@@ -1,5 +1,7 @@
-"""Queries of this subpackage, by name."""
+"""Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from shelfwise.llm import quality_rules, simhash
+from shelfwise.llm import decontamination, packing, pii, preference, quality_rules, simhash, url_filters
 
-QUERIES = quality_rules.QUERIES | simhash.QUERIES
+QUERIES = (simhash.QUERIES | url_filters.QUERIES | packing.QUERIES | quality_rules.QUERIES | decontamination.QUERIES | pii.QUERIES
+           | preference.QUERIES)
+ORACLE = url_filters.ORACLE

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfwise.operators.materialize import attach_scalars, freeze
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -30,14 +32,14 @@ def _covered(wins: Column) -> Column:
     return F.size(F.array_distinct(F.flatten(at)))
 
 
-def base_rules(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
-    """doc_id, host and the base counts of each row."""
+def base_rules(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, keep: tuple = ()) -> DataFrame:
+    """doc_id, host and the base counts of each row; the columns of ``keep`` in a struct named row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", F.col("source").alias("host"), text.alias("text"),
+    d = docs.select("doc_id", F.col("source").alias("host"), text.alias("text"), *([F.struct(*keep).alias("row")] if keep else []),
                     F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
     d = d.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)))
     d = d.withColumn("wins", _repeat_words(F.col("words")))
-    d = d.select("doc_id", "host", F.size("words").cast("long").alias("n_words"),
+    d = d.select("doc_id", "host", *(["row"] if keep else []), F.size("words").cast("long").alias("n_words"),
                  F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
                  F.length(F.regexp_replace("text", r"[^#*$%&|<>]", "")).cast("long").alias("n_symbols"),
                  (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -50,20 +52,27 @@ def host_rates(scored: DataFrame) -> DataFrame:
     """Failure rate by host, shrunk by a beta prior fitted to the host rates by moments."""
     hosts = scored.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     rate = F.col("failed") / F.col("n")
-    m = hosts.agg((F.sum("failed") / F.sum("n")).alias("mean"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("var"))
+    hosts = attach_scalars(hosts, hosts.agg((F.sum("failed") / F.sum("n")).alias("mean"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("var"),
+                                            F.sum("n").alias("total")))
     spread = F.col("mean") * (1 - F.col("mean"))
     size = F.when((F.col("var") > 0) & (spread > F.col("var")), spread / F.col("var") - 1).otherwise(F.lit(1.0))
-    return (hosts.join(F.broadcast(m), F.lit(True))  # one row
-            .select("host", ((F.col("failed") + F.col("mean") * size) / (F.col("n") + size)).alias("host_rate")))
-
-
-def quality_rules(docs: DataFrame, max_host_rate: float = 0.5) -> DataFrame:
-    """Base counts, base_failed, the host's shrunk rate and kept."""
-    scored = base_rules(docs)
-    v = host_rates(scored).withColumnRenamed("host", "v_host")
-    return (scored.join(v, scored["host"].eqNullSafe(v["v_host"]), "left")
-            .withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= max_host_rate))
-            .drop("v_host"))
+    return hosts.select("host", "n", "total", ((F.col("failed") + F.col("mean") * size) / (F.col("n") + size)).alias("host_rate"))
+
+
+def quality_rules(docs: DataFrame, max_host_rate: float = 0.5, keep: tuple = (), hot_share: int = 1000) -> DataFrame:
+    """Base counts, base_failed, the host's shrunk rate and kept (and the struct row, see base_rules).
+
+    Verdicts of hosts with over 1 / hot_share of all rows, fewer than hot_share
+    by count, are broadcast; rows of the other hosts meet theirs by a shuffle.
+    """
+    scored = freeze(base_rules(docs, keep=keep))
+    v = freeze(host_rates(scored)).withColumnRenamed("host", "v_host")
+    hot = F.col("n") * hot_share > F.col("total")
+    same = F.col("host").eqNullSafe(F.col("v_host"))
+    big = F.broadcast(v.where(hot).select("v_host", "host_rate"))
+    joined = (scored.join(big, same, "inner")
+              .unionByName(scored.join(big, same, "left_anti").join(v.where(~hot).select("v_host", "host_rate"), same, "inner")))
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate)).drop("v_host")
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
