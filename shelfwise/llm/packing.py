@@ -46,14 +46,14 @@ def _encoder(path: str) -> tiktoken.Encoding:
     return _ENCODERS[path]
 
 
-def tokenize(docs: DataFrame, vocabulary: str, separator: int) -> DataFrame:
-    """The input's doc_id and source with n and ids (little-endian 32-bit, separator last)."""
+def tokenize(docs: DataFrame, vocabulary: str, separator: int, kind: str) -> DataFrame:
+    """The input's doc_id and source with n and ids (little-endian, of the given numpy kind, separator last)."""
     schema = "doc_id long, source string, n long, ids binary"
 
     def run(batches):
         for b in batches:
             enc = _encoder(vocabulary)
-            ids = [np.array([*enc.encode_ordinary(t or ""), separator], "<u4") for t in b.column("text").to_pylist()]
+            ids = [np.array([*enc.encode_ordinary(t or ""), separator], kind) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("source"), pa.array([len(x) for x in ids], pa.int64()),
                  pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "source", "n", "ids"])
@@ -109,24 +109,26 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, window: int =
     if window % chunk:
         raise ValueError("the chunk must divide the window")
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    toks = freeze(tokenize(docs, vocabulary, separator))
+    kind = "<u2" if max(_encoder(vocabulary).max_token_value, separator) < 1 << 16 else "<u4"  # between stages only
+    toks = freeze(tokenize(docs, vocabulary, separator, kind))
     many = toks.agg(F.count_distinct("source").alias("k")).first()["k"] >= max_queues
     name = F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string") if many else F.col("source")
+    name = F.coalesce(F.concat(F.lit("="), name), F.lit("null"))  # no null keys: the window's partitioning serves the join too
     toks = toks.withColumn("queue", name).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     sums = freeze(toks.groupBy("queue", "bucket").agg(F.sum("n").alias("n")))
     queues = sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()  # at most max_queues rows
-    queues.sort(key=lambda r: (r["queue"] is not None, r["queue"]))
+    queues.sort(key=lambda r: r["queue"])
     totals = np.array([r["n"] for r in queues], np.int64)
     shares = totals / max(1, totals.sum())
     if targets:
-        shares = np.array([targets.get(r["queue"], s) for r, s in zip(queues, shares)], float)
+        shares = np.array([targets.get(r["queue"][1:], s) for r, s in zip(queues, shares)], float)
     quanta = _schedule(totals, shares, window) if len(totals) else totals
     number = {r["queue"]: i for i, r in enumerate(queues)}
-    base = sums.select(F.col("queue").alias("q"), F.col("bucket").alias("b"),
+    base = sums.select("queue", "bucket",
                        (F.sum("n").over(Window.partitionBy("queue").orderBy("bucket")) - F.col("n")).alias("base"))
     inside = Window.partitionBy("queue", "bucket").orderBy("doc_id", "n", F.crc32("ids")).rowsBetween(Window.unboundedPreceding, -1)
     placed = (toks.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-              .join(base, F.col("queue").eqNullSafe(F.col("q")) & (F.col("bucket") == F.col("b")))
+              .join(base, ["queue", "bucket"])
               .select("doc_id", "source", "queue", "n", "ids", (F.col("base") + F.col("before")).alias("first")))
     schema = "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -134,13 +136,13 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, window: int =
         for f in frames:
             if not len(f):
                 continue
-            q = np.array([number[None if pd.isna(x) else x] for x in f["queue"]], np.int64)
+            q = np.array([number[x] for x in f["queue"]], np.int64)
             n = f["n"].to_numpy(np.int64)
             doc, start, size, at = _pieces(q, f["first"].to_numpy(np.int64), n, totals, quanta, window, chunk)
-            raw = f["ids"].to_numpy()
+            raw = [np.frombuffer(x, kind) for x in f["ids"]]
             yield pd.DataFrame({
                 "doc_id": f["doc_id"].astype("Int64").to_numpy()[doc], "source": f["source"].to_numpy()[doc], "start": start, "length": size,
-                "ids": [raw[d][4 * s:4 * (s + k)] for d, s, k in zip(doc.tolist(), start.tolist(), size.tolist())],
+                "ids": [raw[d][s:s + k].astype("<u4").tobytes() for d, s, k in zip(doc.tolist(), start.tolist(), size.tolist())],
                 "doc_tokens": n[doc], "sequence_id": at // window, "offset": at % window})
     return placed.mapInPandas(cut, schema)
 
