@@ -1,7 +1,7 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from shelfwise.llm import decontamination, packing, phrase_dedup, pii, preference, quality_rules, simhash, url_filters
+from shelfwise.llm import decontamination, packing, phrase_dedup, pii, preference, quality_rules, simhash, suffix_dedup, url_filters
 
 QUERIES = (simhash.QUERIES | url_filters.QUERIES | packing.QUERIES | quality_rules.QUERIES | decontamination.QUERIES | pii.QUERIES
-           | preference.QUERIES | phrase_dedup.QUERIES)
+           | preference.QUERIES | phrase_dedup.QUERIES | suffix_dedup.QUERIES)
 ORACLE = url_filters.ORACLE
