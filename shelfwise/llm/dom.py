@@ -142,10 +142,9 @@ def features(page: Page) -> np.ndarray:
         same[k] = kinds[parent[k], page.tag[k]] - 1
     up = np.maximum(parent, 0)
     density = link / np.maximum(text, 1)
-    tag = np.array(page.tag, dtype=object)
 
     def is_in(*names):
-        return np.isin(tag.astype(str), names)
+        return [t in names for t in page.tag]
     cols = [depth, children, np.log1p(text), density, text / tags, stop / np.maximum(text, 1), own / np.maximum(text, 1),
             np.where(np.isinf(start), total, start) / max(total, 1), text / max(total, 1), at / np.maximum(children[up], 1), children[up], same,
             np.log1p((beside[up] - text) / np.maximum(children[up] - 1, 1)), density[up], is_in(*BOILER_TAGS), is_in("article", "main"),

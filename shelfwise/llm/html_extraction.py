@@ -155,12 +155,33 @@ def decode(page: Page, odds: np.ndarray) -> np.ndarray:
     return out
 
 
+def main_texts(htmls: list, model: Boosted, at_once: int = 200_000) -> list[str]:
+    """The main text of each page; the trees see the elements of many pages at once, up to a bounded number and a page."""
+    out: list[str] = []
+    pages: list[Page] = []
+
+    def flush():
+        odds = model.log_odds(np.vstack([features(p) for p in pages]))
+        ends = np.cumsum([len(p.tag) for p in pages])
+        for page, some in zip(pages, np.split(odds, ends[:-1])):
+            kept = decode(page, some)
+            out.append("\n".join(t for k, t, _ in page.runs if kept[k]))
+        pages.clear()
+
+    held = 0
+    for html in htmls:
+        pages.append(Page(html or ""))
+        held += len(pages[-1].tag) + len(html or "") // 50
+        if held > at_once:
+            flush()
+            held = 0
+    if pages:
+        flush()
+    return out
+
+
 def main_text(html: str | None, model: Boosted) -> str:
-    page = Page(html or "")
-    if not page.runs:
-        return ""
-    kept = decode(page, model.log_odds(features(page)))
-    return "\n".join(t for k, t, _ in page.runs if kept[k])
+    return main_texts([html], model)[0]
 
 
 def fit(pages: DataFrame, sample_pages: int = 300) -> Boosted:
@@ -175,7 +196,7 @@ def extract(pages: DataFrame, model: Boosted | None = None, sample_pages: int =
 
     @F.pandas_udf("string")
     def text(html: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, model) for h in html], dtype=object)
+        return pd.Series(main_texts(list(html), model), dtype=object)
     got = pages.select("page_id", "url", text("html").alias("text"))
     return got.withColumn("n_chars", F.length("text").cast("long"))
 
