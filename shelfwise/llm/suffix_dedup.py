@@ -125,11 +125,11 @@ def remove_repeated_strings(docs: DataFrame, size: int = 50, gram: int = 12) ->
     reps = reps.select("doc_id", "key")
     sources = body.select("doc_id", "key", "text").join(reps, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
     held = freeze(sources.mapInPandas(_phrases(size, gram), "h long, e long, doc_id long, key long, a int, n int"))
-    dictionary = held.groupBy("h", "e").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    triggers = dictionary.groupBy("h").agg(F.count("*").alias("forms"), F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last")
-    met = freeze(held.join(triggers.select("h", "forms"), "h"))  # what may recur
-    known = met.groupBy("h", "e").agg(F.min("doc_id").alias("lo"))
-    met = freeze(met.join(known, ["h", "e"]).select("doc_id", "key", "a", "n", "lo", "forms"))
+    triggers = held.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h")
+    met = freeze(held.join(triggers, "h", "left_semi"))  # what may recur
+    known = freeze(met.groupBy("h", "e").agg(F.min("doc_id").alias("lo")))
+    forms = known.groupBy("h").agg(F.count("*").alias("forms"))
+    met = met.join(known, ["h", "e"]).join(forms, "h").select("doc_id", "key", "a", "n", "lo", "forms")
     whole = met.where("doc_id > lo").select("doc_id", "key", F.col("a").cast("long").alias("s"), (F.col("a") + F.col("n") + (size - 1)).cast("long").alias("e"))
     open_ = met.where("doc_id = lo and forms > 1").groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "n")).alias("hits"))
     order = (sources.join(open_, ["doc_id", "key"]).mapInPandas(_suffixes(size), "w binary, doc_id long, key long, a long")
