@@ -123,8 +123,15 @@ def top_dense_rank(df: DataFrame, value: str, n: int, name: str, ascending: bool
     return df.join(F.broadcast(ranked), value)
 
 
-def top_n(df: DataFrame, order_by: list[Column], n: int, rank_name: str | None = None) -> DataFrame:
-    """``ORDER BY … LIMIT n`` (TakeOrderedAndProject), optionally numbered 1..n."""
+def top_n(df: DataFrame, order_by: list[Column], n: int | None, rank_name: str | None = None) -> DataFrame:
+    """``ORDER BY … LIMIT n`` (TakeOrderedAndProject), optionally numbered 1..n.
+
+    Without ``n`` every row comes back, ordered; numbers then come from the
+    distributed row number, not from a window in one task.
+    """
+    if n is None:
+        rows = global_row_number(df, order_by, rank_name) if rank_name else df
+        return rows.orderBy(rank_name) if rank_name else rows.orderBy(*order_by)
     top = df.orderBy(*order_by).limit(n)
     if rank_name:
         top = top.withColumn(rank_name, F.row_number().over(Window.orderBy(*order_by)))

@@ -338,9 +338,9 @@ def q25(cat):
                       _r2("lifetime_net_sales").alias("lifetime_net_sales"), "value_rank").orderBy("value_rank")
 
 
-def q26(cat):
+def q26(cat, limit: int | None = None):
     c = M.customer_360(cat).where((F.col("days_since_last_order") > 180) & (F.col("order_count") >= 2))
-    top = top_n(c, [F.col("lifetime_net_sales").desc_nulls_first(), F.col("customer_id").asc()], 500)
+    top = top_n(c, [F.col("lifetime_net_sales").desc_nulls_first(), F.col("customer_id").asc()], limit)
     return top.select("customer_id", "customer_number", "customer_type", "last_order_date", "days_since_last_order",
                       _r2("lifetime_net_sales").alias("lifetime_net_sales"), "order_count")
 
@@ -437,7 +437,7 @@ def q35(cat):
                     ratio(F.col("cogs") * F.col("inv_n"), "inv_sum", 2).alias("inventory_turnover_proxy"))
 
 
-def q36(cat):
+def q36(cat, limit: int | None = None):
     since = F.date_sub(F.lit(cat.as_of), 90)
     o = cat.orders.where(F.col("order_date") >= since).select("order_id", "order_date")
     per_day = (cat.order_items.join(o, "order_id").groupBy("product_id", "order_date")
@@ -448,7 +448,7 @@ def q36(cat):
     j = stock.join(demand, "product_id").join(p, "product_id")
     j = j.select("sku", "product_name", "on_hand", ratio("units", "days", 2).alias("avg_daily_units"),
                  ratio(F.col("on_hand") * F.col("days"), "units", 1).alias("days_of_supply"))
-    return top_n(j, [F.col("days_of_supply").asc_nulls_last(), F.col("sku").asc()], 100)
+    return top_n(j, [F.col("days_of_supply").asc_nulls_last(), F.col("sku").asc()], limit)
 
 
 def q37a(cat):
@@ -458,13 +458,13 @@ def q37a(cat):
         .orderBy("stock_status", "location_type"))
 
 
-def q37b(cat):
+def q37b(cat, limit: int | None = None):
     s = cat.inventory_snapshots
     out = s.groupBy("snapshot_date").agg(
         F.count(F.when(F.col("quantity_on_hand") == 0, 1)).alias("stockout_rows"),
         F.count(F.lit(1)).alias("total_rows"))
     out = out.withColumn("stockout_rate", ratio("stockout_rows", "total_rows", 4))
-    return top_n(out, [F.col("snapshot_date").desc_nulls_first()], 60)
+    return top_n(out, [F.col("snapshot_date").desc_nulls_first()], limit)
 
 
 def q38(cat):
@@ -509,9 +509,9 @@ def q41(cat):
         ratio(late, n, 4).alias("delay_rate")).orderBy(F.col("delay_rate").desc_nulls_first(), "dc_code"))
 
 
-def q42(cat):
+def q42(cat, limit: int | None = None):
     sp = M.shipment_performance(cat).where(F.col("delay_flag").isin("Delayed Ship", "Delayed Delivery"))
-    top = top_n(sp, [F.col("fulfillment_lead_time_days").desc_nulls_last(), F.col("shipment_id").asc()], 200)
+    top = top_n(sp, [F.col("fulfillment_lead_time_days").desc_nulls_last(), F.col("shipment_id").asc()], limit)
     return top.select("shipment_id", "order_id", "order_date", "ship_date", "fulfillment_lead_time_days",
                       "carrier_name", "delay_flag", "dc_name")
 
@@ -659,13 +659,16 @@ def q53(cat):
     return j.select(F.inline(kv)).orderBy("kpi")
 
 
-def q54(cat, max_depth: int = 32):
-    """Category tree walk (recursive CTE) as level-by-level self joins."""
+def q54(cat):
+    """Category tree walk (recursive CTE) as level-by-level self joins, to any depth.
+
+    A row has one parent, so no cycle can be reached from a root and the walk ends.
+    """
     c = cat.product_categories.select("category_id", "category_code", "category_name", "parent_category_id",
                                       "category_level")
     level = c.where(F.col("parent_category_id").isNull()).withColumn("path", F.col("category_code"))
     out = level
-    for _ in range(max_depth):
+    while True:
         parents = level.select(F.col("category_id").alias("_pid"), F.col("path").alias("_ppath"))
         level = (c.join(parents, c.parent_category_id == parents._pid)
                  .select("category_id", "category_code", "category_name", "parent_category_id", "category_level",

@@ -26,6 +26,7 @@ from shelfwise.functions.expr import (any_of, format_value, iso_week_key, month_
                                       ratio, risk_level, supplier_risk, trend_label, xdiv)
 from shelfwise.operators.materialize import attach_scalars
 from shelfwise.operators.period import Period, make_period, resolve_period
+from shelfwise.operators.ranking import top_n
 from shelfwise.plans import marts as M
 from shelfwise.plans.predictions import ml_predictions
 from shelfwise.plans.quality import data_quality_summary
@@ -196,7 +197,7 @@ def k03_dashboard_regional(cat: Catalog, days: int = 30) -> DataFrame:
     return _regional(df, p, with_profit=True)
 
 
-def k04_top_risks(cat: Catalog, limit: int = 10) -> DataFrame:
+def k04_top_risks(cat: Catalog, limit: int | None = None) -> DataFrame:
     dq = data_quality_summary(cat)
     sev = F.lower(F.col("severity"))
     dq_items = dq.where(sev.isin("critical", "high", "error", "fail") | (F.col("score") < 0.7)).select(
@@ -230,16 +231,15 @@ def k04_top_risks(cat: Catalog, limit: int = 10) -> DataFrame:
                  F.lit(" positions stocked out on latest scorecard day")).alias("description"),
         priority_from_score(r).alias("priority"), percent_text(r).alias("impact"), _owner("stockout_pressure"), F.lit("executive_scorecard").alias("source"))
     items = dq_items.unionByName(ml_items).unionByName(stock_items)
-    top = items.orderBy("_grp", F.col("_k1").asc_nulls_first(), "_k2", "_k3").limit(limit)
-    w = Window.orderBy("_grp", F.col("_k1").asc_nulls_first(), "_k2", "_k3")
-    return top.withColumn("rank", F.row_number().over(w)).drop("_grp", "_k1", "_k2", "_k3")
+    order = [F.col("_grp"), F.col("_k1").asc_nulls_first(), F.col("_k2"), F.col("_k3")]
+    return top_n(items, order, limit, "rank").drop("_grp", "_k1", "_k2", "_k3")
 
 
 # Prediction tokens that mark an opportunity.
 OPPORTUNITY_TOKENS = ("uplift", "propensity", "recommend", "opportunity", "growth", "cross_sell")
 
 
-def k05_opportunities(cat: Catalog, limit: int = 10) -> DataFrame:
+def k05_opportunities(cat: Catalog, limit: int | None = None) -> DataFrame:
     pred = ml_predictions(cat)
     model, label = F.lower("model_name"), F.lower("label")
     is_opp = any_of([model.contains(t) | label.contains(t) for t in OPPORTUNITY_TOKENS])
@@ -264,7 +264,7 @@ def k05_opportunities(cat: Catalog, limit: int = 10) -> DataFrame:
         percent_text(F.col("m1") - F.col("m0")).alias("estimated_impact"),
         F.lit("medium").alias("priority"), F.lit("executive_scorecard").alias("source"))
     items = ml_items.unionByName(margin_item)
-    return items.orderBy("_grp", "_k1", "_k2").limit(limit).drop("_grp", "_k1", "_k2")
+    return top_n(items, [F.col("_grp"), F.col("_k1"), F.col("_k2")], limit).drop("_grp", "_k1", "_k2")
 
 
 # ============================================================ sales
@@ -507,16 +507,16 @@ def k13_rfm_segments(cat: Catalog, date_from=None, date_to=None, segment=None, s
 
 
 def k14_cohorts(cat: Catalog, date_from=None, date_to=None, region=None, segment=None, search=None,
-                max_months: int = 6, max_cohorts: int = 12) -> DataFrame:
+                max_months: int = 6, max_cohorts: int | None = None) -> DataFrame:
     c = _customers(cat, region, segment, search).where(F.col("first_order_date").isNotNull())
     if date_from:
         c = c.where(F.col("first_order_date") >= F.lit(date_from))
     if date_to:
         c = c.where(F.col("first_order_date") <= F.lit(date_to))
     c = c.select(F.trunc("first_order_date", "MM").alias("cohort_start"), "last_order_date")
-    # the latest cohorts: distinct months (bounded by the calendar), top-N, broadcast back
-    latest = c.select("cohort_start").distinct().orderBy(F.col("cohort_start").desc()).limit(max_cohorts)
-    c = c.join(B(latest), "cohort_start")
+    if max_cohorts is not None:  # the latest cohorts: distinct months, top-N, broadcast back
+        latest = c.select("cohort_start").distinct().orderBy(F.col("cohort_start").desc()).limit(max_cohorts)
+        c = c.join(B(latest), "cohort_start")
     cells = c.select("cohort_start", "last_order_date",
                      F.explode(F.sequence(F.lit(0), F.lit(max_months - 1))).alias("month_offset"))
     still = F.col("last_order_date") >= F.add_months("cohort_start", F.col("month_offset"))
@@ -753,7 +753,7 @@ def k22_warehouse_performance(cat: Catalog, date_from=None, date_to=None, region
                     F.col("lead").alias("average_processing_time")).orderBy("warehouse")
 
 
-def k23_operational_risks(cat: Catalog, category=None, supplier=None, search=None, limit: int = 20) -> DataFrame:
+def k23_operational_risks(cat: Catalog, category=None, supplier=None, search=None, limit: int | None = None) -> DataFrame:
     inv = _inventory(cat, category, search, None).agg(
         F.count(F.when(F.lower("stock_status") == "stockout", 1)).alias("so"),
         F.count(F.when(F.lower("stock_status") == "below reorder", 1)).alias("below"))
@@ -781,7 +781,7 @@ def k23_operational_risks(cat: Catalog, category=None, supplier=None, search=Non
         F.concat(F.lit("Rising returns in "), F.col("category")).alias("risk"), F.lit("medium").alias("severity"),
         _owner("rising_returns"), _advice("rising_returns"))
     u = stock.unionByName(below).unionByName(sup).unionByName(rets)
-    return u.orderBy("_grp", "_k").limit(limit).drop("_grp", "_k")
+    return top_n(u, [F.col("_grp"), F.col("_k")], limit).drop("_grp", "_k")
 
 
 # ============================================================ finance
@@ -907,7 +907,7 @@ def k29_budget_variance(cat: Catalog, department=None, search=None) -> DataFrame
                     ).orderBy(F.col("actual").desc(), "department")
 
 
-def k28_financial_risks(cat: Catalog, region=None, department=None, search=None, limit: int = 20) -> DataFrame:
+def k28_financial_risks(cat: Catalog, region=None, department=None, search=None, limit: int | None = None) -> DataFrame:
     prof = k25_profitability_by_region(cat, region=region, search=search)
     low = prof.where(F.col("margin") < 0.15).select(
         F.lit(1).alias("_grp"), F.col("region").alias("_k"), F.lit(0).alias("_sub"),
@@ -938,7 +938,7 @@ def k28_financial_risks(cat: Catalog, region=None, department=None, search=None,
         F.lit(None).cast("decimal(38,2)").alias("estimated_impact"), _owner("enterprise_margin"),
         _advice("enterprise_margin"))
     u = reduce(DataFrame.unionByName, [low, contraction, rising, over, ent])
-    return u.orderBy("_grp", "_k", "_sub").limit(limit).drop("_grp", "_k", "_sub")
+    return top_n(u, [F.col("_grp"), F.col("_k"), F.col("_sub")], limit).drop("_grp", "_k", "_sub")
 
 
 KPIS = {

@@ -72,6 +72,12 @@ def _pick(key, labels):
     return expr
 
 
+def _pad(key, width: int):
+    """The key's digits, padded with zeros up to ``width`` (a longer key stays whole)."""
+    digits = key.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), "0")
+
+
 def _rate(n):
     """Exact DECIMAL(4,2) rate ``0.nn`` from a two-digit integer column."""
     return F.concat(F.lit("0."), n.cast("string")).cast("decimal(4,2)")
@@ -132,7 +138,7 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
 
     def _nation_cols():
         k = F.col("n_nationkey")
-        return k, F.concat(F.lit("S"), F.lpad(k.cast("string"), 2, "0"))
+        return k, F.concat(F.lit("S"), _pad(k, 2))
 
     def stores():
         k, state = _nation_cols()
@@ -150,7 +156,7 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
     def distribution_centers():
         k, state = _nation_cols()
         return raw("nation").select(
-            k.alias("dc_id"), F.concat(F.lit("DC"), F.lpad(k.cast("string"), 2, "0")).alias("dc_code"),
+            k.alias("dc_id"), F.concat(F.lit("DC"), _pad(k, 2)).alias("dc_code"),
             F.concat(F.lit("DC "), F.col("n_name")).alias("dc_name"),
             F.col("n_regionkey").alias("region_id"), F.col("n_name").alias("city"),
             state.alias("state_code"), F.lit(100000).alias("capacity_units"), F.lit(True).alias("is_active"))
@@ -190,7 +196,7 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
         price = F.col("p_retailprice").cast(MONEY)
         return (raw("part").join(F.broadcast(l1()), F.col("p_type") == F.col("l1_code"))
                 .select(k.alias("product_id"),
-                        F.concat(F.lit("SKU-"), F.lpad(k.cast("string"), 8, "0")).alias("sku"),
+                        F.concat(F.lit("SKU-"), _pad(k, 8)).alias("sku"),
                         F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand_name"),
                         F.when(k % 50 == 7, F.col("l1_id")).otherwise(F.col("l1_id") * 1000 + brand_no)
                         .alias("category_id"),
@@ -205,7 +211,7 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
         k = F.col("s_suppkey")
         return raw("supplier").select(
             k.cast("int").alias("supplier_id"),
-            F.concat(F.lit("SUP"), F.lpad(k.cast("string"), 5, "0")).alias("supplier_code"),
+            F.concat(F.lit("SUP"), _pad(k, 5)).alias("supplier_code"),
             F.col("s_name").alias("supplier_name"),
             _pick(k, ["Strategic", "Preferred", "Standard"]).alias("supplier_tier"),
             F.lit("US").alias("country_code"), F.lit(30).alias("payment_terms_days"),
@@ -218,7 +224,7 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
         k, seg = F.col("c_custkey"), F.col("c_mktsegment")
         return raw("customer").select(
             k.alias("customer_id"),
-            F.concat(F.lit("C"), F.lpad(k.cast("string"), 9, "0")).alias("customer_number"),
+            F.concat(F.lit("C"), _pad(k, 9)).alias("customer_number"),
             F.when(seg.isin("HOUSEHOLD", "FURNITURE"), "Loyalty").when(seg == "MACHINERY", "Corporate")
             .otherwise("Guest").alias("customer_type"),
             F.col("c_name").alias("first_name"),
@@ -426,7 +432,7 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
         k = F.col("campaign_id")
         ids = raw("events").select(campaign_key.alias("campaign_id")).where(k.isNotNull()).distinct()
         return ids.select(
-            k, F.concat(F.lit("CMP"), F.lpad(k.cast("string"), 3, "0")).alias("campaign_code"),
+            k, F.concat(F.lit("CMP"), _pad(k, 3)).alias("campaign_code"),
             F.concat(F.lit("Campaign "), k.cast("string")).alias("campaign_name"),
             _pick(k, CAMPAIGN_TYPES).alias("campaign_type"),
             F.when(k % 10 == 9, F.lit(None)).otherwise((k % 5 + 1).cast("int")).alias("channel_id"),

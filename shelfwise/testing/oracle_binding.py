@@ -53,7 +53,7 @@ oltp_stores AS (
   SELECT n_nationkey AS store_id, n_name AS store_code, n_name || ' Store' AS store_name,
          n_regionkey AS region_id,
          CASE n_nationkey % 3 WHEN 0 THEN 'Flagship' WHEN 1 THEN 'Standard' ELSE 'Outlet' END AS store_format,
-         n_name AS city, 'S' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS state_code,
+         n_name AS city, 'S' || lpad(CAST(n_nationkey AS VARCHAR), CAST(greatest(length(CAST(n_nationkey AS VARCHAR)), 2) AS INTEGER), '0') AS state_code,
          5000 + n_nationkey * 1000 AS selling_sq_ft,
          CAST(DATE '1995-01-01' + to_months(n_nationkey * 4) AS DATE) AS open_date,
          CASE WHEN n_nationkey % 7 = 6 THEN CAST(DATE '1995-01-01' + to_months(n_nationkey * 4 + 12) AS DATE) END
@@ -61,9 +61,9 @@ oltp_stores AS (
          n_nationkey % 7 <> 6 AS is_active
   FROM nation),
 oltp_distribution_centers AS (
-  SELECT n_nationkey AS dc_id, 'DC' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS dc_code,
+  SELECT n_nationkey AS dc_id, 'DC' || lpad(CAST(n_nationkey AS VARCHAR), CAST(greatest(length(CAST(n_nationkey AS VARCHAR)), 2) AS INTEGER), '0') AS dc_code,
          'DC ' || n_name AS dc_name, n_regionkey AS region_id, n_name AS city,
-         'S' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS state_code, 100000 AS capacity_units,
+         'S' || lpad(CAST(n_nationkey AS VARCHAR), CAST(greatest(length(CAST(n_nationkey AS VARCHAR)), 2) AS INTEGER), '0') AS state_code, 100000 AS capacity_units,
          TRUE AS is_active
   FROM nation),
 oltp_calendar_date AS (
@@ -99,7 +99,7 @@ oltp_product_categories AS (
          concat_ws(' ', p_type, p_brand), l1_id, CAST(2 AS SMALLINT), TRUE
   FROM (SELECT DISTINCT p_type, p_brand FROM part) JOIN cat_l1 ON p_type = l1_code),
 oltp_products AS (
-  SELECT p_partkey AS product_id, 'SKU-' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS sku,
+  SELECT p_partkey AS product_id, 'SKU-' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(length(CAST(p_partkey AS VARCHAR)), 8) AS INTEGER), '0') AS sku,
          p_name AS product_name, p_brand AS brand_name,
          CASE WHEN p_partkey % 50 = 7 THEN l1_id
               ELSE l1_id * 1000 + CAST(split_part(p_brand, '#', 2) AS INTEGER) END AS category_id,
@@ -112,13 +112,13 @@ oltp_products AS (
          p_partkey % 12 <> 0 AS is_active, TIMESTAMP '2001-06-01 00:00:00' AS updated_at
   FROM part JOIN cat_l1 ON p_type = l1_code),
 oltp_suppliers AS (
-  SELECT CAST(s_suppkey AS INTEGER) AS supplier_id, 'SUP' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS supplier_code,
+  SELECT CAST(s_suppkey AS INTEGER) AS supplier_id, 'SUP' || lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(length(CAST(s_suppkey AS VARCHAR)), 5) AS INTEGER), '0') AS supplier_code,
          s_name AS supplier_name, {_pick('s_suppkey', ['Strategic', 'Preferred', 'Standard'])} AS supplier_tier,
          'US' AS country_code, 30 AS payment_terms_days, CAST(5 + s_suppkey % 10 AS INTEGER) AS lead_time_days_avg,
          CAST('0.' || CAST(50 + s_suppkey % 50 AS VARCHAR) AS DECIMAL(5,4)) AS reliability_score, TRUE AS is_active
   FROM supplier),
 oltp_customers_all AS (
-  SELECT c_custkey AS customer_id, 'C' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS customer_number,
+  SELECT c_custkey AS customer_id, 'C' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(length(CAST(c_custkey AS VARCHAR)), 9) AS INTEGER), '0') AS customer_number,
          CASE WHEN c_mktsegment IN ('HOUSEHOLD', 'FURNITURE') THEN 'Loyalty'
               WHEN c_mktsegment = 'MACHINERY' THEN 'Corporate' ELSE 'Guest' END AS customer_type,
          c_name AS first_name,
@@ -261,7 +261,7 @@ campaign_ids AS (
   SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS INTEGER) AS campaign_id FROM events
   WHERE json_extract_string(props, '$.k') IS NOT NULL),
 oltp_marketing_campaigns AS (
-  SELECT campaign_id, 'CMP' || lpad(CAST(campaign_id AS VARCHAR), 3, '0') AS campaign_code,
+  SELECT campaign_id, 'CMP' || lpad(CAST(campaign_id AS VARCHAR), CAST(greatest(length(CAST(campaign_id AS VARCHAR)), 3) AS INTEGER), '0') AS campaign_code,
          'Campaign ' || CAST(campaign_id AS VARCHAR) AS campaign_name,
          {_pick('campaign_id', CAMPAIGN_TYPES)} AS campaign_type,
          CASE WHEN campaign_id % 10 = 9 THEN NULL ELSE CAST(campaign_id % 5 + 1 AS INTEGER) END AS channel_id,

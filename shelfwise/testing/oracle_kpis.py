@@ -137,7 +137,7 @@ items AS (
   WHERE snapshot_positions > 0 AND CAST(stockout_positions AS DOUBLE) / snapshot_positions >= 0.05)
 SELECT id, title, description, priority, impact, owner, source,
        row_number() OVER (ORDER BY grp, k1 ASC NULLS FIRST, k2, k3) AS rank
-FROM items ORDER BY grp, k1 ASC NULLS FIRST, k2, k3 LIMIT 10"""
+FROM items ORDER BY grp, k1 ASC NULLS FIRST, k2, k3"""
 
 TOKENS = ("uplift", "propensity", "recommend", "opportunity", "growth", "cross_sell")
 _opp = " OR ".join(f"lower(model_name) LIKE '%{t}%' OR lower(label) LIKE '%{t}%'" for t in TOKENS)
@@ -158,7 +158,7 @@ items AS (
          'Recent scorecard margin exceeds the start of the trailing window', {_pct_text('m1 - m0')}, 'medium',
          'executive_scorecard'
   FROM ends WHERE n >= 4 AND m1 > m0)
-SELECT id, title, description, estimated_impact, priority, source FROM items ORDER BY grp, k1, k2 LIMIT 10"""
+SELECT id, title, description, estimated_impact, priority, source FROM items ORDER BY grp, k1, k2"""
 
 # ------------------------------------------------------------------ sales
 K["k06_sales_overview"] = cards_sql(
@@ -285,7 +285,7 @@ FROM g"""
 K["k14_cohorts"] = f"""
 WITH c AS (SELECT CAST(date_trunc('month', first_order_date) AS DATE) AS cohort_start, last_order_date
            FROM {CUST} WHERE first_order_date IS NOT NULL),
-latest AS (SELECT DISTINCT cohort_start FROM c ORDER BY cohort_start DESC LIMIT 12),
+latest AS (SELECT DISTINCT cohort_start FROM c),
 cells AS (SELECT c.cohort_start, c.last_order_date, k AS month_offset
           FROM c JOIN latest USING (cohort_start), range(0, 6) t(k)),
 g AS (SELECT cohort_start, month_offset, count(*) AS cohort_size,
@@ -435,7 +435,7 @@ items AS (
   SELECT 4, category, 'Rising returns in ' || category, 'medium', 'Quality / CX',
          'Inspect return reasons and tighten quality checks for the category.'
   FROM (SELECT * FROM rets ORDER BY return_count DESC, category LIMIT 3) WHERE trend = 'up')
-SELECT risk, severity, owner, recommendation FROM items ORDER BY grp, k LIMIT 20"""
+SELECT risk, severity, owner, recommendation FROM items ORDER BY grp, k"""
 
 # ------------------------------------------------------------------ finance
 K["k24_finance_overview"] = cards_sql(
@@ -532,7 +532,7 @@ items AS (
   SELECT 4, '', 0, 'Enterprise margin below 20%', 'medium', NULL, 'CFO Office',
          'Prioritize margin expansion initiatives across regions.'
   FROM ov WHERE metric_id = 'profit_margin' AND available AND value < 0.2)
-SELECT risk, severity, estimated_impact, owner, recommendation FROM items ORDER BY grp, k, sub LIMIT 20"""
+SELECT risk, severity, estimated_impact, owner, recommendation FROM items ORDER BY grp, k, sub"""
 
 
 def _expand(sql: str) -> str:
