@@ -56,6 +56,25 @@ def test_context_and_checksums(spark):
     assert got == [["local_phone"], [], ["iban"], [], ["national_id"], []]
 
 
+def test_iban_with_text_after(spark):
+    de, no, gb = "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "GB82WEST12345698765432"
+    cases = {f"IBAN {de.replace(' ', '')} Please pay": [de.replace(" ", "")], f"{de} BIC COBADEFF": [de], f"pay {de} 5 times": [de],
+             f"{no} A 1 B 2 C 3": [no], f"REF AB12 3456 7890 {gb} {de} {no} X": [gb, de, no], f"{gb}X and x{gb}": [], f"é {de}00": [],
+             f"DE89 3704 0044 0532 0130 01 {gb}, {no}": [gb, no], "RF18 5390 0754 7034 Ref 7": ["RF18 5390 0754 7034"], f"{de}\n{gb} OK": [de, gb]}
+    for t, r in zip(cases, find_pii(frame(spark, list(cases))).orderBy("doc_id").collect()):
+        got = [s for s in r.pii_spans if s.kind == "iban"]
+        assert [s.value for s in got] == cases[t] and all(t[s.start:s.end] == s.value for s in got), t
+    df = find_pii(frame(spark, [f"To {de} BIC COBADEFF now"]))
+    assert df.select(mask(F.col("text"), F.col("pii_spans")).alias("m")).first().m == "To [iban] BIC COBADEFF now"
+
+
+def test_context_on_both_sides(spark):
+    texts = ["555-123-4567 (phone)", "123-45-6789 is my SSN", "555-123-4567" + " " * 41 + "phone", "555-123-4567" + " " * 35 + "phones",
+             "123-45-6789, 987-65-4321 and 223-45-6789: my SSN"]
+    got = [[s.value for s in r.pii_spans] for r in find_pii(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [["555-123-4567"], ["123-45-6789"], [], [], ["123-45-6789", "223-45-6789"]]
+
+
 def test_mask_unions_overlaps(spark):
     df = find_pii(frame(spark, ["mail é a@b.cd or 10.0.0.1!", "none", "see 1.2.3.4@a.bc now"]))
     got = [r.m for r in df.orderBy("doc_id").select(mask(F.col("text"), F.col("pii_spans")).alias("m")).collect()]
