@@ -10,11 +10,13 @@ padded. A queue that is empty earns nothing and the others share the windows.
 
 The schedule is closed-form: chunk c of queue s is served in round
 ceil((c + 1) * chunk / quantum) - 1, and its place in the stream is the sum of what
-all queues have been served before. So a task needs only the queue table (at
-most ``max_queues`` rows: sources beyond that share queues by hash) and the place
-of its documents in their queues, which comes from sums by (queue, bucket) and
-a running sum inside each bucket. Nothing is ordered globally, and a hot source
-is spread over its buckets.
+all queues have been served before. So a task needs only the queue table and the
+place of its documents in their queues, which comes from sums by (queue, bucket)
+and a running sum inside each bucket. Nothing is ordered globally, and a hot source
+is spread over its buckets. Up to ``max_queues`` sources have a queue each. With
+more, every source that ``targets`` names, the null source and the largest others
+(half of ``max_queues``) keep a queue of their own; the small remaining ones share
+a sixteenth of ``max_queues`` by hash.
 
 Null text counts as empty (the separator alone); a null source is a queue of its
 own; repeated rows are packed once each; rows with a null id are packed too;
@@ -70,12 +72,13 @@ def place(queue: np.ndarray, chunk_no: np.ndarray, totals: np.ndarray, quanta: n
     unit = np.int64(chunk << _SCALE)
     rounds = -(-((chunk_no + 1) * unit) // quanta[queue]) - 1
     out = np.empty(len(queue), np.int64)
-    for i in range(0, len(queue), 4096):
-        r, q, c = rounds[i:i + 4096, None], queue[i:i + 4096], chunk_no[i:i + 4096]
+    some = max(1, (1 << 20) // max(1, len(totals)))
+    for i in range(0, len(queue), some):
+        r, q, c = rounds[i:i + some, None], queue[i:i + some], chunk_no[i:i + some]
         before = np.minimum(totals, chunk * (r * quanta // unit))
         after = np.minimum(totals, chunk * ((r + 1) * quanta // unit))
         earlier = np.arange(len(totals)) < q[:, None]
-        out[i:i + 4096] = before.sum(1) + ((after - before) * earlier).sum(1) + c * chunk - before[np.arange(len(q)), q]
+        out[i:i + some] = before.sum(1) + ((after - before) * earlier).sum(1) + c * chunk - before[np.arange(len(q)), q]
     return out
 
 
@@ -111,17 +114,24 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, window: int =
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind = "<u2" if max(_encoder(vocabulary).max_token_value, separator) < 1 << 16 else "<u4"  # between stages only
     toks = freeze(tokenize(docs, vocabulary, separator, kind))
-    many = toks.agg(F.count_distinct("source").alias("k")).first()["k"] >= max_queues
-    name = F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string") if many else F.col("source")
-    name = F.coalesce(F.concat(F.lit("="), name), F.lit("null"))  # no null keys: the window's partitioning serves the join too
+    # Queue names: '=' and a source, '#' and a hash, or 'null'. No null keys: the window's partitioning serves the join too.
+    largest = toks.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(max_queues + 1).collect()
+    name = F.concat(F.lit("="), F.col("source"))
+    if len(largest) > max_queues:
+        named = set(targets or {})
+        others = [r["source"] for r in largest if r["source"] is not None and r["source"] not in named]
+        own = sorted(named) + others[:max_queues // 2]
+        shared = F.pmod(F.xxhash64("source"), F.lit(max(1, max_queues // 16))).cast("string")
+        name = F.when(F.col("source").isNull() | F.col("source").isin(own), name).otherwise(F.concat(F.lit("#"), shared))
+    name = F.coalesce(name, F.lit("null"))
     toks = toks.withColumn("queue", name).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     sums = freeze(toks.groupBy("queue", "bucket").agg(F.sum("n").alias("n")))
-    queues = sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()  # at most max_queues rows
+    queues = sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()  # max_queues rows, the null source's and those of targets at most
     queues.sort(key=lambda r: r["queue"])
     totals = np.array([r["n"] for r in queues], np.int64)
     shares = totals / max(1, totals.sum())
     if targets:
-        shares = np.array([targets.get(r["queue"][1:], s) for r, s in zip(queues, shares)], float)
+        shares = np.array([targets.get(r["queue"][1:], s) if r["queue"][0] == "=" else s for r, s in zip(queues, shares)], float)
     quanta = _schedule(totals, shares, window) if len(totals) else totals
     number = {r["queue"]: i for i, r in enumerate(queues)}
     base = sums.select("queue", "bucket",

@@ -66,3 +66,33 @@ def test_edges(spark):
     twice = pack(df.union(df)).collect()
     assert sum(p.length for p in twice) == 2 * sum(map(len, docs.values()))
     assert pack(df.limit(0)).count() == 0
+
+
+def test_targets_hold_with_many_sources(spark):
+    size = {"s0": 60, "s1": 60, "s2": 60, "big": 300, None: 30}  # documents by source; all others have one
+    size |= {f"s{i}": 1 for i in range(3, 300)}
+    names = [s for s, k in size.items() for _ in range(k)]
+    df = spark.createDataFrame([(i, "some words " * 40, s) for i, s in enumerate(names)], "doc_id long, text string, source string")
+    targets = {"s0": 0.5, "s1": 0.25, "s299": 0.01}
+    pieces = pack(df, targets=targets, chunk=1).collect()
+    docs = dict(enumerate(ids_of(["some words " * 40] * len(names))))
+    for p, raw in check_layout(pieces, docs):
+        assert bytes(p.ids) == raw
+    total = sum(map(len, docs.values()))
+    natural = {s: k * len(docs[0]) / total for s, k in size.items()}
+    weight = natural | targets
+    whole = sum(weight.values())
+    # sources with a queue of their own: the named ones, null and the largest
+    early = Counter()
+    upto = 10
+    for p in pieces:
+        if p.sequence_id < upto:
+            early[p.source] += p.length
+    for s in ("s0", "s1", "s2", "big", None):
+        assert abs(early[s] - weight[s] / whole * upto * 1024) <= 0.03 * weight[s] / whole * upto * 1024 + 5, s
+    # a source of many that no target names has its natural share, without targets too
+    early = Counter()
+    for p in pack(df, chunk=1).collect():
+        if p.sequence_id < 2 * upto:
+            early[p.source] += p.length
+    assert all(abs(early[s] - natural[s] * 2 * upto * 1024) <= 0.03 * natural[s] * 2 * upto * 1024 + 5 for s in ("s0", "s1", "s2", "big", None))
