@@ -9,9 +9,13 @@ import numpy as np
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup "
-                   "time tt u var wbr".split())
-SILENT = frozenset("head script style noscript template textarea select option button svg math iframe object canvas title".split())
+MATH = frozenset("math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow "
+                 "ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+# Without any text that a page shows; those but the head stand inside a run of text without ending it.
+SILENT = frozenset("head script style noscript template textarea select option button svg iframe title annotation annotation-xml".split())
+INLINE = MATH | SILENT - {"head"} | frozenset("a abbr acronym b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark object q s "
+                                              "samp small span strike strong sub sup time tt u var wbr".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSES_P = frozenset("address article aside blockquote body details div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li "
                      "main menu nav ol p pre section table ul".split())
 SIBLING_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -34,9 +38,9 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.tokens, self.runs = ["#page"], [-1], [frozenset()], []
-        self._open = [("#page", 0)]  # name, number of the block element around what follows
+        self._open = [("#page", 0, False)]  # name, number of the block element around what follows, is a link
         self._text: list[str] = []
-        self._links = self._chars = self._silent = 0
+        self._links = self._silent = self._anchors = 0
         self.feed(html)
         self.close()
         self._flush()
@@ -48,11 +52,16 @@ class Page(HTMLParser):
         self._text, self._links = [], 0
 
     def _pop_to(self, at: int):
-        if any(n not in INLINE for n, _ in self._open[at:]):
+        if self._open[-1][1] != self._open[at - 1][1]:
             self._flush()
-        self._silent -= sum(n in SILENT for n, _ in self._open[at:])
+        self._silent -= sum(n in SILENT for n, *_ in self._open[at:])
+        self._anchors -= sum(link for *_, link in self._open[at:])
         del self._open[at:]
 
+    def _leave_head(self):
+        if at := self._last({"head"}):
+            self._pop_to(at)
+
     def _last(self, names, until=frozenset()):
         for at in range(len(self._open) - 1, 0, -1):
             if self._open[at][0] in names:
@@ -68,24 +77,34 @@ class Page(HTMLParser):
             elif name == "br":
                 self._text.append(" ")
             return
-        if name in CLOSES_P and (at := self._last({"p"}, {"td", "th", "button", "object"})):
+        if name == "html" and len(self._open) > 1 or name == "head" and any(n not in ("#page", "html") for n, *_ in self._open):
+            return  # again, or late: no element of its own
+        if name == "body" or self._open[-1][0] == "head" and name not in IN_HEAD:
+            self._leave_head()
+        if name in CLOSES_P and (at := self._last({"p"}, SILENT | {"td", "th", "object"})):
             self._pop_to(at)
-        if name in SIBLING_END and (at := self._last(SIBLING_END[name], HOLDS[name])):
+        if name in SIBLING_END and (at := self._last(SIBLING_END[name], SILENT | HOLDS[name])):
+            self._pop_to(at)
+        if name == "a" and (at := self._last({"a"}, self._blocks())):
             self._pop_to(at)
         block = self._open[-1][1]
-        if name not in INLINE:
+        if name not in INLINE and not self._silent:
             self._flush()
             words = frozenset(w for k, v in attrs if k in ("class", "id", "role") and v for w in re.split(r"[^a-z0-9]+", v.lower()) if w)
             self.tag.append(name)
             self.parent.append(block)
             self.tokens.append(words)
             block = len(self.tag) - 1
+        link = name == "a" and any(k == "href" for k, _ in attrs)
         self._silent += name in SILENT
-        self._open.append((name, block))
+        self._anchors += link
+        self._open.append((name, block, link))
+
+    def _blocks(self):
+        return {n for n, *_ in self._open if n not in INLINE}
 
     def handle_endtag(self, name):
-        stop = frozenset() if name not in INLINE else {n for n, _ in self._open if n not in INLINE}
-        if at := self._last({name}, stop):
+        if at := self._last({name}, self._blocks() if name in INLINE - SILENT - {"object", "canvas"} else frozenset()):
             self._pop_to(at)
 
     def handle_startendtag(self, name, attrs):
@@ -94,9 +113,11 @@ class Page(HTMLParser):
             self.handle_endtag(name)
 
     def handle_data(self, data):
+        if self._open[-1][0] == "head" and data.strip():
+            self._leave_head()
         if not self._silent:
             self._text.append(data)
-            if any(n == "a" for n, _ in self._open[-8:]):
+            if self._anchors:
                 self._links += len(data.strip())
 
 

@@ -5,7 +5,7 @@ hash of the id). Their elements are labelled by landmarks: inside or around
 article and main, and not in or of a menu, header, footer, sidebar, form or an
 element whose attribute words say so. Each page is taken once as it is, once with its
 landmarks renamed to plain div (so that density, depth and sibling features are
-learned too) and once with some paragraphs moved into a comment, notice or sidebar
+learned too, under the labels of the page as it is) and once with some paragraphs moved into a comment, notice or sidebar
 element at a random place. The trees are fitted on the driver and are a few kB.
 
 Decoding is hierarchical: a dropped element drops all below it, so the labels of a
@@ -117,7 +117,7 @@ def _variants(html: str, rng: random.Random):
     """(html, html to label): the page, the page without landmarks, the page with an added foreign element."""
     yield html, html
     plain = re.sub(r"(?i)<(/?)(article|main|nav|header|footer|aside)\b[^>]*>", r"<\1div>", html)
-    yield plain, re.sub(r"(?i)<div\s[^>]*>", "<div class=ad>", html)
+    yield plain, html
     words = rng.choice(["comments", "comment-list", "notice", "cookie notice", "sidebar", "related posts", "newsletter form", "share", "promo"])
     tag = rng.choice(["div", "section", "aside", "ul"])
     moved = re.findall(r"(?is)<p>[^<]{20,400}</p>", html)[:3]
@@ -132,8 +132,9 @@ def train(pages: list[str], seed: int = 7) -> Boosted:
     rng, xs, ys = random.Random(seed), [], []
     for html in pages:
         for shown, told in _variants(html, rng):
-            page, y = Page(shown), weak_labels(Page(told))
-            if y is not None and len(y) == len(page.tag):
+            page, labelled = Page(shown), Page(told)
+            y = weak_labels(labelled)
+            if y is not None and page.parent == labelled.parent:
                 xs.append(features(page))
                 ys.append(y)
     if not xs:  # no page with a landmark: two pages of fixed form stand in

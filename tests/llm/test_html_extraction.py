@@ -38,6 +38,43 @@ def test_other_layouts(model):
     assert not any(x in text for x in ("Home", "One", "Side", "Nice", "Name", "©"))
 
 
+def story(n=6):
+    return "".join(f"<p>Sentence {i} of the story, which goes on for a while, as stories do. It has an end &amp; more.</p>" for i in range(n))
+
+
+@pytest.mark.parametrize("head", ["<head><title>t</title><body>", "<html><head><meta charset=utf-8><title>t</title><style>p{}</style>",
+                                  "<head><title>t</title><script>x</script></head><body>", "<body><head><title>t</title></head>",
+                                  "<head><title>t</title><noscript><style>p{}</style></noscript><body class=home>"])
+def test_open_head(model, head):
+    text = main_text(f"<!DOCTYPE html>{head}<nav><a href=1>One</a> <a href=2>Two</a></nav><article><h1>Head</h1>{story()}</article>", model)
+    assert text.count("Sentence") == 6 and text.startswith("Head") and "One" not in text
+    assert Page("<head><title>t</title>bare text").runs == [(0, "bare text", 0)]
+
+
+def test_inline_math_svg_and_fallback():
+    runs = [t for _, t, _ in Page(
+        "<article><p>Let <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation encoding=tex>E=m</annotation></semantics></math> be"
+        "<svg><title>no</title><g><path d='M0'/><text>no</text></g></svg> so<script>no()</script>, <button>no</button>now.</p>"
+        "<p>A <object data=x><param name=a>plan</object> and <canvas>a chart</canvas> here.</p>"
+        "<object><p>Own text.</object><p>Before <noscript><div>no</div></noscript>after.</p></article>").runs]
+    assert runs == ["Let E=m be so, now.", "A plan and a chart here.", "Own text.", "Before after."]
+
+
+def test_links_at_any_depth():
+    deep = "<a href=x>" + "<b>" * 12 + "link text" + "</b>" * 12 + "</a> plain"
+    assert Page(f"<p>{deep}</p>").runs[0][1:] == ("link text plain", 9)
+    assert Page("<a name=top>text <p>more</p>").runs == [(0, "text", 0), (1, "more", 0)]
+    assert Page("<p><a href=1>one <a href=2>two</a> rest</p>").runs[0][2] == 6
+
+
+def test_attributes_do_not_make_an_advert(model):
+    nav = "<ul>" + "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(6)) + "</ul>"
+    for names in ("class='entry-content'", "id=c12 class='wrap'", "style='margin:0'", "data-x=1 class='post-body entry'"):
+        text = main_text(f"<html><head><title>t</title></head><body><div class=menu>{nav}</div><div class=ad>Buy this now.</div><div {names}>"
+                         f"<h1>Head</h1>{story()}</div><div class=footer>&copy; us</div></body></html>", model)
+        assert text.count("Sentence") == 6 and "Buy" not in text and "Item" not in text, names
+
+
 def test_decoding_is_consistent_and_trees_learn():
     page = Page("<div><p>a<div><p>b</div></div><p>c")
     kept = decode(page, np.array([5, 5, -9, 3, 3, 3, 3, 3.0])[:len(page.tag)])
