@@ -332,7 +332,7 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
             "ship_date", "delivery_date", F.col("order_timestamp").alias("created_at"))
 
     def return_items():
-        r = lines().filter((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1))
+        r = lines().filter(F.col("l_returnflag") == "R")
         pk = F.col("l_partkey")
         return r.select(
             F.col("order_item_id").alias("return_item_id"), F.col("l_orderkey").alias("return_id"),

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators.ranking import top_n
 from shelfwise.plans import business
+from shelfwise.sources.catalog import Catalog
 from shelfwise.sources.tpch_binding import _pad
 
+from conftest import SF_SMALL
+
 
 def test_padding_never_cuts_a_key(spark):
     rows = spark.createDataFrame([(7,), (1234567891,), (1234567892,)], "k long").select(_pad(F.col("k"), 9).alias("c")).collect()
@@ -25,3 +28,13 @@ def test_category_walk_passes_32_levels(spark):
     cats = spark.createDataFrame(rows, "category_id int, category_code string, category_name string, "
                                        "parent_category_id int, category_level int").coalesce(1).cache()
     assert business.q54(SimpleNamespace(product_categories=cats)).count() == 36
+
+
+def test_every_returned_line_is_bound(spark):
+    cat = Catalog.from_tpch(spark, SF_SMALL)
+    flagged = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").where("l_returnflag = 'R'")
+    items, returns = cat.return_items, cat.returns
+    assert items.count() == items.select("return_item_id").distinct().count() == flagged.count() > flagged.where("l_linenumber = 1").count()
+    assert returns.count() == flagged.select("l_orderkey").distinct().count()
+    refund = items.agg(F.sum(F.col("quantity_returned") * F.col("unit_refund_amount")).alias("r")).first().r
+    assert returns.agg(F.sum("refund_amount").alias("r")).first().r == refund
