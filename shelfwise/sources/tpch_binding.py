@@ -51,7 +51,7 @@ CAMPAIGN_TYPES = ["Email", "SMS", "Social", "Display", "InStore", "Promo"]
 OBJECTIVES = ["AWARENESS", "ACQUISITION", "RETENTION"]
 RESPONSE_TYPES = {"view": "Sent", "signup": "Open", "error": "Click", "purchase": "Convert",
                   "click": "Unsubscribe"}
-# Date ranges of the binding.
+# Date ranges of the binding (the calendar's: at least; it grows with the orders).
 CALENDAR_START, CALENDAR_END = "1994-12-01", "2002-12-31"
 SNAPSHOT_FIRST, SNAPSHOT_LAST = "2000-09-01", "2001-08-01"
 LABOR_FIRST, LABOR_LAST = "1995-01-01", "2001-08-01"
@@ -162,7 +162,13 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
             state.alias("state_code"), F.lit(100000).alias("capacity_units"), F.lit(True).alias("is_active"))
 
     def calendar_date():
-        return calendar(spark, CALENDAR_START, CALENDAR_END)
+        # a day for every order, ship, delivery and return date that the rules below give
+        if "calendar_bounds" not in cache:
+            k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+            last = F.greatest(F.date_add(d, (F.lit(3) + k % 25).cast("int")), F.date_add(d, (k % 9 + k % 11).cast("int")))
+            cache["calendar_bounds"] = raw("orders").agg(F.min(d).cast("string"), F.max(last).cast("string")).first()
+        first, last = cache["calendar_bounds"]
+        return calendar(spark, min(first or CALENDAR_START, CALENDAR_START), max(last or CALENDAR_END, CALENDAR_END))
 
     # ---------------- product ----------------
     def _l1():

@@ -1,11 +1,12 @@
 """Results stay whole: long keys keep their digits, lists without a limit keep every row."""
 
+import os
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from shelfwise.operators.ranking import top_n
-from shelfwise.plans import business
+from shelfwise.plans import business, kpis, marts
 from shelfwise.sources.catalog import Catalog
 from shelfwise.sources.tpch_binding import _pad
 
@@ -38,3 +39,19 @@ def test_every_returned_line_is_bound(spark):
     assert returns.count() == flagged.select("l_orderkey").distinct().count()
     refund = items.agg(F.sum(F.col("quantity_returned") * F.col("unit_refund_amount")).alias("r")).first().r
     assert returns.agg(F.sum("refund_amount").alias("r")).first().r == refund
+
+
+def test_calendar_reaches_every_order(spark, tmpdir_path):
+    d = F.when(F.col("o_orderkey") % 97 == 1, F.lit("1988-02-28").cast("date")).when(F.col("o_orderkey") % 97 == 2, F.lit("2031-12-20").cast("date"))
+    for f in os.listdir(SF_SMALL):
+        df = spark.read.parquet(f"{SF_SMALL}/{f}")
+        if f == "orders.parquet":
+            df = df.withColumn("o_orderdate", F.coalesce(d.cast(df.schema["o_orderdate"].dataType), "o_orderdate"))
+        df.write.parquet(f"{tmpdir_path}/{f}")
+    cat = Catalog.from_tpch(spark, tmpdir_path)
+    days = {r.full_date for r in cat.calendar_date.select("full_date").collect()}
+    for dates in (cat.orders.select("order_date"), cat.shipments.select("ship_date"), cat.shipments.select("delivery_date"), cat.returns.select("return_date")):
+        assert {r[0] for r in dates.distinct().collect()} - {None} <= days
+    assert {1988, 2031} <= {r.y for r in marts.fact_sales_line(cat).select(F.year("order_date").alias("y")).distinct().collect()}
+    assert marts.fact_sales_line(cat).count() == marts.fact_sales_line(Catalog.from_tpch(spark, SF_SMALL)).count()
+
