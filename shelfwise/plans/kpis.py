@@ -753,7 +753,9 @@ def k22_warehouse_performance(cat: Catalog, date_from=None, date_to=None, region
                     F.col("lead").alias("average_processing_time")).orderBy("warehouse")
 
 
-def k23_operational_risks(cat: Catalog, category=None, supplier=None, search=None, limit: int | None = None) -> DataFrame:
+def k23_operational_risks(cat: Catalog, category=None, supplier=None, search=None, limit: int | None = None,
+                          return_categories: int | None = None) -> DataFrame:
+    """``return_categories`` keeps the rising categories with most returns (all of them by default)."""
     inv = _inventory(cat, category, search, None).agg(
         F.count(F.when(F.lower("stock_status") == "stockout", 1)).alias("so"),
         F.count(F.when(F.lower("stock_status") == "below reorder", 1)).alias("below"))
@@ -775,8 +777,10 @@ def k23_operational_risks(cat: Catalog, category=None, supplier=None, search=Non
         F.concat(F.lit("Low on-time delivery: "), F.coalesce("supplier_name", F.lit("Supplier"))).alias("risk"),
         F.when(F.col("on_time_rate") < 0.5, "high").otherwise("medium").alias("severity"),
         _owner("supplier_on_time"), _advice("supplier_on_time"))
-    top3 = k21_returns_by_category(cat, category=category, search=search).limit(3)
-    rets = top3.where(F.col("trend") == "up").select(
+    rising = k21_returns_by_category(cat, category=category, search=search).where(F.col("trend") == "up")
+    if return_categories is not None:
+        rising = rising.orderBy(F.col("return_count").desc(), "category").limit(return_categories)
+    rets = rising.select(
         F.lit(4).alias("_grp"), F.col("category").alias("_k"),
         F.concat(F.lit("Rising returns in "), F.col("category")).alias("risk"), F.lit("medium").alias("severity"),
         _owner("rising_returns"), _advice("rising_returns"))

@@ -55,3 +55,12 @@ def test_calendar_reaches_every_order(spark, tmpdir_path):
     assert {1988, 2031} <= {r.y for r in marts.fact_sales_line(cat).select(F.year("order_date").alias("y")).distinct().collect()}
     assert marts.fact_sales_line(cat).count() == marts.fact_sales_line(Catalog.from_tpch(spark, SF_SMALL)).count()
 
+
+def test_rising_returns_of_every_category(spark, monkeypatch):
+    rows = [(f"c{i}", 9.0 - i, "down" if i < 3 else "up") for i in range(7)]
+    monkeypatch.setattr(kpis, "k21_returns_by_category", lambda *a, **k: spark.createDataFrame(rows, "category string, return_count double, trend string"))
+    cat = Catalog.from_tpch(spark, SF_SMALL)
+
+    def rising(**kw):
+        return sorted(r.risk[-2:] for r in kpis.k23_operational_risks(cat, **kw).collect() if r.risk.startswith("Rising returns"))
+    assert rising() == ["c3", "c4", "c5", "c6"] and rising(return_categories=3) == ["c3", "c4", "c5"]
