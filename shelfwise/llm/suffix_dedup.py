@@ -13,7 +13,8 @@
    occurrence are sorted, by range over the cluster, by their first ``size`` bytes
    and doc_id; equal neighbours stream by in order, and all but the smallest
    doc_id's are covered. A task holds one batch, however long a run of equals is.
-5. Parse and order together give each document's covered bytes.
+5. Whole phrases and the sorted windows together give each document's covered
+   bytes; no suffix array of the dictionary or of the parse is built.
 
 Null text counts as empty; a text of fewer bytes than ``size`` loses nothing; rows
 with a null doc_id are neither source nor target; rows that share a doc_id are
