@@ -1,25 +1,29 @@
 """Repeated byte strings removed by prefix-free parsing and a suffix order.
 
-1. Exact copies: of the rows with one text only the smallest doc_id goes on; in
-   the others every string stands in a smaller document.
-2. Parse: a rolling hash of ``gram`` bytes triggers where it is the minimum of a
-   string of ``size`` bytes, so each such string holds a trigger. Strings that follow
-   each other with one trigger make a phrase (its bytes: from the first string's
-   start to the last one's end). Equal strings have equal triggers.
-3. Dictionary: distinct phrases (trigger and a second hash of the bytes: 128 bits)
-   with their smallest doc_id. A phrase in a larger document is covered whole.
-4. Suffix order: other repeats join different phrases with one trigger. Only
-   where a trigger has several phrases, the suffixes of each phrase's first
-   occurrence are sorted, by range over the cluster, by their first ``size`` bytes
-   and doc_id; equal neighbours stream by in order, and all but the smallest
-   doc_id's are covered. A task holds one batch, however long a run of equals is.
-5. Whole phrases and the sorted windows together give each document's covered
-   bytes; no suffix array of the dictionary or of the parse is built.
+1. Parse: a rolling hash of ``gram`` bytes triggers where it is the smallest in a string
+   of ``size`` bytes, so each such string holds a trigger. The strings that follow
+   each other with one trigger make a phrase: its bytes go from the first string's start
+   to the last one's end, so a phrase holds all that its strings need.
+2. Dictionary: distinct phrases (trigger and content hash: 128 bits) with their
+   smallest doc_id. A phrase in a larger document is covered whole.
+3. Suffix order: other repeats join different phrases with one trigger. Of each such
+   phrase's first occurrence the suffixes of ``size`` bytes and more are dealt to shards
+   and sorted there by their bytes; in each row of equal heads all but the smallest
+   doc_id's are covered. A trigger with very many phrases (the edge of a passage that
+   a third of all documents share) is dealt by the hash of each suffix's head instead,
+   after each task has kept the smallest doc_id of equal heads.
+4. Corpus order: as a phrase holds every byte that follows within ``size`` of its
+   strings, equal heads are settled by the dictionary's order alone; what the parse's
+   suffix order would add (the rank of the phrases that follow) comes after them.
+
+Texts are shuffled once, for the two joins by document; all else that moves is
+packed arrays of hashes and the bytes of the phrases of step 3.
 
 Null text counts as empty; a text of fewer bytes than ``size`` loses nothing; rows
 with a null doc_id are neither source nor target; rows that share a doc_id are
-no source for each other, repeated rows stay; extra columns are not read; an
-empty table gives no rows.
+no source for each other, repeated rows stay; very long texts are parsed whole (about
+100 bytes of memory for each of their bytes); extra columns are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,120 +31,184 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfwise.llm.wordhash import mix
-from shelfwise.operators.materialize import freeze
-
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def parse(raw: bytes, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigger hash, first string and number of strings of each phrase."""
-    data = np.frombuffer(raw, np.uint8)
-    if len(data) < size:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    n = len(data) - gram + 1
-    g = np.zeros(n, np.uint64)
-    for i in range(gram):
-        g = g * _STEP + (data[i:i + n].astype(np.uint64) + np.uint64(1))
-    g = mix(g)
-    width, done = size - gram + 1, 1
-    while done < width:  # minimum over `width` positions by doubling
-        k = min(done, width - done)
-        g = np.minimum(g[:-k], g[k:])
-        done += k
-    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    return g[first], first, np.diff(np.r_[first, len(g)])
-
-
-def _phrases(size: int, gram: int):
-    def run(frames):
-        for f in frames:
-            for i, key, text in zip(f["doc_id"], f["key"], f["text"]):
-                raw = text.encode()
-                h, a, n = parse(raw, size, gram)
-                if len(h):
-                    e = [xxhash.xxh3_64_intdigest(raw[x:x + k + size - 1]) for x, k in zip(a.tolist(), n.tolist())]
-                    yield pd.DataFrame({"h": h.view(np.int64), "e": np.array(e, np.uint64).view(np.int64), "doc_id": i, "key": key,
-                                        "a": a.astype(np.int32), "n": n.astype(np.int32)})
+from shelfwise.llm.recurring import HOT, LATER, OPEN, Sums, bodies, buckets_for, replies, row_of, runs, slices
+
+_VALUES = np.random.default_rng(50).integers(1, 1 << 63, 256).astype(np.uint64)
+_FORMS = pa.schema([("shard", pa.int32()), ("known", pa.bool_()), *((c, pa.binary()) for c in ("at", "first", "n", "bytes", "ids", "keys"))])
+_FORMS_SQL = "shard int, known boolean, at binary, first binary, n binary, bytes binary, ids binary, keys binary"
+_CUTS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("cuts", pa.binary())])
+_CUTS_SQL = "doc_id long, key long, cuts binary"
+
+
+def byte_items(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return _VALUES[np.frombuffer(b"".join(raw), np.uint8)], np.fromiter(map(len, raw), np.int64, len(raw))
+
+
+def _stretch(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of stretches, one after another."""
+    ends = np.cumsum(size)
+    return data[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _phrases(size: int, gram: int, shards: int):
+    """Phrases that need the suffix order, by shard; covered ones as they are (known)."""
+    def run(batches):
+        for b in batches:
+            rows = [r for r in b.to_pylist() if r["found"]]
+            texts = [r["text"].encode() for r in rows]
+            for i, k in slices(texts):
+                codes: dict[int, list] = {LATER: [], OPEN: [], HOT: []}
+                for x in range(i, k):
+                    for f in rows[x]["found"]:
+                        to = LATER if f["code"] == LATER else HOT if f["code"] == HOT else OPEN
+                        codes[to].append((x - i, np.frombuffer(f["number"], np.uint32)))
+                ids, keys = (np.array([rows[x][c] for x in range(i, k)], np.int64) for c in ("doc_id", "key"))
+                data = np.frombuffer(b"".join(texts[i:k]), np.uint8)
+                values, lengths = byte_items(texts[i:k])
+                doc, _, first, n, trigger, _ = runs(values, lengths, size, gram)
+                base = np.searchsorted(doc, np.arange(k - i + 1))  # a document's first run
+                begin = np.cumsum(lengths) - lengths
+
+                def chosen(code: int) -> np.ndarray:
+                    return np.unique(np.concatenate([base[x] + number for x, number in codes[code]])) if codes[code] else np.zeros(0, np.int64)
+
+                def sent(shard: int, known: bool, d, at, count, text):
+                    mine, where = np.unique(d, return_inverse=True)
+                    return row_of(_FORMS, shard, known, where.astype(np.uint32), at.astype(np.int64), count.astype(np.int64), text, ids[mine], keys[mine])
+
+                later = chosen(LATER)
+                if len(later):
+                    yield sent(int(trigger[later[0]] % np.uint64(shards)), True, doc[later], first[later], n[later], data[:0])
+                some = chosen(OPEN)
+                to = (trigger[some] % np.uint64(shards)).astype(np.int64)
+                some, to = some[np.argsort(to, kind="stable")], np.sort(to)
+                for s in np.unique(to).tolist():
+                    part = some[to == s]
+                    yield sent(s, False, doc[part], first[part], n[part], _stretch(data, begin[doc[part]] + first[part], n[part] + size - 1))
+                some = chosen(HOT)
+                if len(some):  # one string each, equal ones of this slice settled
+                    d = np.repeat(doc[some], n[some])
+                    at = np.repeat(first[some] - (np.cumsum(n[some]) - n[some]), n[some]) + np.arange(n[some].sum())
+                    head = Sums(values).of(begin[d] + at, begin[d] + at + size)
+                    order = np.lexsort((ids[d], head))
+                    d, at, head = d[order], at[order], head[order]
+                    new = np.r_[True, head[1:] != head[:-1]]
+                    known = ids[d] > ids[d[new]][np.cumsum(new) - 1]
+                    to = (head % np.uint64(shards)).astype(np.int64)
+                    if known.any():
+                        yield sent(int(to[known][0]), True, d[known], at[known], np.ones(known.sum()), data[:0])
+                    for s in np.unique(to[~known]).tolist():
+                        part = ~known & (to == s)
+                        yield sent(s, False, d[part], at[part], np.ones(part.sum()), _stretch(data, begin[d[part]] + at[part], np.full(part.sum(), size)))
     return run
 
 
-def _suffixes(size: int):
-    def run(frames):
-        for f in frames:
-            for i, key, text, hits in zip(f["doc_id"], f["key"], f["text"], f["hits"]):
-                raw = text.encode()
-                at = sorted({p for x in hits for p in range(x["a"], x["a"] + x["n"])})
-                for k in range(0, len(at), 50_000):
-                    some = at[k:k + 50_000]
-                    yield pd.DataFrame({"w": [raw[p:p + size] for p in some], "doc_id": i, "key": key, "a": some})
+def later_heads(data: np.ndarray, start: np.ndarray, ids: np.ndarray, size: int, at_once: int = 2_000_000) -> np.ndarray:
+    """Of the suffixes at ``start``: those whose first ``size`` bytes also head a suffix of a smaller id.
+
+    Suffixes are sorted by their heads; many are sorted in parts by a hash of the head, so that memory is bounded.
+    """
+    covered = np.zeros(len(start), bool)
+    if not len(start):
+        return covered
+    windows = np.lib.stride_tricks.sliding_window_view(data, size)
+    parts = 1 + len(start) // at_once
+    part = (Sums(_VALUES[data]).of(start, start + size) % np.uint64(parts)).astype(np.int64) if parts > 1 else None
+    for p in range(parts):
+        some = np.arange(len(start)) if part is None else np.flatnonzero(part == p)
+        if not len(some):
+            continue
+        heads = np.ascontiguousarray(windows[start[some]])
+        order = np.argsort(heads.view(f"S{size}").ravel(), kind="stable")
+        heads, mine = heads[order], ids[some[order]]
+        new = np.r_[True, (heads[1:] != heads[:-1]).any(1)]
+        lowest = np.minimum.reduceat(mine, np.flatnonzero(new))[np.cumsum(new) - 1]
+        covered[some[order]] = mine > lowest
+    return covered
+
+
+def _spans(ids, keys, start, end):
+    """Cuts of each document, those that touch joined."""
+    order = np.lexsort((start, keys, ids))
+    ids, keys, start, end = ids[order], keys[order], start[order], end[order]
+    same = np.r_[False, (ids[1:] == ids[:-1]) & (keys[1:] == keys[:-1])][:len(ids)]
+    new = ~(same & np.r_[False, start[1:] <= end[:-1]][:len(ids)])
+    heads = np.flatnonzero(new)
+    pairs = np.stack((start[heads], np.maximum.reduceat(end, heads)), 1)
+    docs = np.flatnonzero(~same[heads])
+    ends = [*docs[1:].tolist(), len(heads)]
+    return pa.RecordBatch.from_arrays([pa.array(ids[heads][docs]), pa.array(keys[heads][docs]),
+                                       pa.array([pairs[i:k].astype(np.int64).tobytes() for i, k in zip(docs.tolist(), ends)], pa.binary())], schema=_CUTS)
+
+
+def _order(size: int):
+    """Rows sorted by shard: the covered bytes of each document."""
+    def settle(held):
+        if held:
+            at, first, n, text, ids, keys = (np.concatenate(x) for x in zip(*held))
+            reach = n + size - 1
+            begin = np.cumsum(reach) - reach
+            form = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(form)) - np.repeat(np.cumsum(n) - n, n)
+            gone = later_heads(text, begin[form] + step, ids[form], size)
+            if gone.any():
+                form, step = form[gone], step[gone]
+                yield _spans(ids[form], keys[form], first[form] + step, first[form] + step + size)
+
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["shard"] != now:
+                    yield from settle(held)
+                    now, held = r["shard"], []
+                at = np.frombuffer(r["at"], np.uint32)
+                first, n, ids, keys = (np.frombuffer(r[c], np.int64) for c in ("first", "n", "ids", "keys"))
+                if r["known"]:
+                    yield _spans(ids[at], keys[at], first, first + n + size - 1)
+                else:
+                    held.append((at, first, n, np.frombuffer(r["bytes"], np.uint8), ids[at], keys[at]))
+        yield from settle(held)
     return run
 
 
-def _later(size: int):
-    """Of rows sorted by (w, doc_id): those whose string a smaller document has."""
-    def run(frames):
-        w, first = None, None
-        for f in frames:
-            out = []
-            for x, i, key, a in zip(f["w"], f["doc_id"], f["key"], f["a"]):
-                if x != w:
-                    w, first = x, i
-                elif first < i:
-                    out.append((i, key, a, a + size))
-            yield pd.DataFrame(out, columns=["doc_id", "key", "s", "e"])
-    return run
-
-
-def _result(size: int):
-    def run(frames):
-        for f in frames:
-            out = []
-            for i, text, rep, cuts in zip(f["doc_id"], f["text"], f["rep"], f["cuts"]):
-                raw = text.encode()
-                data = np.frombuffer(raw, np.uint8)
-                edge = np.zeros(len(raw) + 1, np.int64)
-                if not rep and len(raw) >= size:
-                    edge[[0, -1]] = 1, -1
-                if cuts is not None and len(cuts):
-                    np.add.at(edge, [c["s"] for c in cuts], 1)
-                    np.add.at(edge, [c["e"] for c in cuts], -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                kept = data[~gone].tobytes()
-                spans = int((np.diff(np.r_[False, gone].astype(np.int8)) == 1).sum())
-                out.append((None if pd.isna(i) else int(i), len(raw), int(gone.sum()), spans, kept, hashlib.sha256(kept).hexdigest()))
-            d = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-            yield d.astype({"doc_id": "Int64"})
-    return run
-
-
-def remove_repeated_strings(docs: DataFrame, size: int = 50, gram: int = 12) -> DataFrame:
+def _result(batches):
+    for b in batches:
+        for i, k in slices(texts := [t.encode() for t in b.column("text").to_pylist()]):
+            cuts, rows = b.column("cuts").slice(i, k - i).to_pylist(), []
+            for raw, cut in zip(texts[i:k], cuts):
+                gone = np.zeros(len(raw), bool)
+                if cut:
+                    edge = np.zeros(len(raw) + 1, np.int64)
+                    pairs = np.frombuffer(b"".join(cut), np.int64).reshape(-1, 2)
+                    np.add.at(edge, pairs[:, 0], 1)
+                    np.add.at(edge, pairs[:, 1], -1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if cut else raw
+                rows.append((len(raw), int(gone.sum()), int((np.diff(np.r_[False, gone].astype(np.int8)) == 1).sum()), kept))
+            n, removed, spans, kept = zip(*rows)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").slice(i, k - i), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()),
+                 pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+
+
+def remove_repeated_strings(docs: DataFrame, size: int = 50, gram: int = 16, bucket_bytes: int = 32_000_000, most_forms: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256 of each row."""
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    body = body.withColumn("sha", F.sha2("text", 256)).withColumn("key", F.xxhash64("sha"))  # key: tells rows of one doc_id apart
-    reps = freeze(body.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("key").alias("key")))
-    reps = reps.select("doc_id", "key")
-    sources = body.select("doc_id", "key", "text").join(reps, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
-    held = freeze(sources.mapInPandas(_phrases(size, gram), "h long, e long, doc_id long, key long, a int, n int"))
-    triggers = held.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h")
-    met = freeze(held.join(triggers, "h", "left_semi"))  # what may recur
-    known = freeze(met.groupBy("h", "e").agg(F.min("doc_id").alias("lo")))
-    forms = known.groupBy("h").agg(F.count("*").alias("forms"))
-    met = met.join(known, ["h", "e"]).join(forms, "h").select("doc_id", "key", "a", "n", "lo", "forms")
-    whole = met.where("doc_id > lo").select("doc_id", "key", F.col("a").cast("long").alias("s"), (F.col("a") + F.col("n") + (size - 1)).cast("long").alias("e"))
-    open_ = met.where("doc_id = lo and forms > 1").groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "n")).alias("hits"))
-    order = (sources.join(open_, ["doc_id", "key"]).mapInPandas(_suffixes(size), "w binary, doc_id long, key long, a long")
-             .repartitionByRange("w").sortWithinPartitions("w", "doc_id"))
-    rest = order.mapInPandas(_later(size), "doc_id long, key long, s long, e long")
-    cuts = whole.unionByName(rest).groupBy("doc_id", "key").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
-    marks = reps.join(cuts, ["doc_id", "key"], "left").withColumn("known", F.lit(True))
-    return (body.select("doc_id", "key", "text").join(marks, ["doc_id", "key"], "left")
-            .select("doc_id", "text", (F.col("known").isNotNull() | F.col("doc_id").isNull()).alias("rep"), "cuts")
-            .mapInPandas(_result(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"))
+    body = bodies(docs)
+    buckets = buckets_for(body, bucket_bytes)
+    found = replies(body.where("doc_id is not null"), byte_items, size, gram, buckets, most_forms)
+    asked = found.where((F.col("code") != 4)).groupBy("doc_id", "key").agg(F.collect_list(F.struct("code", "number")).alias("found"))
+    # Both joins keep all rows of `body`, so that they share one shuffle of the texts.
+    with_found = body.join(asked, ["doc_id", "key"], "left").select("doc_id", "key", F.expr("if(found is null, null, text)").alias("text"), "found")
+    shards = 2 * buckets
+    forms = with_found.mapInArrow(_phrases(size, gram, shards), _FORMS_SQL)
+    cuts = forms.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_order(size), _CUTS_SQL)
+    gone = cuts.groupBy("doc_id", "key").agg(F.collect_list("cuts").alias("cuts"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    return body.join(gone, ["doc_id", "key"], "left").select("doc_id", "text", "cuts").mapInArrow(_result, schema)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

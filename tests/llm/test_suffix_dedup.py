@@ -1,6 +1,11 @@
 import hashlib
+import random
 
-from shelfwise.llm.suffix_dedup import op5_suffix_dedup, remove_repeated_strings
+import numpy as np
+import pytest
+
+from shelfwise.llm.recurring import LATER, OPEN, SOURCE, _Bucket
+from shelfwise.llm.suffix_dedup import later_heads, op5_suffix_dedup, remove_repeated_strings
 
 
 def brute(docs, size=50):
@@ -39,3 +44,49 @@ def test_query_equals_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     got = rows(op5_suffix_dedup(spark, d))
     assert got == brute(docs) and any(r[2] for r in got)
+
+
+def mixed(seed):
+    """Documents of shared passages in many contexts, few letters (many phrases a trigger), repeated rows, shared and null ids."""
+    rnd = random.Random(seed)
+    passages = ["".join(rnd.choices("abcdeé \n", k=rnd.randrange(40, 200))) for _ in range(6)]
+    docs = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rnd.randrange(1, 5)):
+            p = rnd.choice(passages)
+            a = rnd.randrange(len(p))
+            parts += ["".join(rnd.choices("xyz", k=rnd.randrange(30))), p if rnd.random() < 0.6 else p[a:], rnd.choice(("", "ab" * 60, "q" * 130))]
+        docs.append((rnd.choice((None, rnd.randrange(120), rnd.randrange(120))), "".join(parts)))
+    return docs + docs[:20] * 3
+
+
+@pytest.mark.parametrize("most_forms, bucket_bytes", [(4096, 32_000_000), (3, 3_000), (1, 500)])
+def test_hot_triggers_and_many_buckets(spark, most_forms, bucket_bytes):
+    docs = mixed(most_forms)
+    df = spark.createDataFrame([(i, t, "c") for i, t in docs], "doc_id long, text string, key string").repartition(3)
+    assert rows(remove_repeated_strings(df, bucket_bytes=bucket_bytes, most_forms=most_forms)) == brute(docs)
+
+
+def test_bounded_parts_give_the_same_order():
+    rnd = np.random.default_rng(1)
+    data = np.tile(rnd.integers(0, 3, 400).astype(np.uint8), 5)
+    start, ids = np.arange(1800), rnd.integers(0, 9, 1800)
+    want = [min(ids[k] for k in start if (data[k:k + 7] == data[i:i + 7]).all()) < ids[i] for i in start]
+    assert later_heads(data, start, ids, 7).tolist() == later_heads(data, start, ids, 7, at_once=100).tolist() == want
+    assert not len(later_heads(data, start[:0], ids[:0], 7))
+
+
+def test_bucket_settles_step_by_step():
+    """However its rows come in, a bucket tells the same runs as later, open, source or hot."""
+    rnd = np.random.default_rng(2)
+    trigger, content = rnd.integers(0, 20, 600).astype(np.uint64), rnd.integers(0, 25, 600).astype(np.uint64)
+    ids, number = rnd.integers(0, 30, 600), np.arange(600)
+
+    def told(pending, pieces):
+        b, out = _Bucket(100, pending), []
+        for p in np.array_split(np.arange(600), pieces):
+            out += list(b.add(trigger[p], content[p], ids[p], ids[p], number[p]))
+        out += list(b.settle(True))
+        return sorted((x["doc_id"], x["code"], n) for r in out for x in r.to_pylist() for n in np.frombuffer(x["number"], np.uint32).tolist())
+    assert told(10_000, 1) == told(10_000, 7) == told(50, 30) and {c for _, c, _ in told(50, 30)} == {LATER, OPEN, OPEN + SOURCE}
