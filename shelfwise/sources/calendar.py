@@ -39,9 +39,13 @@ def holiday_expr(d) -> F.Column:
 
 
 def calendar(spark: SparkSession, start: str | dt.date, end: str | dt.date) -> DataFrame:
-    days = spark.range(1).select(
-        F.explode(F.sequence(F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date"),
-                             F.expr("INTERVAL 1 DAY"))).alias("full_date"))
+    return calendar_between(spark.range(1).select(F.lit(str(start)).cast("date").alias("first_day"),
+                                                  F.lit(str(end)).cast("date").alias("last_day")))
+
+
+def calendar_between(bounds: DataFrame) -> DataFrame:
+    """The days from first_day to last_day of the one row of ``bounds`` (an aggregate stays part of the plan)."""
+    days = bounds.select(F.explode(F.sequence("first_day", "last_day", F.expr("INTERVAL 1 DAY"))).alias("full_date"))
     d = F.col("full_date")
     holiday = holiday_expr(d)
     return days.select(

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.materialize import freeze
-from shelfwise.sources.calendar import calendar
+from shelfwise.sources.calendar import calendar_between
 
 MONEY = "decimal(18,2)"
 
@@ -163,12 +163,10 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
 
     def calendar_date():
         # a day for every order, ship, delivery and return date that the rules below give
-        if "calendar_bounds" not in cache:
-            k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
-            last = F.greatest(F.date_add(d, (F.lit(3) + k % 25).cast("int")), F.date_add(d, (k % 9 + k % 11).cast("int")))
-            cache["calendar_bounds"] = raw("orders").agg(F.min(d).cast("string"), F.max(last).cast("string")).first()
-        first, last = cache["calendar_bounds"]
-        return calendar(spark, min(first or CALENDAR_START, CALENDAR_START), max(last or CALENDAR_END, CALENDAR_END))
+        k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+        last = F.greatest(F.date_add(d, (F.lit(3) + k % 25).cast("int")), F.date_add(d, (k % 9 + k % 11).cast("int")))
+        return calendar_between(raw("orders").agg(F.least(F.min(d), _date(CALENDAR_START)).alias("first_day"),
+                                                  F.greatest(F.max(last), _date(CALENDAR_END)).alias("last_day")))
 
     # ---------------- product ----------------
     def _l1():

@@ -86,7 +86,11 @@ oltp_calendar_date AS (
                WHEN month(d) = 7 AND day(d) = 4 THEN 'Independence Day'
                WHEN month(d) = 11 AND day(d) = 11 THEN 'Veterans Day'
                WHEN month(d) = 12 AND day(d) = 25 THEN 'Christmas Day' END AS hol
-        FROM (SELECT CAST(unnest(generate_series(DATE '1994-12-01', DATE '2002-12-31', INTERVAL 1 DAY)) AS DATE) AS d))),
+        FROM (SELECT CAST(unnest(generate_series(first_day, last_day, INTERVAL 1 DAY)) AS DATE) AS d
+              FROM (SELECT least(DATE '1994-12-01', coalesce(min(CAST(o_orderdate AS DATE)), DATE '1994-12-01')) AS first_day,
+                           greatest(DATE '2002-12-31', coalesce(max(CAST(o_orderdate AS DATE) + CAST(greatest(3 + o_orderkey % 25,
+                             o_orderkey % 9 + o_orderkey % 11) AS INTEGER)), DATE '2002-12-31')) AS last_day
+                    FROM orders)))),
 cat_l1 AS (
   SELECT p_type AS l1_code, CAST(dense_rank() OVER (ORDER BY p_type) AS INTEGER) AS l1_id
   FROM (SELECT DISTINCT p_type FROM part)),
@@ -202,7 +206,7 @@ oltp_return_items AS (
   SELECT order_item_id AS return_item_id, l_orderkey AS return_id, order_item_id, l_partkey AS product_id,
          CAST(1 + (quantity - 1) % 3 AS INTEGER) AS quantity_returned, unit_net AS unit_refund_amount,
          l_partkey % 3 <> 0 AS restock_flag, {_pick('l_partkey', RETURN_REASONS)} AS return_reason_code
-  FROM oltp_lines WHERE l_returnflag = 'R' AND l_linenumber = 1),
+  FROM oltp_lines WHERE l_returnflag = 'R'),
 oltp_returns AS (
   SELECT ri.return_id, o.order_id, o.customer_id,
          o.order_date + CAST(3 + o.order_id % 25 AS INTEGER) AS return_date, 'Completed' AS return_status,

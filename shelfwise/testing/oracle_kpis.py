@@ -434,7 +434,7 @@ items AS (
   UNION ALL
   SELECT 4, category, 'Rising returns in ' || category, 'medium', 'Quality / CX',
          'Inspect return reasons and tighten quality checks for the category.'
-  FROM (SELECT * FROM rets ORDER BY return_count DESC, category LIMIT 3) WHERE trend = 'up')
+  FROM rets WHERE trend = 'up')
 SELECT risk, severity, owner, recommendation FROM items ORDER BY grp, k"""
 
 # ------------------------------------------------------------------ finance
