@@ -28,7 +28,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
 LATER, OPEN, SOURCE, HOT = 1, 2, 4, 8
 """A run: of a content that a smaller document has; of a trigger with several contents in several documents; the
-first of a content that later documents have; of a trigger with too many contents to compare in one task."""
+first of a content that later documents have (those told as LATER have theirs told); of a trigger with too many contents
+to compare in one task."""
 
 Items = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
@@ -109,8 +110,8 @@ def row_of(schema: pa.Schema, *values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v.tobytes() if isinstance(v, np.ndarray) else v], t) for v, t in zip(values, schema.types)], schema=schema)
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("later", pa.bool_()), *((c, pa.binary()) for c in ("trigger", "content", "at", "number", "ids", "keys"))])
-_SENT_SQL = "bucket int, later boolean, trigger binary, content binary, at binary, number binary, ids binary, keys binary"
+_SENT = pa.schema([("bucket", pa.int32()), ("later", pa.bool_()), *((c, pa.binary()) for c in ("trigger", "content", "shared", "at", "number", "ids", "keys"))])
+_SENT_SQL = "bucket int, later boolean, trigger binary, content binary, shared binary, at binary, number binary, ids binary, keys binary"
 REPLY = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("code", pa.int32()), ("number", pa.binary()), ("trigger", pa.binary())])
 REPLY_SQL = "doc_id long, key long, code int, number binary, trigger binary"
 
@@ -129,6 +130,7 @@ def _scan(items: Items, size: int, gram: int, buckets: int):
                 head = np.r_[True, content[1:] != content[:-1]][:len(doc)]
                 lowest = ids[doc[head]][np.cumsum(head) - 1] if len(doc) else ids[:0]
                 later = ids[doc] > lowest
+                shared = np.logical_or.reduceat(later, np.flatnonzero(head))[np.cumsum(head) - 1] if len(doc) else later
                 bucket = (trigger % np.uint64(buckets)).astype(np.int64)
                 bucket[later] = -1
                 order = np.lexsort((number, doc, bucket))
@@ -138,7 +140,7 @@ def _scan(items: Items, size: int, gram: int, buckets: int):
                     mine, at = np.unique(doc[some], return_inverse=True)
                     to = int(bucket[some[0]])
                     yield row_of(_SENT, to if to >= 0 else int(content[some[0]] % np.uint64(buckets)), to < 0, trigger[some], content[some],
-                                 at.astype(np.uint32), number[some].astype(np.uint32), ids[mine], keys[mine])
+                                 shared[some], at.astype(np.uint32), number[some].astype(np.uint32), ids[mine], keys[mine])
     return run
 
 
@@ -164,12 +166,13 @@ class _Bucket:
         self.pending = 0
         self.hot = np.zeros(0, np.uint64)
 
-    def add(self, trigger, content, ids, keys, number) -> Iterator[pa.RecordBatch]:
+    def add(self, trigger, content, shared, ids, keys, number) -> Iterator[pa.RecordBatch]:
+        """``shared``: the run's content has been seen in a later document."""
         if len(self.hot):
             hot = np.isin(trigger, self.hot)
             yield from answer(ids[hot], keys[hot], HOT, number[hot], trigger[hot])
-            trigger, content, ids, keys, number = (x[~hot] for x in (trigger, content, ids, keys, number))
-        self.held.append((trigger, content, ids, keys, number, np.zeros(len(ids), bool)))
+            trigger, content, shared, ids, keys, number = (x[~hot] for x in (trigger, content, shared, ids, keys, number))
+        self.held.append((trigger, content, ids, keys, number, shared))
         self.pending += len(ids)
         if self.pending >= self.most_pending:
             yield from self.settle(False)
@@ -184,7 +187,9 @@ class _Bucket:
         trigger, content, ids, keys, number, shared = (x[order] for x in held)
         once = np.r_[True, (trigger[1:] != trigger[:-1]) | (content[1:] != content[:-1]) | (ids[1:] != ids[:-1])
                      | (keys[1:] != keys[:-1]) | (number[1:] != number[:-1])][:len(ids)]  # a repeated row's runs came more than once
-        trigger, content, ids, keys, number, shared = (x[once] for x in (trigger, content, ids, keys, number, shared))
+        if len(ids):
+            shared = np.logical_or.reduceat(shared, np.flatnonzero(once))
+        trigger, content, ids, keys, number = (x[once] for x in (trigger, content, ids, keys, number))
         head = np.r_[True, trigger[1:] != trigger[:-1]][:len(ids)]
         form = head | np.r_[True, content[1:] != content[:-1]][:len(ids)]
         of = np.cumsum(form) - 1
@@ -200,7 +205,8 @@ class _Bucket:
         group, starts = np.cumsum(head) - 1, np.flatnonzero(head)  # a content's first row is never a later one
         forms = np.add.reduceat(form.astype(np.int64), starts)
         hot = (forms > self.most_forms)[group]
-        yield from answer(ids[hot], keys[hot], HOT, number[hot], trigger[hot])
+        for some, code in ((hot & ~shared, HOT), (hot & shared, HOT + SOURCE)):
+            yield from answer(ids[some], keys[some], code, number[some], trigger[some])
         self.hot = np.union1d(self.hot, trigger[hot])
         if last:
             several = (forms > 1) & (np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts))
@@ -227,7 +233,7 @@ def _buckets(most_forms: int):
                 if r["later"]:
                     yield from answer(ids[at], keys[at], LATER, number, trigger)
                 else:
-                    yield from state.add(trigger, content, ids[at], keys[at], number)
+                    yield from state.add(trigger, content, np.frombuffer(r["shared"], bool), ids[at], keys[at], number)
         yield from state.settle(True)
     return run
 
@@ -251,3 +257,21 @@ def bodies(docs: DataFrame) -> DataFrame:
 def buckets_for(body: DataFrame, bytes_each: int) -> int:
     """Buckets of about ``bytes_each`` bytes of text."""
     return 1 + (body.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bytes_each
+
+
+CUTS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("cuts", pa.binary())])
+CUTS_SQL = "doc_id long, key long, cuts binary"
+
+
+def spans(ids, keys, start, end):
+    """One row a document: its stretches (start and end, int64), those that touch joined."""
+    order = np.lexsort((start, keys, ids))
+    ids, keys, start, end = ids[order], keys[order], start[order], end[order]
+    same = np.r_[False, (ids[1:] == ids[:-1]) & (keys[1:] == keys[:-1])][:len(ids)]
+    new = ~(same & np.r_[False, start[1:] <= end[:-1]][:len(ids)])
+    heads = np.flatnonzero(new)
+    pairs = np.stack((start[heads], np.maximum.reduceat(end, heads)), 1)
+    docs = np.flatnonzero(~same[heads])
+    ends = [*docs[1:].tolist(), len(heads)]
+    return pa.RecordBatch.from_arrays([pa.array(ids[heads][docs]), pa.array(keys[heads][docs]),
+                                       pa.array([pairs[i:k].astype(np.int64).tobytes() for i, k in zip(docs.tolist(), ends)], pa.binary())], schema=CUTS)

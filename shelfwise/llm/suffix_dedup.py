@@ -34,13 +34,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfwise.llm.recurring import HOT, LATER, OPEN, Sums, bodies, buckets_for, replies, row_of, runs, slices
+from shelfwise.llm.recurring import CUTS_SQL, HOT, LATER, OPEN, SOURCE, Sums, bodies, buckets_for, replies, row_of, runs, slices, spans
 
 _VALUES = np.random.default_rng(50).integers(1, 1 << 63, 256).astype(np.uint64)
 _FORMS = pa.schema([("shard", pa.int32()), ("known", pa.bool_()), *((c, pa.binary()) for c in ("at", "first", "n", "bytes", "ids", "keys"))])
 _FORMS_SQL = "shard int, known boolean, at binary, first binary, n binary, bytes binary, ids binary, keys binary"
-_CUTS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("cuts", pa.binary())])
-_CUTS_SQL = "doc_id long, key long, cuts binary"
 
 
 def byte_items(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +61,7 @@ def _phrases(size: int, gram: int, shards: int):
                 codes: dict[int, list] = {LATER: [], OPEN: [], HOT: []}
                 for x in range(i, k):
                     for f in rows[x]["found"]:
-                        to = LATER if f["code"] == LATER else HOT if f["code"] == HOT else OPEN
+                        to = next(c for c in (LATER, HOT, OPEN) if f["code"] & c)
                         codes[to].append((x - i, np.frombuffer(f["number"], np.uint32)))
                 ids, keys = (np.array([rows[x][c] for x in range(i, k)], np.int64) for c in ("doc_id", "key"))
                 data = np.frombuffer(b"".join(texts[i:k]), np.uint8)
@@ -130,20 +128,6 @@ def later_heads(data: np.ndarray, start: np.ndarray, ids: np.ndarray, size: int,
     return covered
 
 
-def _spans(ids, keys, start, end):
-    """Cuts of each document, those that touch joined."""
-    order = np.lexsort((start, keys, ids))
-    ids, keys, start, end = ids[order], keys[order], start[order], end[order]
-    same = np.r_[False, (ids[1:] == ids[:-1]) & (keys[1:] == keys[:-1])][:len(ids)]
-    new = ~(same & np.r_[False, start[1:] <= end[:-1]][:len(ids)])
-    heads = np.flatnonzero(new)
-    pairs = np.stack((start[heads], np.maximum.reduceat(end, heads)), 1)
-    docs = np.flatnonzero(~same[heads])
-    ends = [*docs[1:].tolist(), len(heads)]
-    return pa.RecordBatch.from_arrays([pa.array(ids[heads][docs]), pa.array(keys[heads][docs]),
-                                       pa.array([pairs[i:k].astype(np.int64).tobytes() for i, k in zip(docs.tolist(), ends)], pa.binary())], schema=_CUTS)
-
-
 def _order(size: int):
     """Rows sorted by shard: the covered bytes of each document."""
     def settle(held):
@@ -156,7 +140,7 @@ def _order(size: int):
             gone = later_heads(text, begin[form] + step, ids[form], size)
             if gone.any():
                 form, step = form[gone], step[gone]
-                yield _spans(ids[form], keys[form], first[form] + step, first[form] + step + size)
+                yield spans(ids[form], keys[form], first[form] + step, first[form] + step + size)
 
     def run(batches):
         now, held = None, []
@@ -168,7 +152,7 @@ def _order(size: int):
                 at = np.frombuffer(r["at"], np.uint32)
                 first, n, ids, keys = (np.frombuffer(r[c], np.int64) for c in ("first", "n", "ids", "keys"))
                 if r["known"]:
-                    yield _spans(ids[at], keys[at], first, first + n + size - 1)
+                    yield spans(ids[at], keys[at], first, first + n + size - 1)
                 else:
                     held.append((at, first, n, np.frombuffer(r["bytes"], np.uint8), ids[at], keys[at]))
         yield from settle(held)
@@ -189,9 +173,9 @@ def _result(batches):
                     gone = np.cumsum(edge[:-1]) > 0
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if cut else raw
                 rows.append((len(raw), int(gone.sum()), int((np.diff(np.r_[False, gone].astype(np.int8)) == 1).sum()), kept))
-            n, removed, spans, kept = zip(*rows)
+            n, removed, stretches, kept = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(i, k - i), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()),
+                [b.column("doc_id").slice(i, k - i), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(stretches, pa.int64()), pa.array(kept, pa.binary()),
                  pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
@@ -200,12 +184,12 @@ def remove_repeated_strings(docs: DataFrame, size: int = 50, gram: int = 16, buc
     body = bodies(docs)
     buckets = buckets_for(body, bucket_bytes)
     found = replies(body.where("doc_id is not null"), byte_items, size, gram, buckets, most_forms)
-    asked = found.where((F.col("code") != 4)).groupBy("doc_id", "key").agg(F.collect_list(F.struct("code", "number")).alias("found"))
+    asked = found.where(F.col("code") != SOURCE).groupBy("doc_id", "key").agg(F.collect_list(F.struct("code", "number")).alias("found"))
     # Both joins keep all rows of `body`, so that they share one shuffle of the texts.
     with_found = body.join(asked, ["doc_id", "key"], "left").select("doc_id", "key", F.expr("if(found is null, null, text)").alias("text"), "found")
     shards = 2 * buckets
     forms = with_found.mapInArrow(_phrases(size, gram, shards), _FORMS_SQL)
-    cuts = forms.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_order(size), _CUTS_SQL)
+    cuts = forms.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_order(size), CUTS_SQL)
     gone = cuts.groupBy("doc_id", "key").agg(F.collect_list("cuts").alias("cuts"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     return body.join(gone, ["doc_id", "key"], "left").select("doc_id", "text", "cuts").mapInArrow(_result, schema)

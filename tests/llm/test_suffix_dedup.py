@@ -86,7 +86,7 @@ def test_bucket_settles_step_by_step():
     def told(pending, pieces):
         b, out = _Bucket(100, pending), []
         for p in np.array_split(np.arange(600), pieces):
-            out += list(b.add(trigger[p], content[p], ids[p], ids[p], number[p]))
+            out += list(b.add(trigger[p], content[p], np.zeros(len(p), bool), ids[p], ids[p], number[p]))
         out += list(b.settle(True))
         return sorted((x["doc_id"], x["code"], n) for r in out for x in r.to_pylist() for n in np.frombuffer(x["number"], np.uint32).tolist())
     assert told(10_000, 1) == told(10_000, 7) == told(50, 30) and {c for _, c, _ in told(50, 30)} == {LATER, OPEN, OPEN + SOURCE}
