@@ -110,10 +110,26 @@ def row_of(schema: pa.Schema, *values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v.tobytes() if isinstance(v, np.ndarray) else v], t) for v, t in zip(values, schema.types)], schema=schema)
 
 
+def small(x: np.ndarray) -> bytes:
+    """Whole numbers in two or four bytes each."""
+    return x.astype("<u2" if len(x) == 0 or x.max() < 1 << 16 else "<u4").tobytes()
+
+
+def unsmall(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.int64)
+
+
+def high(trigger: np.ndarray) -> np.ndarray:
+    """The half of a trigger that tells it within its bucket."""
+    return (trigger >> np.uint64(32)).astype(np.uint32)
+
+
 _SENT = pa.schema([("bucket", pa.int32()), ("later", pa.bool_()), *((c, pa.binary()) for c in ("trigger", "content", "shared", "at", "number", "ids", "keys"))])
 _SENT_SQL = "bucket int, later boolean, trigger binary, content binary, shared binary, at binary, number binary, ids binary, keys binary"
-REPLY = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("code", pa.int32()), ("number", pa.binary()), ("trigger", pa.binary())])
-REPLY_SQL = "doc_id long, key long, code int, number binary, trigger binary"
+_REPLY = pa.schema([("group", pa.int32()), *((c, pa.binary()) for c in ("ids", "keys", "at", "told"))])
+REPLY_SQL = "group int, ids binary, keys binary, at binary, told binary"
+_TOLD = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("told", pa.binary())])
+_TOLD_SQL = "doc_id long, key long, told binary"
 
 
 def _scan(items: Items, size: int, gram: int, buckets: int):
@@ -125,127 +141,187 @@ def _scan(items: Items, size: int, gram: int, buckets: int):
                 _, once = np.unique(np.stack((all_ids[i:k], all_keys[i:k])), axis=1, return_index=True)  # repeated rows once
                 ids, keys = all_ids[i:k][once], all_keys[i:k][once]
                 doc, number, _, _, trigger, content = runs(*items([raw[i + x] for x in once]), size, gram)
+                if not len(doc):
+                    continue
                 order = np.lexsort((ids[doc], content))
                 doc, number, trigger, content = (x[order] for x in (doc, number, trigger, content))
-                head = np.r_[True, content[1:] != content[:-1]][:len(doc)]
-                lowest = ids[doc[head]][np.cumsum(head) - 1] if len(doc) else ids[:0]
-                later = ids[doc] > lowest
-                shared = np.logical_or.reduceat(later, np.flatnonzero(head))[np.cumsum(head) - 1] if len(doc) else later
-                bucket = (trigger % np.uint64(buckets)).astype(np.int64)
-                bucket[later] = -1
-                order = np.lexsort((number, doc, bucket))
-                cuts = np.flatnonzero(np.diff(np.r_[-2, bucket[order], buckets])).tolist()
-                for x, y in zip(cuts, cuts[1:]):
-                    some = order[x:y]
+                head = np.r_[True, content[1:] != content[:-1]]
+                of = np.cumsum(head) - 1
+                later = ids[doc] > ids[doc[head]][of]
+                shared = np.logical_or.reduceat(later, np.flatnonzero(head))[of]
+                to = (trigger % np.uint64(buckets)).astype(np.int64) * 2 + later
+                order = np.lexsort((number, doc, to))
+                for some in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
                     mine, at = np.unique(doc[some], return_inverse=True)
-                    to = int(bucket[some[0]])
-                    yield row_of(_SENT, to if to >= 0 else int(content[some[0]] % np.uint64(buckets)), to < 0, trigger[some], content[some],
-                                 shared[some], at.astype(np.uint32), number[some].astype(np.uint32), ids[mine], keys[mine])
+                    settled = bool(later[some[0]])
+                    yield row_of(_SENT, int(to[some[0]]) // 2, settled, high(trigger[some]), content[some][:0 if settled else None],
+                                 shared[some][:0 if settled else None], small(at), small(number[some]), ids[mine], keys[mine])
     return run
 
 
-def answer(ids, keys, code: int, number, trigger) -> Iterator[pa.RecordBatch]:
-    """Reply rows of one code, one for each document."""
-    if len(ids):
-        order = np.lexsort((number, keys, ids))
-        ids, keys, number, trigger = ids[order], keys[order], number[order].astype(np.uint32), trigger[order]
-        head = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
-        ends = [*head[1:].tolist(), len(ids)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[head]), pa.array(keys[head]), pa.array(np.full(len(head), code, np.int32)),
-             pa.array([number[i:k].tobytes() for i, k in zip(head.tolist(), ends)], pa.binary()),
-             pa.array([trigger[i:k].tobytes() for i, k in zip(head.tolist(), ends)], pa.binary())], schema=REPLY)
-
-
 class _Bucket:
     """Runs of the triggers of one bucket: of each content those of the smallest document."""
 
-    def __init__(self, most_forms: int, most_pending: int = 4_000_000):
-        self.most_forms, self.most_pending = most_forms, most_pending
+    def __init__(self, groups: int, most_forms: int, most_pending: int = 4_000_000):
+        self.groups, self.most_forms, self.most_pending = groups, most_forms, most_pending
         self.held: list[tuple] = []
-        self.pending = 0
-        self.hot = np.zeros(0, np.uint64)
+        self.answers: list[tuple] = []
+        self.pending = self.answered = 0
+        self.hot = np.zeros(0, np.uint32)
+        self.heavy: dict[int, int] = {}
+
+    def answer(self, some, code, ids, keys, number, trigger) -> None:
+        if not some.any():
+            return
+        if code == LATER:
+            for x, n in zip(*(y.tolist() for y in np.unique(trigger[some], return_counts=True))):
+                if n >= 16 or x in self.heavy:
+                    self.heavy[x] = self.heavy.get(x, 0) + n
+        self.answers.append((ids[some], keys[some], number[some].astype(np.uint32) << np.uint32(4) | np.uint32(code)))
+        self.answered += int(some.sum())
+
+    def sent(self, last: bool) -> Iterator[pa.RecordBatch]:
+        """The answers so far, a row for each group of documents; at last the triggers with many later runs (group -1)."""
+        if self.answers and (last or self.answered >= self.most_pending):
+            ids, keys, told = (np.concatenate(x) for x in zip(*self.answers))
+            group = (mix(ids.astype(np.uint64) ^ mix(keys.astype(np.uint64))) % np.uint64(self.groups)).astype(np.int64)
+            order = np.lexsort((told, keys, ids, group))
+            for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+                new = np.r_[True, (np.diff(ids[some]) != 0) | (np.diff(keys[some]) != 0)]
+                yield row_of(_REPLY, int(group[some[0]]), ids[some][new], keys[some][new], (np.cumsum(new) - 1).astype(np.uint32), told[some])
+            self.answers, self.answered = [], 0
+        if last and self.heavy:
+            yield row_of(_REPLY, -1, None, None, np.array([*self.heavy], np.uint32), np.array([*self.heavy.values()], np.int64))
+
+    def settled(self, trigger, ids, keys, number) -> Iterator[pa.RecordBatch]:
+        """Runs that a smaller document of their slice has."""
+        self.answer(np.ones(len(ids), bool), LATER, ids, keys, number, trigger)
+        yield from self.sent(False)
 
     def add(self, trigger, content, shared, ids, keys, number) -> Iterator[pa.RecordBatch]:
         """``shared``: the run's content has been seen in a later document."""
         if len(self.hot):
             hot = np.isin(trigger, self.hot)
-            yield from answer(ids[hot], keys[hot], HOT, number[hot], trigger[hot])
+            self.answer(hot, HOT, ids, keys, number, trigger)
             trigger, content, shared, ids, keys, number = (x[~hot] for x in (trigger, content, shared, ids, keys, number))
         self.held.append((trigger, content, ids, keys, number, shared))
         self.pending += len(ids)
         if self.pending >= self.most_pending:
-            yield from self.settle(False)
+            self.settle(False)
+        yield from self.sent(False)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        self.settle(True)
+        yield from self.sent(True)
 
-    def settle(self, last: bool) -> Iterator[pa.RecordBatch]:
+    def settle(self, last: bool) -> None:
         """Answers what is certain; the rest stays, or is answered too if nothing more comes."""
-        self.pending = 0
-        if not self.held:
+        held, self.held, self.pending = [np.concatenate(x) for x in zip(*self.held)], [], 0
+        if not held or not len(held[0]):
             return
-        held = [np.concatenate(x) for x in zip(*self.held)]
         order = np.lexsort((held[4], held[3], held[2], held[1], held[0]))
         trigger, content, ids, keys, number, shared = (x[order] for x in held)
         once = np.r_[True, (trigger[1:] != trigger[:-1]) | (content[1:] != content[:-1]) | (ids[1:] != ids[:-1])
-                     | (keys[1:] != keys[:-1]) | (number[1:] != number[:-1])][:len(ids)]  # a repeated row's runs came more than once
-        if len(ids):
-            shared = np.logical_or.reduceat(shared, np.flatnonzero(once))
+                     | (keys[1:] != keys[:-1]) | (number[1:] != number[:-1])]  # a repeated row's runs came more than once
+        shared = np.logical_or.reduceat(shared, np.flatnonzero(once))
         trigger, content, ids, keys, number = (x[once] for x in (trigger, content, ids, keys, number))
-        head = np.r_[True, trigger[1:] != trigger[:-1]][:len(ids)]
-        form = head | np.r_[True, content[1:] != content[:-1]][:len(ids)]
+        head = np.r_[True, trigger[1:] != trigger[:-1]]
+        form = head | np.r_[True, content[1:] != content[:-1]]
         of = np.cumsum(form) - 1
-        later = ids > ids[form][of] if len(ids) else shared
-        yield from answer(ids[later], keys[later], LATER, number[later], trigger[later])
-        if len(ids):
-            shared = np.logical_or.reduceat(shared | later, np.flatnonzero(form))[of]
-        trigger, ids, keys, number, shared, head, form = (x[~later] for x in (trigger, ids, keys, number, shared, head, form))
-        content = content[~later]
-        if not len(ids):
-            self.held = []
-            return
+        later = ids > ids[form][of]
+        self.answer(later, LATER, ids, keys, number, trigger)
+        shared = np.logical_or.reduceat(shared | later, np.flatnonzero(form))[of]
+        trigger, content, ids, keys, number, shared, head, form = (x[~later] for x in (trigger, content, ids, keys, number, shared, head, form))
         group, starts = np.cumsum(head) - 1, np.flatnonzero(head)  # a content's first row is never a later one
         forms = np.add.reduceat(form.astype(np.int64), starts)
         hot = (forms > self.most_forms)[group]
-        for some, code in ((hot & ~shared, HOT), (hot & shared, HOT + SOURCE)):
-            yield from answer(ids[some], keys[some], code, number[some], trigger[some])
+        self.answer(hot & ~shared, HOT, ids, keys, number, trigger)
+        self.answer(hot & shared, HOT + SOURCE, ids, keys, number, trigger)
         self.hot = np.union1d(self.hot, trigger[hot])
         if last:
             several = (forms > 1) & (np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts))
             code = np.where(hot, 0, several[group] * OPEN + shared * SOURCE)
             for c in (OPEN, SOURCE, OPEN + SOURCE):
-                some = code == c
-                yield from answer(ids[some], keys[some], c, number[some], trigger[some])
-            self.held = []
+                self.answer(code == c, c, ids, keys, number, trigger)
         else:
             self.held = [tuple(x[~hot] for x in (trigger, content, ids, keys, number, shared))]
 
 
-def _buckets(most_forms: int):
+def _buckets(groups: int, most_forms: int):
     def run(batches):
-        now, state = None, _Bucket(most_forms)
+        now, state = None, _Bucket(groups, most_forms)
         for b in batches:
             for r in b.to_pylist():
                 if r["bucket"] != now:
-                    yield from state.settle(True)
-                    now, state = r["bucket"], _Bucket(most_forms)
-                ids, keys = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["keys"], np.int64)
-                at, number = np.frombuffer(r["at"], np.uint32), np.frombuffer(r["number"], np.uint32)
-                trigger, content = np.frombuffer(r["trigger"], np.uint64), np.frombuffer(r["content"], np.uint64)
+                    yield from state.end()
+                    now, state = r["bucket"], _Bucket(groups, most_forms)
+                ids, keys, trigger = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["keys"], np.int64), np.frombuffer(r["trigger"], np.uint32)
+                at, number = unsmall(r["at"], len(trigger)), unsmall(r["number"], len(trigger))
                 if r["later"]:
-                    yield from answer(ids[at], keys[at], LATER, number, trigger)
+                    yield from state.settled(trigger, ids[at], keys[at], number)
                 else:
-                    yield from state.add(trigger, content, np.frombuffer(r["shared"], bool), ids[at], keys[at], number)
-        yield from state.settle(True)
+                    yield from state.add(trigger, np.frombuffer(r["content"], np.uint64), np.frombuffer(r["shared"], bool), ids[at], keys[at], number)
+        yield from state.end()
     return run
 
 
 def replies(body: DataFrame, items: Items, size: int, gram: int, buckets: int, most_forms: int = 4096) -> DataFrame:
-    """doc_id, key, code, numbers of runs (uint32) and their triggers (uint64): the runs that may recur.
+    """The runs that may recur, packed by groups of documents (see ``by_document``).
 
     ``body`` has doc_id (no nulls), key (tells rows of one doc_id apart) and text. Rows that share a doc_id are
     no source for each other. A run can be told more than once (LATER and another code), never less than it is.
     """
     sent = body.select("doc_id", "key", "text").mapInArrow(_scan(items, size, gram, buckets), _SENT_SQL)
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets(most_forms), REPLY_SQL)
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_buckets(buckets, most_forms), REPLY_SQL)
+
+
+def _told(at_once: int = 4_000_000):
+    def merged(held):
+        ids, keys, told = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((told, keys, ids))
+        ids, keys, told = ids[order], keys[order], told[order]
+        new = np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (told[1:] != told[:-1])]
+        return [(ids[new], keys[new], told[new])]
+
+    def settle(held):
+        if held:
+            ids, keys, told = merged(held)[0]
+            head = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
+            ends = [*head[1:].tolist(), len(ids)]
+            for i in range(0, len(head), 10_000):
+                at = head[i:i + 10_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[at]), pa.array(keys[at]),
+                     pa.array([told[x:y].tobytes() for x, y in zip(at.tolist(), ends[i:i + 10_000])], pa.binary())], schema=_TOLD)
+
+    def run(batches):
+        now, held, size = None, [], 0
+        for b in batches:
+            for r in b.to_pylist():
+                if r["group"] != now:
+                    yield from settle(held)
+                    now, held, size = r["group"], [], 0
+                at, told = np.frombuffer(r["at"], np.uint32), np.frombuffer(r["told"], np.uint32)
+                held.append((np.frombuffer(r["ids"], np.int64)[at], np.frombuffer(r["keys"], np.int64)[at], told))
+                size += len(told)
+                if size > at_once:
+                    held, size = merged(held), 0
+        yield from settle(held)
+    return run
+
+
+def by_document(found: DataFrame, groups: int) -> DataFrame:
+    """doc_id, key and told of each document that has runs which may recur: uint32 numbers, run number << 4 | codes."""
+    return (found.where("group >= 0").repartition(groups, "group").sortWithinPartitions("group").mapInArrow(_told(), _TOLD_SQL))
+
+
+def chosen(told: list[bytes], base: np.ndarray, code: int) -> np.ndarray:
+    """The runs that bear ``code``; the runs of document i begin at ``base[i]``."""
+    out = []
+    for at, raw in zip(base.tolist(), told):
+        x = np.frombuffer(raw, np.uint32)
+        out.append(at + (x[(x & code) > 0] >> 4).astype(np.int64))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
 def bodies(docs: DataFrame) -> DataFrame:

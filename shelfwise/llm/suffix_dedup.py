@@ -34,7 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shelfwise.llm.recurring import CUTS_SQL, HOT, LATER, OPEN, SOURCE, Sums, bodies, buckets_for, replies, row_of, runs, slices, spans
+from shelfwise.llm.recurring import (CUTS_SQL, HOT, LATER, OPEN, Sums, bodies, buckets_for, by_document, chosen, high, replies, row_of, runs, slices,
+                                     spans)
 
 _VALUES = np.random.default_rng(50).integers(1, 1 << 63, 256).astype(np.uint64)
 _FORMS = pa.schema([("shard", pa.int32()), ("known", pa.bool_()), *((c, pa.binary()) for c in ("at", "first", "n", "bytes", "ids", "keys"))])
@@ -55,41 +56,32 @@ def _phrases(size: int, gram: int, shards: int):
     """Phrases that need the suffix order, by shard; covered ones as they are (known)."""
     def run(batches):
         for b in batches:
-            rows = [r for r in b.to_pylist() if r["found"]]
+            rows = [r for r in b.to_pylist() if r["told"]]
             texts = [r["text"].encode() for r in rows]
             for i, k in slices(texts):
-                codes: dict[int, list] = {LATER: [], OPEN: [], HOT: []}
-                for x in range(i, k):
-                    for f in rows[x]["found"]:
-                        to = next(c for c in (LATER, HOT, OPEN) if f["code"] & c)
-                        codes[to].append((x - i, np.frombuffer(f["number"], np.uint32)))
-                ids, keys = (np.array([rows[x][c] for x in range(i, k)], np.int64) for c in ("doc_id", "key"))
+                told = [r["told"] for r in rows[i:k]]
+                ids, keys = (np.array([r[c] for r in rows[i:k]], np.int64) for c in ("doc_id", "key"))
                 data = np.frombuffer(b"".join(texts[i:k]), np.uint8)
                 values, lengths = byte_items(texts[i:k])
                 doc, _, first, n, trigger, _ = runs(values, lengths, size, gram)
-                base = np.searchsorted(doc, np.arange(k - i + 1))  # a document's first run
+                base = np.searchsorted(doc, np.arange(k - i))  # a document's first run
                 begin = np.cumsum(lengths) - lengths
-
-                def chosen(code: int) -> np.ndarray:
-                    return np.unique(np.concatenate([base[x] + number for x, number in codes[code]])) if codes[code] else np.zeros(0, np.int64)
+                later, open_, hot = (chosen(told, base, c) for c in (LATER, OPEN, HOT))
 
                 def sent(shard: int, known: bool, d, at, count, text):
                     mine, where = np.unique(d, return_inverse=True)
                     return row_of(_FORMS, shard, known, where.astype(np.uint32), at.astype(np.int64), count.astype(np.int64), text, ids[mine], keys[mine])
 
-                later = chosen(LATER)
                 if len(later):
-                    yield sent(int(trigger[later[0]] % np.uint64(shards)), True, doc[later], first[later], n[later], data[:0])
-                some = chosen(OPEN)
-                to = (trigger[some] % np.uint64(shards)).astype(np.int64)
-                some, to = some[np.argsort(to, kind="stable")], np.sort(to)
-                for s in np.unique(to).tolist():
-                    part = some[to == s]
+                    yield sent(int(high(trigger[later[:1]])[0] % shards), True, doc[later], first[later], n[later], data[:0])
+                to = (high(trigger[open_]) % np.uint32(shards)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                for part in np.split(open_[order], np.flatnonzero(np.diff(to[order])) + 1) if len(to) else ():
+                    s = int(high(trigger[part[:1]])[0] % shards)
                     yield sent(s, False, doc[part], first[part], n[part], _stretch(data, begin[doc[part]] + first[part], n[part] + size - 1))
-                some = chosen(HOT)
-                if len(some):  # one string each, equal ones of this slice settled
-                    d = np.repeat(doc[some], n[some])
-                    at = np.repeat(first[some] - (np.cumsum(n[some]) - n[some]), n[some]) + np.arange(n[some].sum())
+                if len(hot):  # one string each, equal ones of this slice settled
+                    d = np.repeat(doc[hot], n[hot])
+                    at = np.repeat(first[hot] - (np.cumsum(n[hot]) - n[hot]), n[hot]) + np.arange(n[hot].sum())
                     head = Sums(values).of(begin[d] + at, begin[d] + at + size)
                     order = np.lexsort((ids[d], head))
                     d, at, head = d[order], at[order], head[order]
@@ -179,16 +171,15 @@ def _result(batches):
                  pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
-def remove_repeated_strings(docs: DataFrame, size: int = 50, gram: int = 16, bucket_bytes: int = 32_000_000, most_forms: int = 4096) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, size: int = 50, gram: int = 20, bucket_bytes: int = 32_000_000, most_forms: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256 of each row."""
     body = bodies(docs)
     buckets = buckets_for(body, bucket_bytes)
     found = replies(body.where("doc_id is not null"), byte_items, size, gram, buckets, most_forms)
-    asked = found.where(F.col("code") != SOURCE).groupBy("doc_id", "key").agg(F.collect_list(F.struct("code", "number")).alias("found"))
     # Both joins keep all rows of `body`, so that they share one shuffle of the texts.
-    with_found = body.join(asked, ["doc_id", "key"], "left").select("doc_id", "key", F.expr("if(found is null, null, text)").alias("text"), "found")
+    asked = body.join(by_document(found, buckets), ["doc_id", "key"], "left").select("doc_id", "key", F.expr("if(told is null, null, text)").alias("text"), "told")
     shards = 2 * buckets
-    forms = with_found.mapInArrow(_phrases(size, gram, shards), _FORMS_SQL)
+    forms = asked.mapInArrow(_phrases(size, gram, shards), _FORMS_SQL)
     cuts = forms.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_order(size), CUTS_SQL)
     gone = cuts.groupBy("doc_id", "key").agg(F.collect_list("cuts").alias("cuts"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"

@@ -80,13 +80,15 @@ def test_bounded_parts_give_the_same_order():
 def test_bucket_settles_step_by_step():
     """However its rows come in, a bucket tells the same runs as later, open, source or hot."""
     rnd = np.random.default_rng(2)
-    trigger, content = rnd.integers(0, 20, 600).astype(np.uint64), rnd.integers(0, 25, 600).astype(np.uint64)
+    trigger, content = rnd.integers(0, 20, 600).astype(np.uint32), rnd.integers(0, 25, 600).astype(np.uint64)
     ids, number = rnd.integers(0, 30, 600), np.arange(600)
 
     def told(pending, pieces):
-        b, out = _Bucket(100, pending), []
+        b, out = _Bucket(3, 100, pending), []
         for p in np.array_split(np.arange(600), pieces):
             out += list(b.add(trigger[p], content[p], np.zeros(len(p), bool), ids[p], ids[p], number[p]))
-        out += list(b.settle(True))
-        return sorted((x["doc_id"], x["code"], n) for r in out for x in r.to_pylist() for n in np.frombuffer(x["number"], np.uint32).tolist())
+        out += list(b.end())
+        rows = [x for r in out for x in r.to_pylist() if x["group"] >= 0]
+        return {(np.frombuffer(x["ids"], np.int64)[at], y & 15, y >> 4) for x in rows
+                for at, y in zip(np.frombuffer(x["at"], np.uint32).tolist(), np.frombuffer(x["told"], np.uint32).tolist())}
     assert told(10_000, 1) == told(10_000, 7) == told(50, 30) and {c for _, c, _ in told(50, 30)} == {LATER, OPEN, OPEN + SOURCE}
