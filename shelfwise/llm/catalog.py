@@ -6,4 +6,4 @@ from shelfwise.llm import (decontamination, filter_audit, hard_negatives, html_e
 QUERIES = (simhash.QUERIES | url_filters.QUERIES | packing.QUERIES | quality_rules.QUERIES | decontamination.QUERIES | pii.QUERIES
            | preference.QUERIES | phrase_dedup.QUERIES | suffix_dedup.QUERIES | html_extraction.QUERIES | filter_audit.QUERIES
            | piece_bpe.QUERIES | hard_negatives.QUERIES)
-ORACLE = url_filters.ORACLE | filter_audit.ORACLE | hard_negatives.ORACLE
+ORACLE = url_filters.ORACLE | quality_rules.ORACLE | filter_audit.ORACLE | hard_negatives.ORACLE

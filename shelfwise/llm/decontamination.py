@@ -104,7 +104,8 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_bytes: int):
 def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8,
                     block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, n_shared, n_item (distinct shingles) and containment of each pair at or over the threshold."""
-    schema = "doc_id long, item_id long, n_shared long, n_item long"
+    kind = items.schema["item_id"].dataType.simpleString()
+    schema = f"doc_id long, item_id {kind}, n_shared long, n_item long"
     out = None
     for block in _blocks(items, "item_id", "text", block_bytes):
         names = [r for r, _ in block]
@@ -114,7 +115,8 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold
             for f in frames:
                 got = [(d, names[r], n, total) for d, t in zip(f["doc_id"], f["text"]) for r, n, total in _search(t, index.value, threshold)]
                 cols = list(zip(*got)) or [[]] * 4
-                yield pd.DataFrame({c: pd.Series(list(v), dtype="Int64") for c, v in zip(("doc_id", "item_id", "n_shared", "n_item"), cols)})
+                yield pd.DataFrame({c: pd.Series(list(v), dtype=object if c == "item_id" and kind == "string" else "Int64")
+                                    for c, v in zip(("doc_id", "item_id", "n_shared", "n_item"), cols)})
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(search, schema)
         out = part if out is None else out.unionByName(part)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -39,6 +40,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.tokens, self.runs = ["#page"], [-1], [frozenset()], []
         self._open = [("#page", 0, False)]  # name, number of the block element around what follows, is a link
+        self._names = Counter(["#page"])  # of the open elements, so that a name that isn't open costs no search
         self._text: list[str] = []
         self._links = self._silent = self._anchors = 0
         self.feed(html)
@@ -56,6 +58,10 @@ class Page(HTMLParser):
             self._flush()
         self._silent -= sum(n in SILENT for n, *_ in self._open[at:])
         self._anchors -= sum(link for *_, link in self._open[at:])
+        for name, *_ in self._open[at:]:
+            self._names[name] -= 1
+            if not self._names[name]:
+                del self._names[name]
         del self._open[at:]
 
     def _leave_head(self):
@@ -63,6 +69,8 @@ class Page(HTMLParser):
             self._pop_to(at)
 
     def _last(self, names, until=frozenset()):
+        if not any(n in self._names for n in names):
+            return 0
         for at in range(len(self._open) - 1, 0, -1):
             if self._open[at][0] in names:
                 return at
@@ -99,9 +107,10 @@ class Page(HTMLParser):
         self._silent += name in SILENT
         self._anchors += link
         self._open.append((name, block, link))
+        self._names[name] += 1
 
     def _blocks(self):
-        return {n for n, *_ in self._open if n not in INLINE}
+        return {n for n in self._names if n not in INLINE}
 
     def handle_endtag(self, name):
         if at := self._last({name}, self._blocks() if name in INLINE - SILENT - {"object", "canvas"} else frozenset()):

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import random
 import re
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -137,7 +138,8 @@ def train(pages: list[str], seed: int = 7) -> Boosted:
             if y is not None and page.parent == labelled.parent:
                 xs.append(features(page))
                 ys.append(y)
-    if not xs:  # no page with a landmark: two pages of fixed form stand in
+    if not xs:
+        warnings.warn("no sampled page has a landmark (article, main or a content word): the trees learn from one page of fixed form", stacklevel=2)
         return train(["<body><nav><a href=x>menu</a></nav><article><p>Some text, of a sentence.</p></article><footer>end</footer></body>"] * 30)
     return Boosted().fit(np.vstack(xs), np.concatenate(ys))
 
@@ -185,9 +187,14 @@ def main_text(html: str | None, model: Boosted) -> str:
     return main_texts([html], model)[0]
 
 
-def fit(pages: DataFrame, sample_pages: int = 300) -> Boosted:
-    """The model, from at most ``sample_pages`` pages."""
-    some = pages.where("length(html) < 200000").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).select("html").collect()
+def fit(pages: DataFrame, sample_pages: int = 300, sample_chars: int = 200_000) -> Boosted:
+    """The model, from at most ``sample_pages`` pages of less than ``sample_chars`` characters each, the first by the hash of their id.
+
+    The ids are chosen first, so that no more than the chosen pages reach the driver.
+    """
+    fits = pages.where(F.length("html") < sample_chars).where("page_id is not null")
+    ids = [r[0] for r in fits.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).collect()]
+    some = fits.where(F.col("page_id").isin(ids)).select("html").limit(sample_pages).collect()
     return train([r["html"] for r in some])
 
 

@@ -68,15 +68,20 @@ def _schedule(totals: np.ndarray, shares: np.ndarray, window: int) -> np.ndarray
 
 
 def place(queue: np.ndarray, chunk_no: np.ndarray, totals: np.ndarray, quanta: np.ndarray, chunk: int) -> np.ndarray:
-    """Place in the stream of the first token of each chunk."""
+    """Place in the stream of the first token of each chunk.
+
+    A queue is served to its end in its last round; later rounds count as that one, so
+    products stay below the tokens of a queue times 2^17, which ``pack`` bounds.
+    """
     unit = np.int64(chunk << _SCALE)
     rounds = -(-((chunk_no + 1) * unit) // quanta[queue]) - 1
+    last = -(-(-(-totals // chunk) * unit) // quanta)
     out = np.empty(len(queue), np.int64)
     some = max(1, (1 << 20) // max(1, len(totals)))
     for i in range(0, len(queue), some):
         r, q, c = rounds[i:i + some, None], queue[i:i + some], chunk_no[i:i + some]
-        before = np.minimum(totals, chunk * (r * quanta // unit))
-        after = np.minimum(totals, chunk * ((r + 1) * quanta // unit))
+        before = np.minimum(totals, chunk * (np.minimum(r, last) * quanta // unit))
+        after = np.minimum(totals, chunk * (np.minimum(r + 1, last) * quanta // unit))
         earlier = np.arange(len(totals)) < q[:, None]
         out[i:i + some] = before.sum(1) + ((after - before) * earlier).sum(1) + c * chunk - before[np.arange(len(q)), q]
     return out
@@ -124,11 +129,13 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, window: int =
         shared = F.pmod(F.xxhash64("source"), F.lit(max(1, max_queues // 16))).cast("string")
         name = F.when(F.col("source").isNull() | F.col("source").isin(own), name).otherwise(F.concat(F.lit("#"), shared))
     name = F.coalesce(name, F.lit("null"))
-    toks = toks.withColumn("queue", name).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    toks = toks.withColumn("queue", name).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.crc32("ids"))), F.lit(buckets)))
     sums = freeze(toks.groupBy("queue", "bucket").agg(F.sum("n").alias("n")))
     queues = sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()  # max_queues rows, the null source's and those of targets at most
     queues.sort(key=lambda r: r["queue"])
     totals = np.array([r["n"] for r in queues], np.int64)
+    if len(totals) and totals.max() >= 1 << 45:
+        raise OverflowError("a queue of 2^45 tokens and more")
     shares = totals / max(1, totals.sum())
     if targets:
         shares = np.array([targets.get(r["queue"][1:], s) if r["queue"][0] == "=" else s for r, s in zip(queues, shares)], float)

@@ -8,8 +8,10 @@ the end mark after them, as start:end code points of the completion.
 Turns are ordered by (turn, role, text), so ties have one order and repeated
 turns stay; a null role or text counts as empty; a side without turns is an
 empty conversation; rows with another side than chosen or rejected are ignored;
-null pair ids form a pair of their own; extra columns are not read; an empty
-table gives no rows. A pair is ``usable`` if both completions hold something to
+each turn with a null pair id is a pair of its own, so that they make no unbounded
+conversation; a mark within a text or role ("<|end|>") is broken by a
+zero-width space, so that no text can forge a turn; extra columns are not read; an
+empty table gives no rows. A pair is ``usable`` if both completions hold something to
 train on. One row holds one whole conversation, as the format demands.
 """
 
@@ -21,7 +23,7 @@ TURN = "struct<turn:bigint,role:string,text:string>"
 
 
 def _side(name: str) -> Column:
-    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turn = F.struct(F.col("turn"), *(F.regexp_replace(F.coalesce(c, F.lit("")), r"<\|", "<\u200b|").alias(c) for c in ("role", "text")))
     said = F.sort_array(F.collect_list(F.when(F.col("side") == name, turn)))
     return F.transform(said, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias(name)
 
@@ -52,7 +54,9 @@ def trained(turns: Column, role: str) -> Column:
 
 def preference_pairs(turns: DataFrame, role: str = "assistant") -> DataFrame:
     """pair_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask, usable."""
-    pairs = turns.where(F.col("side").isin("chosen", "rejected")).groupBy("pair_id").agg(_side("chosen"), _side("rejected"))
+    turns = turns.where(F.col("side").isin("chosen", "rejected")).select("pair_id", "side", "turn", "role", "text")
+    turns = turns.withColumn("alone", F.when(F.col("pair_id").isNull(), F.monotonically_increasing_id()))
+    pairs = turns.groupBy("pair_id", "alone").agg(_side("chosen"), _side("rejected"))
     same = F.zip_with("chosen", "rejected", lambda a, b: a.eqNullSafe(b))
     differs = F.array_position(same, F.lit(False))
     pairs = pairs.withColumn("n_common", F.when(differs > 0, differs - 1).otherwise(F.size("chosen")).cast("int"))

@@ -4,7 +4,10 @@ Every row gets the base counts of its whole text. Failures are summed by host
 (one partial aggregate, so a hot host is reduced before the shuffle), each
 host's failure rate is shrunk by a beta prior fitted to all hosts by moments,
 and the verdict goes back to the rows. Null text counts as empty; a null host
-is a host of its own; repeated rows stay; an empty table gives no rows.
+is a host of its own; rows of one text have one verdict within a host, and repeated
+rows stay; very long texts are counted whole; extra columns are dropped, but for those
+named in ``keep``, which come back in one struct, so that no name clashes; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,14 +52,24 @@ def base_rules(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, k
 
 
 def host_rates(scored: DataFrame) -> DataFrame:
-    """Failure rate by host, shrunk by a beta prior fitted to the host rates by moments."""
+    """Failure rate by host, shrunk by a beta prior fitted to all hosts by beta-binomial moments.
+
+    With mean failure rate p, the spread of host rates that binomial sampling alone gives is taken out of the observed one
+    (every host weighted by its rows): what is left is the correlation c of two rows of one host, between 0 and 1, and
+    the prior has (1 - c) / c rows. Without spread beyond sampling (c = 0) every host has the mean rate.
+    """
     hosts = scored.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    rate = F.col("failed") / F.col("n")
-    hosts = attach_scalars(hosts, hosts.agg((F.sum("failed") / F.sum("n")).alias("mean"), F.coalesce(F.var_samp(rate), F.lit(0.0)).alias("var"),
-                                            F.sum("n").alias("total")))
-    spread = F.col("mean") * (1 - F.col("mean"))
-    size = F.when((F.col("var") > 0) & (spread > F.col("var")), spread / F.col("var") - 1).otherwise(F.lit(1.0))
-    return hosts.select("host", "n", "total", ((F.col("failed") + F.col("mean") * size) / (F.col("n") + size)).alias("host_rate"))
+    n, failed = F.col("n").cast("double"), F.col("failed").cast("double")
+    sums = hosts.agg(F.sum("n").alias("total"), F.sum("failed").alias("bad"), F.sum(failed * failed / n).alias("spread"), F.sum(n * n).alias("squares"),
+                     F.count("*").alias("hosts"))
+    mean, others = F.col("bad") / F.col("total"), F.col("hosts") - 1
+    pq, room = mean * (1 - mean), F.col("total") - F.col("squares") / F.col("total") - others
+    found = (F.col("spread") - F.col("total") * mean * mean - pq * others) / (pq * room)
+    sums = sums.select("total", mean.alias("mean"), F.when((pq > 0) & (room > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), found)))
+                       .otherwise(F.lit(0.0)).alias("c"))
+    c = F.col("c")
+    rate = F.when(c < 1, (c * failed + (1 - c) * F.col("mean")) / (c * n + 1 - c)).otherwise(failed / n)
+    return attach_scalars(hosts, sums).select("host", "n", "total", rate.alias("host_rate"))
 
 
 def quality_rules(docs: DataFrame, max_host_rate: float = 0.5, keep: tuple = (), hot_share: int = 1000) -> DataFrame:
@@ -76,7 +89,37 @@ def quality_rules(docs: DataFrame, max_host_rate: float = 0.5, keep: tuple = (),
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    got = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return got.withColumn("host_rate", F.round("host_rate", 9))
 
 
 QUERIES = {"op7_quality_rules": op7_quality_rules}
+
+ORACLE = {"op7_quality_rules": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+wins AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT r, i FROM wins QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+hit AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(3) s(k) GROUP BY r),
+b AS (
+  SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(n, 0) AS n_repeat_words
+  FROM d LEFT JOIN hit USING (r)),
+judged AS (
+  SELECT * EXCLUDE (lines), CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM b),
+hosts AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS x FROM judged GROUP BY host),
+fit AS (
+  SELECT total, p, hosts, CASE WHEN p * (1 - p) > 0 AND total - squares / total - (hosts - 1) > 0
+    THEN least(1.0, greatest(0.0, (spread - total * p * p - p * (1 - p) * (hosts - 1)) / (p * (1 - p) * (total - squares / total - (hosts - 1))))) ELSE 0 END AS c
+  FROM (SELECT sum(n) AS total, sum(x) / CAST(sum(n) AS DOUBLE) AS p, sum(x * x / CAST(n AS DOUBLE)) AS spread, sum(CAST(n AS DOUBLE) * n) AS squares,
+               count(*) AS hosts FROM hosts)),
+rates AS (SELECT host, n, CAST(total AS BIGINT) AS total, CASE WHEN c < 1 THEN (c * x + (1 - c) * p) / (c * n + 1 - c) ELSE x / CAST(n AS DOUBLE) END AS host_rate
+          FROM hosts, fit)
+SELECT j.doc_id, j.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(host_rate, 9) AS host_rate,
+       NOT base_failed AND host_rate <= 0.5 AS kept
+FROM judged j JOIN rates h ON j.host IS NOT DISTINCT FROM h.host"""}

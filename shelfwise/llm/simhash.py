@@ -9,18 +9,21 @@ each other), so no group is expanded into pairs. Components are minimum labels
 spread over the links, with a reliable checkpoint each round.
 
 Null and wordless texts have fingerprint zero; repeated rows stay rows of
-their own; an empty table gives no rows; a null doc_id never names a component.
+their own; very long texts are hashed whole, 65,536 shingles at a time; extra columns
+are not read; an empty table gives no rows; a null doc_id never names a component.
 """
 
 from __future__ import annotations
 
 import re
-import tempfile
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType
+
+from shelfwise.session import ensure_checkpoint_dir
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 BIT = "shiftleft(cast(1 as bigint), {})"
@@ -37,11 +40,9 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(docs: DataFrame) -> DataFrame:
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
-    return docs.select("doc_id", fp("text").alias("fp"))
+@F.pandas_udf(LongType())
+def _fingerprints(texts: pd.Series) -> pd.Series:
+    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
 
 def _distance(a: str, b: str) -> Column:
@@ -62,15 +63,12 @@ def _links(fps: DataFrame, bits: int) -> DataFrame:
     return pairs.union(near.join(star, "mid").select("a", F.col("fp").alias("b")).where("a <> b")).distinct()
 
 
-def simhash_components(docs: DataFrame, bits: int = 2) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id of each row."""
+def _labels(rows: DataFrame, bits: int) -> DataFrame:
+    """fp and first of each fingerprint: the smallest (no doc_id, doc_id, fp) of its component, which names it."""
     if bits != 2:
         raise ValueError("the segments and neighbours are laid out for 2 bits")
-    spark = docs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="simhash-"))
-    rows = _fingerprints(docs).checkpoint()
-    label = rows.groupBy("fp").agg(F.min("doc_id").alias("c")).checkpoint()
+    label = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    label = label.select("fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp").alias("c")).checkpoint()
     e = _links(label.select("fp"), bits)
     e = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     while True:
@@ -79,9 +77,29 @@ def simhash_components(docs: DataFrame, bits: int = 2) -> DataFrame:
         moved = new.where(~F.col("m").eqNullSafe(F.col("c"))).limit(1).count()
         label = new.select("fp", F.col("m").alias("c"))
         if not moved:
-            break
-    return rows.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                         F.col("c").alias("component_id"))
+            return label
+
+
+def simhash_components(docs: DataFrame, bits: int = 2) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id of each row."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    rows = docs.select("doc_id", _fingerprints("text").alias("fp")).checkpoint()
+    return rows.join(_labels(rows, bits), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                                                       F.col("c.doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, bits: int = 2) -> DataFrame:
+    """One row of each component, whole: that of the smallest doc_id (a null one is the largest), then fingerprint, then text hash.
+
+    Rows that share a doc_id are told apart by their texts; of rows equal in both one stays.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    keyed = docs.withColumn("simhash_key", F.xxhash64("text"))
+    rows = keyed.select("doc_id", "simhash_key", _fingerprints("text").alias("fp")).checkpoint()
+    first = rows.join(_labels(rows, bits), "fp").where(F.col("doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("fp") == F.col("c.fp")))
+    first = first.groupBy("doc_id", "fp").agg(F.min("simhash_key").alias("k")).select(F.col("doc_id").alias("d"), "k")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("simhash_key") == F.col("k"))
+    return keyed.join(first, same, "left_semi").dropDuplicates(["doc_id", "simhash_key"]).select(docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

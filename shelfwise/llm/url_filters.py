@@ -5,9 +5,10 @@ pattern each ``add`` is valid until the next event of that pattern: validity int
 [day, next day). A capture is matched by the keys its URL can be listed under and
 is held against the intervals that hold its fetch time.
 
-Kinds: ``host`` (that host), ``domain`` (that host and all below it), ``prefix``
-(host and leading path segments). Hosts are compared in lower case without
-user, port and final dot. ``remove`` wins over ``add`` on one day.
+Kinds: ``host`` (that host), ``domain`` (that host and all below it; a first dot does
+not count), ``prefix`` (host and leading path segments). Hosts are compared in lower
+case without user, port and final dot, in patterns of all kinds; paths as they are. An
+IPv6 host is the address in its brackets. ``remove`` wins over ``add`` on one day.
 
 A hot host or domain may be a key of a large part of all captures, so both sides
 carry a salt: captures by their own hash, intervals once per salt. Verdicts are
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
@@ -46,7 +47,9 @@ def keys(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """list, key, valid_from, valid_to (null: still valid) of each add."""
-    key = F.concat_ws(":", "kind", F.regexp_replace(F.when(F.col("kind") == "prefix", F.col("pattern")).otherwise(F.lower("pattern")), r"[./]$", ""))
+    name, path = F.lower(F.regexp_extract("pattern", "^([^/]*)", 1)), F.regexp_replace(F.regexp_extract("pattern", "^[^/]*/(.*)$", 1), "/$", "")
+    name = F.regexp_replace(F.when(F.col("kind") == "domain", F.regexp_replace(name, r"^\.", "")).otherwise(name), r"\.$", "")
+    key = F.concat_ws(":", "kind", F.when((F.col("kind") == "prefix") & (path != ""), F.concat(name, F.lit("/"), path)).otherwise(name))
     day = (entries.dropna(subset=["list", "kind", "pattern", "day", "action"])
            .groupBy("list", key.alias("key"), "day").agg(F.max("action").alias("action")))  # remove > add
     w = Window.partitionBy("list", "key").orderBy("day")
@@ -97,7 +100,7 @@ def op2_url_filters(spark, sf_dir: str) -> DataFrame:
 ORACLE = {"op2_url_filters": r"""
 WITH p AS (
   SELECT page_id, url, page_id % 360 AS fetched,
-         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.$', '') AS host,
+         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)), '\.$', '') AS host,
          list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS steps
   FROM pages),
 q AS (SELECT *, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS domain,

@@ -54,3 +54,10 @@ def test_query_equals_brute_force(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id, r.n_shared) for r in op8_decontamination(spark, d).collect()}
     assert got == brute(docs, items) and got
+
+
+def test_string_item_ids(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, "and " + item.upper() + " so"), (2, "other")], "doc_id long, text string")
+    items = spark.createDataFrame([("q-1", item), ("q-2", "never seen words in any of these texts")], "item_id string, text string")
+    assert [(r.doc_id, r.item_id) for r in contained_items(docs, items).collect()] == [(1, "q-1")]

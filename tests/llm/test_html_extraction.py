@@ -91,3 +91,10 @@ def test_edges(spark, model):
     rows = extract(df, model).collect()
     assert len(rows) == len(odd) and all(r.text == "" for r in rows[:4])
     assert extract(df.limit(0)).count() == 0 and features(Page("")).shape[0] == 1
+
+
+def test_broken_pages_take_time_in_proportion():
+    import time
+    began = time.process_time()
+    page = Page("<body>" + "<div><b>x</b>" * 40_000)
+    assert len(page.tag) > 40_000 and time.process_time() - began < 10

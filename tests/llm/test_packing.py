@@ -1,11 +1,13 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from shelfwise.llm.packing import op3_packing, pack
+from shelfwise.llm.packing import _schedule, op3_packing, pack, place
 
 
 def ids_of(texts):
@@ -96,3 +98,18 @@ def test_targets_hold_with_many_sources(spark):
         if p.sequence_id < 2 * upto:
             early[p.source] += p.length
     assert all(abs(early[s] - natural[s] * 2 * upto * 1024) <= 0.03 * natural[s] * 2 * upto * 1024 + 5 for s in ("s0", "s1", "s2", "big", None))
+
+
+@pytest.mark.parametrize("tokens, share", [(10 ** 11, 0.0001), (2 * 10 ** 12, 0.001), (10 ** 13, 0.1)])
+def test_places_are_exact_for_very_many_tokens(tokens, share):
+    totals, chunk, window = np.array([tokens, tokens + 77], np.int64), 64, 1024
+    quanta = _schedule(totals, np.array([share, 1 - share]), window)
+    rnd = random.Random(3)
+    queue = np.array([rnd.randrange(2) for _ in range(2000)])
+    number = np.array([rnd.randrange(-(-int(totals[q]) // chunk)) for q in queue])
+    got, unit, q = place(queue, number, totals, quanta, chunk).tolist(), chunk << 16, [int(x) for x in quanta]
+    for at, own, c in zip(got, queue.tolist(), number.tolist()):
+        r = -(-((c + 1) * unit) // q[own]) - 1
+        before = [min(int(n), chunk * (r * x // unit)) for n, x in zip(totals, q)]
+        after = [min(int(n), chunk * ((r + 1) * x // unit)) for n, x in zip(totals, q)]
+        assert at == sum(before) + sum(after[k] - before[k] for k in range(own)) + c * chunk - before[own]

@@ -1,6 +1,9 @@
+import random
 import re
 
-from shelfwise.llm.quality_rules import base_rules, quality_rules
+from shelfwise.llm.quality_rules import ORACLE, base_rules, host_rates, op7_quality_rules, quality_rules
+from shelfwise.testing.compare import compare_query, duck_connect
+from tests_llm_helpers import host_rates_by_hand
 
 
 def brute(text):
@@ -22,3 +25,29 @@ def test_empty_and_null_host(spark):
     schema = "doc_id long, text string, source string"
     assert quality_rules(spark.createDataFrame([], schema)).count() == 0
     assert quality_rules(spark.createDataFrame([(1, None, None), (1, None, None)], schema)).count() == 2
+
+
+def test_host_rates_equal_a_plain_fit(spark):
+    rnd = random.Random(5)
+    for seed, hosts in enumerate(([(f"h{i}", 1) for i in range(300)], [("big", 400), *((f"s{i}", rnd.randrange(1, 9)) for i in range(80)), (None, 7)],
+                                  [("a", 30), ("b", 30)], [("one", 5)])):
+        rows = [(h, rnd.random() < (0.4 if seed != 2 else 0.9 * (h == "a"))) for h, n in hosts for _ in range(n)]
+        df = spark.createDataFrame(rows, "host string, base_failed boolean")
+        got, want = {r.host: r.host_rate for r in host_rates(df).collect()}, host_rates_by_hand(rows)
+        assert got.keys() == want.keys() and all(abs(got[h] - want[h]) < 1e-9 for h in want)
+        if seed == 0:  # hosts of one row say nothing about hosts
+            assert len(set(round(x, 9) for x in got.values())) == 1
+
+
+def test_one_bad_row_does_not_condemn_its_host(spark):
+    good, bad = " ".join(f"w{i}" for i in range(60)), "short"
+    rows = [(i, good if i % 5 < 3 else bad, f"h{i}") for i in range(200)] + [(1000, None, None)] * 2
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, kept int")
+    got = quality_rules(df, keep=("doc_id", "kept")).collect()
+    assert len(got) == len(rows) and sum(r.kept for r in got) == 120 and {r.row.kept for r in got} == {1}
+
+
+def test_query_equals_sql(spark):
+    d = "/root/testdata/sf0.01"
+    got = compare_query(op7_quality_rules(spark, d), ORACLE["op7_quality_rules"], duck_connect(d))
+    assert got["values_match"] and got["spark_rows"] == 1000, got

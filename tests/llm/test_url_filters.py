@@ -26,3 +26,11 @@ def test_intervals_and_kinds(spark):
     assert got == [(0, "b,e"), (1, ""), (2, "a"), (3, "a,b"), (3, "a,b"), (4, "b"), (5, "b"), (6, ""), (7, "c"), (8, ""), (9, ""), (10, ""), (11, ""), (12, "")]
     assert url_verdicts(c, e.limit(0)).where("blocked").count() == 0 and url_verdicts(c, e.limit(0)).count() == len(cap)
     assert url_verdicts(c.limit(0), e).count() == 0
+
+
+def test_hosts_in_any_spelling(spark):
+    ent = [("a", "prefix", "Example.com/Path/", 0, "add"), ("b", "host", "[2001:DB8::2]", 0, "add"), ("c", "domain", ".Example.org", 0, "add"), ("d", "host", "x.com/", 0, "add")]
+    cap = [(1, "http://EXAMPLE.com/Path/x", 1, "k"), (2, "http://example.com/path", 1, "k"), (3, "http://u@[2001:db8::2]:80/", 1, "k"), (4, "http://[2001:db8::3]/", 1, "k"),
+           (5, "http://a.example.org", 1, "k"), (6, "http://example.org.", 1, "k"), (7, "http://x.com", 1, "k"), (8, "http://x.com/" + "s/" * 300, 1, "k")]
+    c, e = spark.createDataFrame(cap, CAP), spark.createDataFrame(ent, ENT)
+    assert sorted((r.page_id, r.lists) for r in url_verdicts(c, e).collect()) == [(1, "a"), (2, ""), (3, "b"), (4, ""), (5, "c"), (6, "c"), (7, "d"), (8, "d")]
