@@ -15,7 +15,7 @@ from shelfwise.llm.decontamination import contained_items
 from shelfwise.llm.packing import pack
 from shelfwise.llm.pii import find_pii, mask
 from shelfwise.llm.quality_rules import quality_rules
-from shelfwise.llm.simhash import simhash_components
+from shelfwise.llm.simhash import one_of_each
 from shelfwise.operators.materialize import freeze
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,17 +27,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each SimHash component; rows without an id stay, rows that share one are one document."""
-    found = simhash_components(docs.select("doc_id", "text"))
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    same = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return same.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(COLUMNS)
+    """One document of each SimHash component: that of the smallest doc_id; rows without an id come last, of rows that share one each text counts."""
+    return one_of_each(docs).select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    leaks = contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(COLUMNS)
+    """Documents that contain no benchmark item; a row is judged by its own text, whatever its id."""
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    leaks = contained_items(keyed.select(F.col("text_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return keyed.join(leaks.select(F.col("doc_id").alias("text_key")).distinct(), "text_key", "left_anti").select(COLUMNS)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +46,8 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences with the checksum of their ids (``pack`` itself returns the ids)."""
-    return pack(docs).select("doc_id", "source", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """Pieces of the packed sequences with their token ids and the ids' checksum."""
+    return pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontaminate),
