@@ -1,304 +1,167 @@
 """Integrity operators C1-C8: the relational constraints as batch checks.
 
-Each rule is a declarative description; ``check`` turns every rule into a
-DataFrame of violations ``(rule, table, key, detail)`` and unions them.
-NOT NULL / domain / range / row rules are filters on one scan, UNIQUE is a
-grouped count (SQL UNIQUE lets NULL keys repeat), FOREIGN KEY is a
-``left_anti`` join on non-NULL keys. Violations stay distributed; callers
-decide whether to count, sample for display, or write them out.
+The rules are data (``operators.constraints``). They are compiled into few plans:
+
+* NOT NULL, value lists, ranges and row conditions of a table are conditional sums
+  of one aggregate, so the table is read once however many rules it has.
+* All keys of a table are grouped in one shuffle of (rule, key) pairs (SQL UNIQUE lets
+  NULL keys repeat).
+* All references of a table are read in one scan, reduced to distinct (referenced key,
+  value) pairs with their counts before the shuffle, and anti-joined with the
+  referenced keys of all tables at once.
+
+``check_summary`` has a row for every rule, with status ``not_checked`` where the catalog
+lacks its table or column. ``check`` gives the violating rows themselves, distributed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.operators.constraints import EDGES, RULES, Rule
 from shelfwise.sources.catalog import TABLE_ORDER, Catalog
 
+BY_ROW = ("not_null", "domain", "range", "row")
 
-@dataclass(frozen=True)
-class Rule:
-    rule: str
-    table: str
-    kind: str                      # not_null | unique | foreign_key | domain | range | row
-    columns: tuple[str, ...] = ()
-    ref_table: str | None = None
-    ref_columns: tuple[str, ...] = ()
-    values: tuple = ()
-    low: float | None = None
-    high: float | None = None
-    predicate: Callable[[], Column] | None = None   # row rule: must hold (NULL passes, as CHECK)
-    key: tuple[str, ...] = ()      # primary key used to identify a violating row
-
-
-def _key(df: DataFrame, key: tuple[str, ...]) -> Column:
-    cols = [c for c in key if c in df.columns] or df.columns[:1]
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in cols])
-
-
-def violations(cat: Catalog, r: Rule) -> DataFrame | None:
-    if r.table not in cat or (r.ref_table and r.ref_table not in cat):
-        return None
-    df = cat[r.table]
-    if any(c not in df.columns for c in r.columns):
-        return None
-    out = None
+
+def applies(cat: Catalog, r: Rule) -> bool:
+    """The catalog has what the rule reads."""
+    return (r.table in cat and set(r.columns) <= set(cat[r.table].columns)
+            and (r.ref_table is None or (r.ref_table in cat and set(r.ref_columns) <= set(cat[r.ref_table].columns))))
+
+
+def breaks(r: Rule) -> Column:
+    """Whether a row violates a rule of its own (never NULL)."""
     if r.kind == "not_null":
-        bad = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in r.columns])
-        out = df.where(bad).select(_key(df, r.key).alias("key"), F.lit(f"NULL in {', '.join(r.columns)}").alias("detail"))
-    elif r.kind == "unique":
-        nonnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in r.columns])
-        g = df.where(nonnull).groupBy(*r.columns).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-        out = g.select(F.concat_ws("|", *[F.col(c).cast("string") for c in r.columns]).alias("key"),
-                       F.concat(F.lit("duplicate key x"), F.col("_n").cast("string")).alias("detail"))
-    elif r.kind == "foreign_key":
-        ref = cat[r.ref_table].select(*[F.col(rc).alias(f"_ref_{i}") for i, rc in enumerate(r.ref_columns)])
-        nonnull = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in r.columns])
-        cond = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_ref_{i}") for i, c in enumerate(r.columns)])
-        missing = df.where(nonnull).join(ref, cond, "left_anti")
-        out = missing.select(_key(df, r.key).alias("key"),
-                             F.concat(F.lit(f"{','.join(r.columns)}="),
-                                      F.concat_ws("|", *[F.col(c).cast("string") for c in r.columns]),
-                                      F.lit(f" not in {r.ref_table}")).alias("detail"))
-    elif r.kind == "domain":
-        c = F.col(r.columns[0])
-        out = df.where(c.isNotNull() & ~c.isin(*r.values)).select(
-            _key(df, r.key).alias("key"), F.concat(F.lit(f"{r.columns[0]}="), c.cast("string")).alias("detail"))
+        return F.col(r.columns[0]).isNull()
+    if r.kind == "domain":
+        sound = F.col(r.columns[0]).isin(*r.values)
     elif r.kind == "range":
         c = F.col(r.columns[0])
-        bad = F.lit(False)
-        if r.low is not None:
-            bad = bad | (c < r.low)
-        if r.high is not None:
-            bad = bad | (c > r.high)
-        out = df.where(c.isNotNull() & bad).select(
-            _key(df, r.key).alias("key"), F.concat(F.lit(f"{r.columns[0]}="), c.cast("string")).alias("detail"))
-    elif r.kind == "row":
-        ok = r.predicate()
-        out = df.where(~F.coalesce(ok, F.lit(True))).select(_key(df, r.key).alias("key"),
-                                                              F.lit(r.rule).alias("detail"))
-    if out is None:
-        raise ValueError(f"unknown rule kind {r.kind}")
-    return out.select(F.lit(r.rule).alias("rule"), F.lit(r.table).alias("table"), "key", "detail")
+        sound = reduce(Column.__and__, ([c >= F.lit(r.low)] if r.low is not None else []) + ([c <= F.lit(r.high)] if r.high is not None else []))
+    else:
+        sound = F.expr(r.condition)
+    return ~F.coalesce(sound, F.lit(True))
+
+
+def _text(columns: Iterable[str]) -> Column:
+    """A key as text; NULL if a part is. Lengths keep parts apart."""
+    parts = [F.col(c).cast("string") for c in columns]
+    return parts[0] if len(parts) == 1 else F.concat(*(x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)))
+
+
+def _by_table(rules: list[Rule]) -> dict[str, list[Rule]]:
+    out: dict[str, list[Rule]] = {}
+    for r in rules:
+        out.setdefault(r.table, []).append(r)
+    return out
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _row_counts(cat: Catalog, rules: list[Rule]) -> list[DataFrame]:
+    out = []
+    for table, some in _by_table(rules).items():
+        sums = cat[table].agg(*(F.coalesce(F.sum(breaks(r).cast("long")), F.lit(0)).alias(f"r{i}") for i, r in enumerate(some)))
+        out.append(sums.select(F.inline(F.array(*(F.struct(F.lit(r.rule).alias("rule"), F.col(f"r{i}").alias("violations")) for i, r in enumerate(some))))))
+    return out
+
+
+def _pairs(df: DataFrame, rules: list[Rule], *more: str) -> DataFrame:
+    """(rule, value) of each row and rule, without NULL keys."""
+    pairs = F.array(*(F.struct(F.lit(r.rule).alias("rule"), _text(r.columns).alias("value")) for r in rules))
+    return df.select(*more, F.inline(pairs)).where("value is not null")
+
+
+def duplicates(cat: Catalog, rules: list[Rule]) -> DataFrame:
+    """rule, value and n of the keys that stand more than once."""
+    pairs = _union([_pairs(cat[t], some) for t, some in _by_table(rules).items()])
+    return pairs.groupBy("rule", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def orphans(cat: Catalog, rules: list[Rule]) -> DataFrame:
+    """rule, value and n (rows that have it) of the references to no row."""
+    target = {r.rule: f"{r.ref_table}.{','.join(r.ref_columns)}" for r in rules}
+    names = F.create_map(*(F.lit(x) for pair in target.items() for x in pair))
+    used = _union([_pairs(cat[t], some) for t, some in _by_table(rules).items()])
+    used = used.groupBy("rule", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("target", names[F.col("rule")])
+    keys = {f"{r.ref_table}.{','.join(r.ref_columns)}": r for r in rules}
+    held = _union([cat[r.ref_table].select(F.lit(name).alias("target"), _text(r.ref_columns).alias("value")) for name, r in keys.items()])
+    return used.join(held, ["target", "value"], "left_anti").select("rule", "value", "n")
+
+
+def check_summary(cat: Catalog, rules: list[Rule] | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """rule, table, kind, status and violations (0 when sound, NULL when not checked) of every rule."""
+    rules = [r for r in (RULES if rules is None else rules) if not kinds or r.kind in kinds]
+    can = [r for r in rules if applies(cat, r)]
+    counts = _row_counts(cat, [r for r in can if r.kind in BY_ROW])
+    unique, references = ([r for r in can if r.kind == k] for k in ("unique", "foreign_key"))
+    if unique:
+        counts.append(duplicates(cat, unique).groupBy("rule").agg(F.count(F.lit(1)).alias("violations")))
+    if references:
+        counts.append(orphans(cat, references).groupBy("rule").agg(F.sum("n").alias("violations")))
+    checked = {r.rule for r in can}
+    listed = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in (("rule", r.rule), ("table", r.table), ("kind", r.kind),
+                                                                  ("status", "checked" if r.rule in checked else "not_checked")))) for r in rules))
+    every = cat.spark.range(1).select(F.inline(listed))  # a fixed list
+    if not counts:
+        return every.withColumn("violations", F.lit(None).cast("long"))
+    found = _union(counts)
+    return every.join(found, "rule", "left").select(
+        "rule", "table", "kind", "status", F.when(F.col("status") == "checked", F.coalesce("violations", F.lit(0))).alias("violations"))
 
 
 def check(cat: Catalog, rules: list[Rule] | None = None) -> DataFrame:
-    """All violations of ``rules`` (default: the model's constraint set)."""
-    parts = [v for v in (violations(cat, r) for r in (rules or RULES)) if v is not None]
+    """rule, table, key and detail of every violation of the rules that apply: rows of a table are read once for its row rules."""
+    can = [r for r in (RULES if rules is None else rules) if applies(cat, r)]
+    parts = []
+
+    def told(r: Rule) -> str:
+        return {"not_null": f"NULL in {r.columns[0]}", "domain": f"{r.columns[0]} not in its list", "range": f"{r.columns[0]} outside its range",
+                "row": r.condition}[r.kind]
+    for table, some in _by_table([r for r in can if r.kind in BY_ROW]).items():
+        df = cat[table]
+        have = [c for c in some[0].key if c in df.columns] or df.columns[:1]
+        key = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in have))
+        found = F.filter(F.array(*(F.when(breaks(r), F.struct(F.lit(r.rule).alias("rule"), F.lit(told(r)).alias("detail"))) for r in some)), lambda x: x.isNotNull())
+        parts.append(df.select(F.lit(table).alias("table"), key.alias("key"), F.inline(found)).select("rule", "table", "key", "detail"))
+    for kind, find, what in (("unique", duplicates, "duplicate key x"), ("foreign_key", orphans, "no such row, rows that refer to it: ")):
+        some = [r for r in can if r.kind == kind]
+        if some:
+            tables = F.create_map(*(F.lit(x) for r in some for x in (r.rule, r.table)))
+            parts.append(find(cat, some).select("rule", tables[F.col("rule")].alias("table"), F.col("value").alias("key"),
+                                                F.concat(F.lit(what), F.col("n").cast("string")).alias("detail")))
     if not parts:
         return cat.spark.createDataFrame([], "rule string, table string, key string, detail string")
-    return reduce(DataFrame.unionByName, parts)
+    return _union(parts)
 
 
 def summary(violations_df: DataFrame) -> DataFrame:
     return violations_df.groupBy("rule", "table").agg(F.count(F.lit(1)).alias("violations"))
 
 
-def check_summary(cat: Catalog, rules: list[Rule] | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """One row per applicable rule, ``violations`` = count (0 when clean)."""
-    parts = []
-    for r in rules or RULES:
-        if kinds and r.kind not in kinds:
-            continue
-        v = violations(cat, r)
-        if v is not None:
-            parts.append(v.agg(F.count(F.lit(1)).alias("violations")).select(
-                F.lit(r.rule).alias("rule"), F.lit(r.table).alias("table"), F.lit(r.kind).alias("kind"), "violations"))
-    return reduce(DataFrame.unionByName, parts)
+def load_order(edges: list[tuple[str, str]] | None = None) -> list[str]:
+    """Every table, parents before children, over all references (a table's reference to itself aside).
 
-
-def load_order(fks: list[tuple[str, str]] | None = None) -> list[str]:
-    """Parents before children (topological order of the FK graph)."""
-    edges = fks if fks is not None else [(r.table, r.ref_table) for r in RULES if r.kind == "foreign_key"]
-    deps: dict[str, set[str]] = {t: set() for t in TABLE_ORDER}
+    Tables without an order between them come in ``TABLE_ORDER``; a cycle raises with its tables.
+    """
+    edges = [(c, p) for c, p in (EDGES if edges is None else edges) if c != p]
+    waits: dict[str, set[str]] = {t: set() for t in TABLE_ORDER}
     for child, parent in edges:
-        if child != parent:
-            deps.setdefault(child, set()).add(parent)
-            deps.setdefault(parent, set())
-    order, done = [], set()
-    while len(done) < len(deps):
-        ready = sorted(t for t, ps in deps.items() if t not in done and ps <= done)
-        if not ready:
-            raise ValueError("foreign-key cycle among " + ", ".join(sorted(set(deps) - done)))
-        order += ready
-        done |= set(ready)
+        waits.setdefault(parent, set())
+        waits.setdefault(child, set()).add(parent)
+    order: list[str] = []
+    while waits:
+        free = [t for t, parents in waits.items() if not parents & waits.keys()]
+        if not free:
+            raise ValueError("references in a cycle among " + ", ".join(sorted(waits)))
+        order += free
+        for t in free:
+            del waits[t]
     return order
-
-
-def _fk(table, cols, ref, ref_cols, key):
-    cols, ref_cols = (cols,) if isinstance(cols, str) else cols, (ref_cols,) if isinstance(ref_cols, str) else ref_cols
-    return Rule(f"fk_{table}_{'_'.join(cols)}", table, "foreign_key", tuple(cols), ref, tuple(ref_cols), key=key)
-
-
-def _pk(table, cols):
-    return (Rule(f"pk_{table}_not_null", table, "not_null", cols, key=cols),
-            Rule(f"pk_{table}_unique", table, "unique", cols, key=cols))
-
-
-def _dom(table, col, values, key):
-    return Rule(f"ck_{table}_{col}", table, "domain", (col,), values=tuple(values), key=key)
-
-
-def _rng(table, col, lo, hi, key):
-    return Rule(f"ck_{table}_{col}_range", table, "range", (col,), low=lo, high=hi, key=key)
-
-
-def _row(name, table, pred, key):
-    return Rule(name, table, "row", predicate=pred, key=key)
-
-
-C = F.col
-PKS = {"regions": ("region_id",), "channels": ("channel_id",), "payment_methods": ("payment_method_id",),
-       "distribution_centers": ("dc_id",), "stores": ("store_id",), "calendar_date": ("date_id",),
-       "product_categories": ("category_id",), "suppliers": ("supplier_id",), "customers": ("customer_id",),
-       "loyalty_accounts": ("loyalty_account_id",), "products": ("product_id",), "orders": ("order_id",),
-       "order_items": ("order_item_id",), "payments": ("payment_id",), "shipments": ("shipment_id",),
-       "returns": ("return_id",), "return_items": ("return_item_id",), "inventory": ("inventory_id",),
-       "inventory_snapshots": ("snapshot_id",), "purchase_orders": ("purchase_order_id",),
-       "purchase_order_items": ("po_item_id",), "goods_receipts": ("receipt_id",),
-       "goods_receipt_items": ("receipt_item_id",), "marketing_campaigns": ("campaign_id",),
-       "campaign_responses": ("campaign_response_id",), "store_labor_hours": ("labor_hours_id",)}
-
-# Constraint set of the relational model (subset that the
-# catalog's tables carry; rules on absent tables are skipped).
-RULES: list[Rule] = [
-    *[r for t, k in PKS.items() for r in _pk(t, k)],
-    Rule("uq_regions_code", "regions", "unique", ("region_code",), key=("region_id",)),
-    Rule("uq_channels_code", "channels", "unique", ("channel_code",), key=("channel_id",)),
-    Rule("uq_stores_code", "stores", "unique", ("store_code",), key=("store_id",)),
-    Rule("uq_calendar_date", "calendar_date", "unique", ("full_date",), key=("date_id",)),
-    Rule("uq_products_sku", "products", "unique", ("sku",), key=("product_id",)),
-    Rule("uq_customers_number", "customers", "unique", ("customer_number",), key=("customer_id",)),
-    Rule("uq_loyalty_customer", "loyalty_accounts", "unique", ("customer_id",), key=("loyalty_account_id",)),
-    Rule("uq_orders_number", "orders", "unique", ("order_number",), key=("order_id",)),
-    Rule("uq_inventory_position", "inventory", "unique", ("product_id", "location_type", "store_id", "dc_id"),
-         key=("inventory_id",)),
-    Rule("uq_snapshot_position", "inventory_snapshots", "unique",
-         ("snapshot_date", "product_id", "location_type", "store_id", "dc_id"), key=("snapshot_id",)),
-    Rule("nn_orders", "orders", "not_null", ("customer_id", "channel_id", "order_date", "order_status"),
-         key=("order_id",)),
-    Rule("nn_order_items", "order_items", "not_null", ("order_id", "product_id", "quantity", "line_net_amount"),
-         key=("order_item_id",)),
-    Rule("nn_products", "products", "not_null", ("sku", "product_name", "category_id"), key=("product_id",)),
-    _fk("stores", "region_id", "regions", "region_id", ("store_id",)),
-    _fk("distribution_centers", "region_id", "regions", "region_id", ("dc_id",)),
-    _fk("product_categories", "parent_category_id", "product_categories", "category_id", ("category_id",)),
-    _fk("products", "category_id", "product_categories", "category_id", ("product_id",)),
-    _fk("products", "primary_supplier_id", "suppliers", "supplier_id", ("product_id",)),
-    _fk("customers", "preferred_store_id", "stores", "store_id", ("customer_id",)),
-    _fk("customers", "acquisition_channel_id", "channels", "channel_id", ("customer_id",)),
-    _fk("loyalty_accounts", "customer_id", "customers", "customer_id", ("loyalty_account_id",)),
-    _fk("orders", "customer_id", "customers", "customer_id", ("order_id",)),
-    _fk("orders", "store_id", "stores", "store_id", ("order_id",)),
-    _fk("orders", "channel_id", "channels", "channel_id", ("order_id",)),
-    _fk("orders", "campaign_id", "marketing_campaigns", "campaign_id", ("order_id",)),
-    _fk("orders", "order_date", "calendar_date", "full_date", ("order_id",)),
-    _fk("order_items", "order_id", "orders", "order_id", ("order_item_id",)),
-    _fk("order_items", "product_id", "products", "product_id", ("order_item_id",)),
-    _fk("payments", "order_id", "orders", "order_id", ("payment_id",)),
-    _fk("payments", "payment_method_id", "payment_methods", "payment_method_id", ("payment_id",)),
-    _fk("shipments", "order_id", "orders", "order_id", ("shipment_id",)),
-    _fk("shipments", "dc_id", "distribution_centers", "dc_id", ("shipment_id",)),
-    _fk("returns", "order_id", "orders", "order_id", ("return_id",)),
-    _fk("returns", "customer_id", "customers", "customer_id", ("return_id",)),
-    _fk("return_items", "return_id", "returns", "return_id", ("return_item_id",)),
-    _fk("return_items", "order_item_id", "order_items", "order_item_id", ("return_item_id",)),
-    _fk("inventory", "product_id", "products", "product_id", ("inventory_id",)),
-    _fk("inventory", "store_id", "stores", "store_id", ("inventory_id",)),
-    _fk("inventory", "dc_id", "distribution_centers", "dc_id", ("inventory_id",)),
-    _fk("inventory_snapshots", "product_id", "products", "product_id", ("snapshot_id",)),
-    _fk("inventory_snapshots", "snapshot_date", "calendar_date", "full_date", ("snapshot_id",)),
-    _fk("purchase_orders", "supplier_id", "suppliers", "supplier_id", ("purchase_order_id",)),
-    _fk("purchase_orders", "dc_id", "distribution_centers", "dc_id", ("purchase_order_id",)),
-    _fk("purchase_order_items", "purchase_order_id", "purchase_orders", "purchase_order_id", ("po_item_id",)),
-    _fk("purchase_order_items", "product_id", "products", "product_id", ("po_item_id",)),
-    _fk("goods_receipts", "purchase_order_id", "purchase_orders", "purchase_order_id", ("receipt_id",)),
-    _fk("goods_receipt_items", "receipt_id", "goods_receipts", "receipt_id", ("receipt_item_id",)),
-    _fk("goods_receipt_items", "po_item_id", "purchase_order_items", "po_item_id", ("receipt_item_id",)),
-    _fk("marketing_campaigns", "channel_id", "channels", "channel_id", ("campaign_id",)),
-    _fk("campaign_responses", "campaign_id", "marketing_campaigns", "campaign_id", ("campaign_response_id",)),
-    _fk("campaign_responses", "customer_id", "customers", "customer_id", ("campaign_response_id",)),
-    _fk("store_labor_hours", "store_id", "stores", "store_id", ("labor_hours_id",)),
-    _dom("channels", "channel_group", ("Physical", "Digital"), ("channel_id",)),
-    _dom("stores", "store_format", ("Flagship", "Standard", "Outlet"), ("store_id",)),
-    _dom("suppliers", "supplier_tier", ("Strategic", "Preferred", "Standard"), ("supplier_id",)),
-    _dom("customers", "customer_type", ("Loyalty", "Guest", "Corporate"), ("customer_id",)),
-    _dom("loyalty_accounts", "tier_code", ("Bronze", "Silver", "Gold", "Platinum"), ("loyalty_account_id",)),
-    _dom("loyalty_accounts", "status_code", ("Active", "Suspended", "Closed"), ("loyalty_account_id",)),
-    _dom("orders", "order_status", ("Pending", "Completed", "Cancelled", "Returned", "PartiallyReturned"),
-         ("order_id",)),
-    _dom("orders", "currency_code", ("USD",), ("order_id",)),
-    _dom("payments", "payment_status", ("Authorized", "Captured", "Voided", "Refunded", "Failed"), ("payment_id",)),
-    _dom("shipments", "shipment_status", ("Pending", "Shipped", "InTransit", "Delivered", "Cancelled"),
-         ("shipment_id",)),
-    _dom("return_items", "return_reason_code", ("SIZE", "DEFECT", "CHANGED_MIND", "LATE", "WRONG_ITEM", "OTHER"),
-         ("return_item_id",)),
-    _dom("inventory", "location_type", ("STORE", "DC"), ("inventory_id",)),
-    _dom("campaign_responses", "response_type", ("Sent", "Open", "Click", "Convert", "Unsubscribe"),
-         ("campaign_response_id",)),
-    _dom("marketing_campaigns", "campaign_type", ("Email", "SMS", "Social", "Display", "InStore", "Promo"),
-         ("campaign_id",)),
-    _dom("purchase_orders", "po_status", ("Open", "Partial", "Closed", "Cancelled"), ("purchase_order_id",)),
-    _rng("calendar_date", "day_of_week", 1, 7, ("date_id",)),
-    _rng("calendar_date", "week_of_year", 1, 53, ("date_id",)),
-    _rng("calendar_date", "month_number", 1, 12, ("date_id",)),
-    _rng("calendar_date", "quarter_number", 1, 4, ("date_id",)),
-    _rng("product_categories", "category_level", 1, 3, ("category_id",)),
-    _rng("suppliers", "lead_time_days_avg", 1, 120, ("supplier_id",)),
-    _rng("suppliers", "reliability_score", 0, 1, ("supplier_id",)),
-    _rng("loyalty_accounts", "points_balance", 0, None, ("loyalty_account_id",)),
-    _rng("products", "current_list_price", 0, None, ("product_id",)),
-    _rng("products", "current_unit_cost", 0, None, ("product_id",)),
-    _rng("order_items", "line_number", 1, None, ("order_item_id",)),
-    _rng("order_items", "quantity", 1, None, ("order_item_id",)),
-    _rng("order_items", "unit_price", 0, None, ("order_item_id",)),
-    _rng("order_items", "discount_amount", 0, None, ("order_item_id",)),
-    _rng("payments", "payment_amount", 0.01, None, ("payment_id",)),
-    _rng("return_items", "quantity_returned", 1, None, ("return_item_id",)),
-    _rng("return_items", "unit_refund_amount", 0, None, ("return_item_id",)),
-    _rng("inventory", "quantity_on_hand", 0, None, ("inventory_id",)),
-    _rng("inventory", "quantity_reserved", 0, None, ("inventory_id",)),
-    _rng("marketing_campaigns", "lift_factor", 0.5, 3.0, ("campaign_id",)),
-    _rng("stores", "selling_sq_ft", 1, None, ("store_id",)),
-    # Regex predicate (two upper-case letters)
-    _row("ck_regions_country", "regions", lambda: C("country_code").rlike("^[A-Z]{2}$"), ("region_id",)),
-    _row("ck_stores_dates", "stores", lambda: C("close_date").isNull() | (C("close_date") >= C("open_date")),
-         ("store_id",)),
-    _row("ck_stores_active_close", "stores", lambda: (C("is_active") == False) | C("close_date").isNull(),  # noqa
-         ("store_id",)),
-    _row("ck_products_margin", "products", lambda: C("current_unit_cost") <= C("current_list_price") * 1.05,
-         ("product_id",)),
-    _row("ck_orders_discount_le_gross", "orders", lambda: C("discount_amount") <= C("gross_amount"), ("order_id",)),
-    _row("ck_orders_ts_date", "orders", lambda: F.to_date("order_timestamp") == C("order_date"), ("order_id",)),
-    _row("ck_order_items_net", "order_items", lambda: C("line_net_amount") <= C("line_gross_amount"),
-         ("order_item_id",)),
-    _row("ck_order_items_discount_le_gross", "order_items", lambda: C("discount_amount") <= C("line_gross_amount"),
-         ("order_item_id",)),
-    _row("ck_shipments_dates", "shipments",
-         lambda: C("delivery_date").isNull() | C("ship_date").isNull() | (C("delivery_date") >= C("ship_date")),
-         ("shipment_id",)),
-    _row("ck_inventory_reserved_le_onhand", "inventory", lambda: C("quantity_reserved") <= C("quantity_on_hand"),
-         ("inventory_id",)),
-    _row("ck_inventory_available_calc", "inventory",
-         lambda: C("quantity_available") == C("quantity_on_hand") - C("quantity_reserved"), ("inventory_id",)),
-    _row("ck_inventory_location_xor", "inventory",
-         lambda: ((C("location_type") == "STORE") & C("store_id").isNotNull() & C("dc_id").isNull())
-         | ((C("location_type") == "DC") & C("dc_id").isNotNull() & C("store_id").isNull()), ("inventory_id",)),
-    _row("ck_inventory_max", "inventory",
-         lambda: C("max_stock").isNull() | C("reorder_point").isNull() | (C("max_stock") >= C("reorder_point")),
-         ("inventory_id",)),
-    _row("ck_calendar_holiday", "calendar_date",
-         lambda: (C("is_holiday") & C("holiday_name").isNotNull()) | (~C("is_holiday") & C("holiday_name").isNull()),
-         ("date_id",)),
-    _row("ck_campaigns_dates", "marketing_campaigns", lambda: C("end_date") >= C("start_date"), ("campaign_id",)),
-    _row("ck_po_dates", "purchase_orders",
-         lambda: C("expected_receipt_date").isNull() | (C("expected_receipt_date") >= C("order_date")),
-         ("purchase_order_id",)),
-    _row("ck_labor_hours", "store_labor_hours",
-         lambda: (C("labor_hours") >= 0) & (C("labor_hours") <= F.when(C("employee_id").isNull(), 500).otherwise(24)),
-         ("labor_hours_id",)),
-]

@@ -32,7 +32,8 @@ def dim_product_base(cat: Catalog) -> DataFrame:  # V02
     return (p.join(c, "category_id").join(s, "primary_supplier_id", "left")
             .select("product_id", "sku", "product_name", "brand_name", "category_id", "category_code",
                     "category_name", "category_level", "parent_category_id", "primary_supplier_id",
-                    "supplier_code", "supplier_name", "current_list_price", "current_unit_cost", "is_active"))
+                    "supplier_code", "supplier_name", "current_list_price", "current_unit_cost", "popularity_score", "is_active",
+                    "launch_date", "discontinue_date"))
 
 
 def dim_customer_base(cat: Catalog) -> DataFrame:  # V03

@@ -198,6 +198,7 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
     def products():
         k = F.col("p_partkey")
         price = F.col("p_retailprice").cast(MONEY)
+        launched = F.date_add(_date("1994-01-01"), (k % 365).cast("int"))
         return (raw("part").join(F.broadcast(l1()), F.col("p_type") == F.col("l1_code"))
                 .select(k.alias("product_id"),
                         F.concat(F.lit("SKU-"), _pad(k, 8)).alias("sku"),
@@ -208,7 +209,9 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
                         F.lit("EA").alias("unit_of_measure"),
                         price.alias("current_list_price"),
                         F.round(price * _rate(50 + k % 20), 2).cast(MONEY).alias("current_unit_cost"),
+                        (F.lit(1).cast("decimal(12,8)") + (k % 100).cast("decimal(12,8)") / 100).cast("decimal(12,8)").alias("popularity_score"),
                         (k % 12 != 0).alias("is_active"),
+                        launched.alias("launch_date"), F.when(k % 12 == 0, F.date_add(launched, 2000)).alias("discontinue_date"),
                         F.lit(PRODUCTS_UPDATED_AT).cast("timestamp_ntz").alias("updated_at")))
 
     def suppliers():

@@ -113,7 +113,10 @@ oltp_products AS (
          CAST(round(CAST(p_retailprice AS DECIMAL(18,2))
                     * CAST('0.' || CAST(50 + p_partkey % 20 AS VARCHAR) AS DECIMAL(4,2)), 2) AS DECIMAL(18,2))
            AS current_unit_cost,
-         p_partkey % 12 <> 0 AS is_active, TIMESTAMP '2001-06-01 00:00:00' AS updated_at
+         CAST(1 + (p_partkey % 100) * 0.01 AS DECIMAL(12,8)) AS popularity_score, p_partkey % 12 <> 0 AS is_active,
+         DATE '1994-01-01' + CAST(p_partkey % 365 AS INTEGER) AS launch_date,
+         CASE WHEN p_partkey % 12 = 0 THEN DATE '1994-01-01' + CAST(p_partkey % 365 + 2000 AS INTEGER) END AS discontinue_date,
+         TIMESTAMP '2001-06-01 00:00:00' AS updated_at
   FROM part JOIN cat_l1 ON p_type = l1_code),
 oltp_suppliers AS (
   SELECT CAST(s_suppkey AS INTEGER) AS supplier_id, 'SUP' || lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(length(CAST(s_suppkey AS VARCHAR)), 5) AS INTEGER), '0') AS supplier_code,

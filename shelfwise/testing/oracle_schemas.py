@@ -1,10 +1,10 @@
 """Output column types per query (the output convention of ``registry.present``)."""
 
 SCHEMAS = {
-    'c1_c2_keys': [("rule", "VARCHAR"), ("table", "VARCHAR"), ("kind", "VARCHAR"), ("violations", "BIGINT")],
-    'c3_foreign_keys': [("rule", "VARCHAR"), ("table", "VARCHAR"), ("kind", "VARCHAR"), ("violations", "BIGINT")],
-    'c4_c5_domains_ranges': [("rule", "VARCHAR"), ("table", "VARCHAR"), ("kind", "VARCHAR"), ("violations", "BIGINT")],
-    'c6_c7_row_checks': [("rule", "VARCHAR"), ("table", "VARCHAR"), ("kind", "VARCHAR"), ("violations", "BIGINT")],
+    'c1_c2_keys': [("rule", "VARCHAR"), ("table", "VARCHAR"), ("kind", "VARCHAR"), ("status", "VARCHAR"), ("violations", "BIGINT")],
+    'c3_foreign_keys': [("rule", "VARCHAR"), ("table", "VARCHAR"), ("kind", "VARCHAR"), ("status", "VARCHAR"), ("violations", "BIGINT")],
+    'c4_c5_domains_ranges': [("rule", "VARCHAR"), ("table", "VARCHAR"), ("kind", "VARCHAR"), ("status", "VARCHAR"), ("violations", "BIGINT")],
+    'c6_c7_row_checks': [("rule", "VARCHAR"), ("table", "VARCHAR"), ("kind", "VARCHAR"), ("status", "VARCHAR"), ("violations", "BIGINT")],
     'fn1_monthly_revenue': [("year_number", "BIGINT"), ("month_number", "BIGINT"), ("month_start", "DATE"), ("net_sales", "DOUBLE"), ("gross_profit", "DOUBLE"), ("order_count", "BIGINT"), ("yoy_net_sales", "DOUBLE"), ("yoy_growth_pct", "DOUBLE")],
     'fn1_monthly_revenue_sql': [("year_number", "BIGINT"), ("month_number", "BIGINT"), ("month_start", "DATE"), ("net_sales", "DOUBLE"), ("gross_profit", "DOUBLE"), ("order_count", "BIGINT"), ("yoy_net_sales", "DOUBLE"), ("yoy_growth_pct", "DOUBLE")],
     'fn2_store_performance': [("store_id", "BIGINT"), ("store_code", "VARCHAR"), ("store_name", "VARCHAR"), ("region_name", "VARCHAR"), ("net_sales", "DOUBLE"), ("gross_profit", "DOUBLE"), ("margin_pct", "DOUBLE"), ("order_count", "BIGINT"), ("aov", "DOUBLE"), ("units_sold", "BIGINT"), ("sales_rank", "BIGINT"), ("sales_per_sqft", "DOUBLE")],
@@ -127,7 +127,7 @@ SCHEMAS = {
     'q55': [("month_start", "DATE"), ("sss_net_sales", "DOUBLE"), ("sss_yoy_growth_pct", "DOUBLE")],
     'q56': [("month_start", "DATE"), ("channel_group", "VARCHAR"), ("net_sales", "DOUBLE"), ("mix_pct", "DOUBLE"), ("mix_pct_ma3", "DOUBLE")],
     'v01': [("store_id", "BIGINT"), ("store_code", "VARCHAR"), ("store_name", "VARCHAR"), ("store_format", "VARCHAR"), ("region_id", "BIGINT"), ("region_code", "VARCHAR"), ("region_name", "VARCHAR"), ("city", "VARCHAR"), ("state_code", "VARCHAR"), ("selling_sq_ft", "BIGINT"), ("open_date", "DATE"), ("close_date", "DATE"), ("is_active", "BOOLEAN")],
-    'v02': [("product_id", "BIGINT"), ("sku", "VARCHAR"), ("product_name", "VARCHAR"), ("brand_name", "VARCHAR"), ("category_id", "BIGINT"), ("category_code", "VARCHAR"), ("category_name", "VARCHAR"), ("category_level", "BIGINT"), ("parent_category_id", "BIGINT"), ("primary_supplier_id", "BIGINT"), ("supplier_code", "VARCHAR"), ("supplier_name", "VARCHAR"), ("current_list_price", "DOUBLE"), ("current_unit_cost", "DOUBLE"), ("is_active", "BOOLEAN")],
+    'v02': [("product_id", "BIGINT"), ("sku", "VARCHAR"), ("product_name", "VARCHAR"), ("brand_name", "VARCHAR"), ("category_id", "BIGINT"), ("category_code", "VARCHAR"), ("category_name", "VARCHAR"), ("category_level", "BIGINT"), ("parent_category_id", "BIGINT"), ("primary_supplier_id", "BIGINT"), ("supplier_code", "VARCHAR"), ("supplier_name", "VARCHAR"), ("current_list_price", "DOUBLE"), ("current_unit_cost", "DOUBLE"), ("popularity_score", "DOUBLE"), ("is_active", "BOOLEAN"), ("launch_date", "DATE"), ("discontinue_date", "DATE")],
     'v03': [("customer_id", "BIGINT"), ("customer_number", "VARCHAR"), ("customer_type", "VARCHAR"), ("registration_date", "DATE"), ("acquisition_channel_id", "BIGINT"), ("acquisition_channel_name", "VARCHAR"), ("preferred_store_id", "BIGINT"), ("is_active", "BOOLEAN"), ("loyalty_account_id", "BIGINT"), ("loyalty_number", "VARCHAR"), ("loyalty_tier", "VARCHAR"), ("points_balance", "BIGINT"), ("loyalty_status", "VARCHAR")],
     'v04': [("order_id", "BIGINT"), ("order_number", "VARCHAR"), ("customer_id", "BIGINT"), ("store_id", "BIGINT"), ("channel_id", "BIGINT"), ("channel_code", "VARCHAR"), ("channel_name", "VARCHAR"), ("order_date", "DATE"), ("order_timestamp", "TIMESTAMP"), ("order_status", "VARCHAR"), ("gross_amount", "DOUBLE"), ("discount_amount", "DOUBLE"), ("net_amount", "DOUBLE"), ("tax_amount", "DOUBLE"), ("shipping_amount", "DOUBLE"), ("total_amount", "DOUBLE"), ("employee_id", "BIGINT"), ("campaign_id", "BIGINT"), ("year_number", "BIGINT"), ("month_number", "BIGINT"), ("quarter_number", "BIGINT"), ("season_name", "VARCHAR")],
     'v05': [("order_item_id", "BIGINT"), ("order_id", "BIGINT"), ("order_number", "VARCHAR"), ("order_date", "DATE"), ("customer_id", "BIGINT"), ("store_id", "BIGINT"), ("channel_id", "BIGINT"), ("campaign_id", "BIGINT"), ("line_number", "BIGINT"), ("product_id", "BIGINT"), ("quantity", "BIGINT"), ("unit_price", "DOUBLE"), ("unit_cost", "DOUBLE"), ("discount_amount", "DOUBLE"), ("line_gross_amount", "DOUBLE"), ("line_net_amount", "DOUBLE"), ("line_cogs_amount", "DOUBLE"), ("line_gross_profit", "DOUBLE"), ("promotion_id", "BIGINT"), ("is_gift", "BOOLEAN")],

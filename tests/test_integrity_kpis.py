@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from fixtures import D, make_catalog
@@ -29,6 +30,46 @@ def test_integrity_finds_each_kind(spark):
     assert "pk_stores_unique" not in v
 
 
+def test_rules_read_each_table_once(spark):
+    """Row rules of a table are one aggregate: no scan a rule."""
+    cat = Catalog.from_tpch(spark, SF_SMALL)
+    plan = IC.check_summary(cat, kinds=("not_null", "domain", "range", "row"))._jdf.queryExecution().optimizedPlan().toString()
+    made_of_lines = ["order_items", "returns", "return_items", "inventory", "inventory_snapshots", "purchase_orders", "purchase_order_items",
+                     "goods_receipts", "goods_receipt_items"]
+    assert plan.count("Relation [l_orderkey") == len(made_of_lines)
+
+
+def test_summary_tells_what_it_could_not_check(spark):
+    cat = make_catalog(spark, {
+        "orders": [{"order_id": 1, "order_number": "a", "customer_id": 1, "channel_id": 5, "gross_amount": D("-1"), "order_status": "Lost"},
+                   {"order_id": 1, "order_number": "a", "customer_id": 1, "channel_id": None, "discount_amount": D("2"), "gross_amount": D("1")}],
+        "channels": [{"channel_id": 6}]})
+    got = {r.rule: (r.status, r.violations) for r in IC.check_summary(cat).collect()}
+    assert len(got) == len(IC.RULES)
+    assert got["pk_orders_unique"] == ("checked", 1) and got["uq_orders_number"] == ("checked", 1)
+    assert got["nn_orders_channel_id"] == ("checked", 1) and got["nn_orders_customer_id"] == ("checked", 0)
+    assert got["fk_orders_channel_id"] == ("checked", 1) and got["fk_orders_customer_id"] == ("not_checked", None)
+    assert got["ck_orders_order_status"] == ("checked", 1) and got["ck_orders_gross_amount_range"] == ("checked", 1)
+    assert got["ck_orders_discount_le_gross"] == ("checked", 1) and got["pk_stores_unique"] == ("not_checked", None)
+    told = {(r.rule, r.key) for r in IC.check(cat).collect()}
+    assert {("pk_orders_unique", "1"), ("fk_orders_channel_id", "5"), ("ck_orders_discount_le_gross", "1")} <= told
+
+
+def test_keys_of_several_columns_are_told_apart(spark):
+    rows = [{"order_item_promotion_id": i, "order_item_id": a, "promotion_id": b} for i, (a, b) in enumerate([(1, 23), (12, 3), (1, 23), (None, 3), (None, 3)])]
+    cat = make_catalog(spark, {"order_item_promotions": rows})
+    got = {r.rule: r.violations for r in IC.check_summary(cat, kinds=("unique",)).collect()}
+    assert got["uq_order_item_promotions"] == 1
+
+
+def test_every_reference_is_loaded_parent_first():
+    order = IC.load_order()
+    assert len(order) == len(set(order)) == 35 and len(IC.EDGES) == 68
+    assert all(order.index(parent) < order.index(child) for child, parent in IC.EDGES if child != parent)
+    with pytest.raises(ValueError, match="a, b"):
+        IC.load_order([("a", "b"), ("b", "a"), ("orders", "customers")])
+
+
 def test_load_order_parents_first():
     order = IC.load_order()
     assert order.index("regions") < order.index("stores") < order.index("orders") < order.index("order_items")
