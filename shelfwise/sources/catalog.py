@@ -9,7 +9,6 @@ Spark can reuse exchanges inside one query.
 from __future__ import annotations
 
 import datetime as dt
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,12 +92,17 @@ class Catalog:
     # -- constructors -------------------------------------------------
     @classmethod
     def from_parquet_dir(cls, spark: SparkSession, path: str, as_of=None) -> "Catalog":
-        """A catalog over ``<path>/<table>`` Parquet folders or files."""
-        builders = {}
+        """A catalog over the Parquet tables of a folder on any file system: ``<table>`` (its published
+        version, where ``load_all`` made it) or ``<table>.parquet``."""
+        from shelfwise.sources import storage
+        found, builders = set(storage.names(spark, path)), {}
+        if not found:
+            raise FileNotFoundError(f"no tables in {path}")
         for name in TABLE_ORDER:
-            for cand in (os.path.join(path, name), os.path.join(path, name + ".parquet")):
-                if os.path.exists(cand):
-                    builders[name] = (lambda p=cand: spark.read.parquet(p))
+            for cand in (name, name + ".parquet"):
+                if cand in found:
+                    home = storage.join(path, cand)
+                    builders[name] = (lambda p=storage.current(spark, home) or home: spark.read.parquet(p))
                     break
         return cls(spark, builders, as_of)
 
@@ -106,8 +110,9 @@ class Catalog:
     def from_tpch(cls, spark: SparkSession, sf_dir: str, as_of=None, fresh: bool = False) -> "Catalog":
         """The TPC-H-bound catalog; one per (session, folder, as_of) so the
         logical plans of tables and marts are built once per session."""
+        from shelfwise.sources import storage
         from shelfwise.sources.tpch_binding import tpch_builders
-        key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir, storage.listing(spark, sf_dir))  # other files: another binding
         if fresh or key not in _SESSION_BINDINGS:
             _SESSION_BINDINGS[key] = (tpch_builders(spark, sf_dir), {})
         # source bindings are shared per session; marts and queries are
