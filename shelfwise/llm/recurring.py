@@ -105,6 +105,12 @@ def slices(raw: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, int]]
         yield at, len(raw)
 
 
+def stretch(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The items of stretches, one after another."""
+    ends = np.cumsum(size)
+    return data[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def row_of(schema: pa.Schema, *values) -> pa.RecordBatch:
     """One row; arrays become binary values."""
     return pa.RecordBatch.from_arrays([pa.array([v.tobytes() if isinstance(v, np.ndarray) else v], t) for v, t in zip(values, schema.types)], schema=schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from shelfwise.llm.recurring import (CUTS_SQL, HOT, LATER, OPEN, Sums, bodies, buckets_for, by_document, chosen, high, replies, row_of, runs, slices,
-                                     spans)
+                                     spans, stretch)
 
 _VALUES = np.random.default_rng(50).integers(1, 1 << 63, 256).astype(np.uint64)
 _FORMS = pa.schema([("shard", pa.int32()), ("known", pa.bool_()), *((c, pa.binary()) for c in ("at", "first", "n", "bytes", "ids", "keys"))])
@@ -46,12 +46,6 @@ def byte_items(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _VALUES[np.frombuffer(b"".join(raw), np.uint8)], np.fromiter(map(len, raw), np.int64, len(raw))
 
 
-def _stretch(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The bytes of stretches, one after another."""
-    ends = np.cumsum(size)
-    return data[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-
-
 def _phrases(size: int, gram: int, shards: int):
     """Phrases that need the suffix order, by shard; covered ones as they are (known)."""
     def run(batches):
@@ -78,7 +72,7 @@ def _phrases(size: int, gram: int, shards: int):
                 order = np.argsort(to, kind="stable")
                 for part in np.split(open_[order], np.flatnonzero(np.diff(to[order])) + 1) if len(to) else ():
                     s = int(high(trigger[part[:1]])[0] % shards)
-                    yield sent(s, False, doc[part], first[part], n[part], _stretch(data, begin[doc[part]] + first[part], n[part] + size - 1))
+                    yield sent(s, False, doc[part], first[part], n[part], stretch(data, begin[doc[part]] + first[part], n[part] + size - 1))
                 if len(hot):  # one string each, equal ones of this slice settled
                     d = np.repeat(doc[hot], n[hot])
                     at = np.repeat(first[hot] - (np.cumsum(n[hot]) - n[hot]), n[hot]) + np.arange(n[hot].sum())
@@ -92,7 +86,7 @@ def _phrases(size: int, gram: int, shards: int):
                         yield sent(int(to[known][0]), True, d[known], at[known], np.ones(known.sum()), data[:0])
                     for s in np.unique(to[~known]).tolist():
                         part = ~known & (to == s)
-                        yield sent(s, False, d[part], at[part], np.ones(part.sum()), _stretch(data, begin[d[part]] + at[part], np.full(part.sum(), size)))
+                        yield sent(s, False, d[part], at[part], np.ones(part.sum()), stretch(data, begin[d[part]] + at[part], np.full(part.sum(), size)))
     return run
 
 
