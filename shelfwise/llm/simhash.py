@@ -94,12 +94,12 @@ def one_of_each(docs: DataFrame, bits: int = 2) -> DataFrame:
     Rows that share a doc_id are told apart by their texts; of rows equal in both one stays.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    keyed = docs.withColumn("simhash_key", F.xxhash64("text"))
-    rows = keyed.select("doc_id", "simhash_key", _fingerprints("text").alias("fp")).checkpoint()
+    row = ["simhash_text", "simhash_id", "simhash_none"]  # plain columns, so that the join and the distinct share one shuffle of the texts
+    keyed = docs.withColumns({row[0]: F.xxhash64("text"), row[1]: F.coalesce("doc_id", F.lit(0)), row[2]: F.col("doc_id").isNull()})
+    rows = keyed.select("doc_id", *row, _fingerprints("text").alias("fp")).checkpoint()
     first = rows.join(_labels(rows, bits), "fp").where(F.col("doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("fp") == F.col("c.fp")))
-    first = first.groupBy("doc_id", "fp").agg(F.min("simhash_key").alias("k")).select(F.col("doc_id").alias("d"), "k")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("simhash_key") == F.col("k"))
-    return keyed.join(first, same, "left_semi").dropDuplicates(["doc_id", "simhash_key"]).select(docs.columns)
+    first = first.groupBy(row[1], row[2], "fp").agg(F.min(row[0]).alias(row[0])).select(row)
+    return keyed.join(first, row, "left_semi").dropDuplicates(row).select(docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
