@@ -84,7 +84,7 @@ def all_of(conds) -> Column:
 def iso_week_key(d) -> Column:
     """``2025-W01`` ISO week bucket."""
     d = col(d)
-    return F.concat(F.expr("extract(YEAROFWEEK FROM {})".format(d._jc.toString())).cast("string"),
+    return F.concat(F.extract(F.lit("YEAROFWEEK"), d).cast("string"),
                     F.lit("-W"), F.lpad(F.weekofyear(d).cast("string"), 2, "0"))
 
 

@@ -5,6 +5,9 @@ end - (days - 1)``, and the prior window has the same length and ends the day
 before ``period_start``. Both windows are read in one pass: rows are labelled
 by date and summed with conditional aggregates (D3: the prior window is
 always fetched, whatever the filters).
+
+The latest date is a scalar subquery of the plan that uses it: building a plan starts
+no job, and a plan that is kept follows its data.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ from shelfwise.functions.expr import col
 
 @dataclass(frozen=True)
 class Period:
-    start: dt.date
-    end: dt.date
-    prior_start: dt.date
-    prior_end: dt.date
+    """Bounds as dates or as columns without rows of their own (literals, scalar subqueries)."""
+
+    start: dt.date | Column
+    end: dt.date | Column
+    prior_start: dt.date | Column
+    prior_end: dt.date | Column
 
     def current(self, date_col) -> Column:
         return col(date_col).between(F.lit(self.start), F.lit(self.end))
@@ -41,15 +46,16 @@ def make_period(end: dt.date, start: dt.date | None = None, days: int = 30) -> P
     return Period(start, end, prior_end - (end - start), prior_end)
 
 
-def resolve_period(df: DataFrame, date_col: str, date_from=None, date_to=None, days: int = 30) -> Period | None:
-    """Resolve the window; the default end is the latest date present (one
-    scalar aggregate, so the date bounds become literals in later plans)."""
-    end = date_to
-    if end is None:
-        end = df.agg(F.max(date_col)).first()[0]
-        if end is None:
-            return None
-    return make_period(end, date_from, days)
+def resolve_period(df: DataFrame, date_col: str, date_from=None, date_to=None, days: int = 30, default: dt.date | None = None) -> Period:
+    """The window; its end is ``date_to``, or else the latest date of ``df``, or else ``default``."""
+    if date_to is not None:
+        return make_period(date_to, date_from, days)
+    end = df.agg(F.max(date_col).alias("latest")).scalar()
+    if default is not None:
+        end = F.coalesce(end, F.lit(default))
+    start = F.lit(date_from) if date_from is not None else F.date_sub(end, days - 1)
+    prior_end = F.date_sub(start, 1)
+    return Period(start, end, F.date_sub(prior_end, F.datediff(end, start)), prior_end)
 
 
 def sum_when(cond: Column, value) -> Column:

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.expr import month_start, months_between_starts, ratio, xavg, xdiv
@@ -424,6 +424,15 @@ def q34(cat):
 
 
 # ---------------------------------------------------------------- operations
+def _turnover(cogs: str, value: str, positions: str) -> Column:
+    """cogs / (value / positions), rounded to cents. cogs * positions leaves DECIMAL's 38 digits at size, so the
+    whole and the fractional part of cogs / value are multiplied apart: both products keep their digits."""
+    c, v, n = F.col(cogs), F.col(value), F.col(positions)
+    whole = F.floor(xdiv(c, v)).cast("decimal(20,0)")
+    rest = c - whole * v  # less than the value
+    return F.when(v == 0, F.lit(None)).otherwise(F.round((whole * n).cast("decimal(38,8)") + xdiv(rest * n.cast("decimal(12,0)"), v), 2))
+
+
 def q35(cat):
     since = F.date_sub(F.lit(cat.as_of), 365)
     o = cat.orders.where(F.col("order_date") >= since).select("order_id")  # all statuses (D10)
@@ -434,7 +443,7 @@ def q35(cat):
     j = one_row_join(cogs, inv)
     return j.select(_r2("cogs").alias("cogs_trailing_year"),
                     ratio("inv_sum", "inv_n", 2).alias("avg_inventory_value_proxy"),
-                    ratio(F.col("cogs") * F.col("inv_n"), "inv_sum", 2).alias("inventory_turnover_proxy"))
+                    _turnover("cogs", "inv_sum", "inv_n").alias("inventory_turnover_proxy"))
 
 
 def q36(cat, limit: int | None = None):
@@ -660,23 +669,21 @@ def q53(cat):
 
 
 def q54(cat):
-    """Category tree walk (recursive CTE) as level-by-level self joins, to any depth.
+    """Category tree walk as one recursive query, to any depth.
 
-    A row has one parent, so no cycle can be reached from a root and the walk ends.
+    A row has one parent, so no cycle can be reached from a root and the walk ends; Spark's own bound on
+    recursion levels and rows raises an error where it is hit, it never cuts the result.
     """
-    c = cat.product_categories.select("category_id", "category_code", "category_name", "parent_category_id",
-                                      "category_level")
-    level = c.where(F.col("parent_category_id").isNull()).withColumn("path", F.col("category_code"))
-    out = level
-    while True:
-        parents = level.select(F.col("category_id").alias("_pid"), F.col("path").alias("_ppath"))
-        level = (c.join(parents, c.parent_category_id == parents._pid)
-                 .select("category_id", "category_code", "category_name", "parent_category_id", "category_level",
-                         F.concat(F.col("_ppath"), F.lit(" > "), F.col("category_code")).alias("path")))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.orderBy("path")
+    cat.product_categories.createOrReplaceTempView("shelfwise_category_tree")
+    return cat.spark.sql("""
+        WITH RECURSIVE tree AS (
+          SELECT category_id, category_code, category_name, parent_category_id, category_level, category_code AS path
+          FROM shelfwise_category_tree WHERE parent_category_id IS NULL
+          UNION ALL
+          SELECT k.category_id, k.category_code, k.category_name, k.parent_category_id, k.category_level,
+                 concat(t.path, ' > ', k.category_code)
+          FROM shelfwise_category_tree k JOIN tree t ON k.parent_category_id = t.category_id)
+        SELECT * FROM tree ORDER BY path""")
 
 
 def q55(cat):

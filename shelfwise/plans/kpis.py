@@ -271,22 +271,20 @@ def k05_opportunities(cat: Catalog, limit: int | None = None) -> DataFrame:
 def k06_sales_overview(cat: Catalog, date_from=None, date_to=None, region=None, category=None,
                        search=None) -> DataFrame:
     if category:  # D19: a real category filter needs line grain
-        lines = M.fact_sales_line(cat).join(M.product_category_map(cat).select("product_id", "category_name"),
-                                            "product_id", "left")
+        lines = M.fact_sales_line(cat).join(M.product_category_map(cat).select("product_id", "category_name"), "product_id", "left")
         lines = lines.where(_isin_ci("category_name", category))
-        if region or search:
-            st = M.sales_daily(cat).select("order_date", "store_id", "channel_id", "store_code", "store_name",
-                                          "region_name", "channel_name").distinct()
-            keep = _sales_summary_filter(st, region, search).select("order_date", "store_id", "channel_id")
-            lines = lines.join(keep, ["order_date", "store_id", "channel_id"], "left_semi")
+        if region or search:  # by the same columns as the daily sales; online orders have no store
+            st = cat.stores.select("store_id", "store_code", "store_name", "region_id")
+            rg = cat.regions.select("region_id", "region_name")
+            ch = cat.channels.select("channel_id", "channel_name")
+            lines = lines.join(st, "store_id", "left").join(rg, "region_id", "left").join(ch, "channel_id")
+            lines = _sales_summary_filter(lines, region, search)
         base = lines.groupBy("order_date", "order_id").agg(
             F.sum("line_net_amount").alias("net_sales"), F.sum("line_gross_profit").alias("gross_profit")) \
             .withColumn("order_count", F.lit(1))
     else:
         base = _sales_summary(cat, region, search)
-    p = resolve_period(base, "order_date", date_from, date_to)
-    if p is None:
-        p = make_period(date_to or cat.as_of, date_from)
+    p = resolve_period(base, "order_date", date_from, date_to, default=cat.as_of)
     cur, pri = p.current("order_date"), p.prior("order_date")
     agg = base.agg(F.sum(F.when(cur, F.col("net_sales"))).alias("rev"),
                    F.sum(F.when(cur, F.col("gross_profit"))).alias("gp"),
@@ -312,7 +310,7 @@ def _sales_summary_filter(df, region, search):
     return _search(df, search, ["store_code", "store_name", "region_name", "channel_name"])
 
 
-def k07_sales_trends(cat: Catalog, grain: str = "weekly", date_from=None, date_to=None, region=None,
+def k07_sales_trends(cat: Catalog, grain: str = "daily", date_from=None, date_to=None, region=None,
                      search=None) -> DataFrame:
     df = _sales_summary(cat, region, search)
     if date_from:
@@ -333,8 +331,7 @@ def _lines_with_category(cat) -> DataFrame:
 
 
 def _line_period(cat, lines, date_from, date_to) -> Period:
-    p = resolve_period(lines, "order_date", date_from, date_to)
-    return p or make_period(date_to or cat.as_of, date_from)
+    return resolve_period(lines, "order_date", date_from, date_to, default=cat.as_of)
 
 
 def _region_filter_lines(cat, lines, region):
@@ -374,13 +371,16 @@ PRODUCT_SORTS = {"revenue": "revenue", "orders": "orders", "units": "units", "ma
 def k09_product_performance(cat: Catalog, page: int = 1, page_size: int = 20, sort_by: str = "revenue",
                             sort_dir: str = "desc", search=None, columns=None, date_from=None, date_to=None,
                             category=None) -> DataFrame:
-    lines = _lines_with_category(cat)
-    if category:
-        lines = lines.where(_isin_ci("category_name", category))
-    if search:
-        s = search.lower()
-        lines = lines.where(F.lower(F.coalesce("product_name", F.col("product_id").cast("string"))).contains(s)
-                            | F.lower(F.coalesce("sku", F.lit(""))).contains(s))
+    lines = M.fact_sales_line(cat).select("order_id", "order_date", "product_id", "quantity", "line_net_amount", "line_gross_profit")
+    if category or search:  # products are chosen first; their names come after the aggregation
+        chosen = M.product_category_map(cat)
+        if category:
+            chosen = chosen.where(_isin_ci("category_name", category))
+        if search:
+            s = search.lower()
+            chosen = chosen.where(F.lower(F.coalesce("product_name", F.col("product_id").cast("string"))).contains(s)
+                                  | F.lower(F.coalesce("sku", F.lit(""))).contains(s))
+        lines = lines.join(chosen.select("product_id"), "product_id", "left_semi")
     p = _line_period(cat, lines, date_from, date_to)
     cur, pri = p.current("order_date"), p.prior("order_date")
     per_order = lines.where(p.either("order_date")).groupBy("product_id", "order_id").agg(
@@ -415,10 +415,7 @@ def k09_product_performance(cat: Catalog, page: int = 1, page_size: int = 20, so
 
 def k10_regional_performance(cat: Catalog, date_from=None, date_to=None, region=None, search=None) -> DataFrame:
     df = _sales_summary(cat, region, search)
-    p = resolve_period(df, "order_date", date_from, date_to)
-    if p is None:
-        p = make_period(date_to or cat.as_of, date_from)
-    return _regional(df, p, with_profit=False)
+    return _regional(df, resolve_period(df, "order_date", date_from, date_to, default=cat.as_of), with_profit=False)
 
 
 def k11_top_customers(cat: Catalog, limit: int = 10, search=None) -> DataFrame:
@@ -575,27 +572,41 @@ LEVELS = ("High", "Medium", "Low")
 
 
 def k17_churn_risk(cat: Catalog, search=None, segment=None) -> DataFrame:
+    """Customers by risk level from the predictions; where none of them matches, from the customers' lifecycle.
+
+    The choice is part of the plan: each side is kept or dropped by the number of predictions that match.
+    """
     pred = ml_predictions(cat).where(F.col("entity_type") == "customer")  # D6
     pred = _search(pred, search, ["model_name", "label", "entity_id"])
     model, label = F.lower("model_name"), F.lower("label")
     is_churn = model.contains("churn") | label.contains("churn") | model.contains("risk")
     pred = pred.where(is_churn | (F.col("score") >= 0.3))
+    matched = pred.agg(F.count(F.lit(1)).alias("matched"))  # before the segment, which then may leave none
     if segment:
         seg = M.customer_rfm(cat).where(_isin_ci("rfm_segment", segment)).select(
             F.col("customer_id").cast("string").alias("entity_id"))
         pred = pred.join(seg, "entity_id", "left_semi")
     ltv = M.customer_360(cat).select(F.col("customer_id").cast("string").alias("entity_id"), "lifetime_net_sales")
-    j = pred.join(ltv, "entity_id", "left")
-    impact = F.coalesce(F.col("estimated_impact"), F.col("lifetime_net_sales"))
-    g = j.groupBy(risk_level("score").alias("risk_level")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(impact, F.lit(0))).alias("rev"),
+    impact = F.coalesce(F.col("estimated_impact"), F.col("lifetime_net_sales"), F.lit(0))
+    z = F.lit(0)
+    by_score = pred.join(ltv, "entity_id", "left").groupBy(risk_level("score").alias("risk_level")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(impact).alias("rev"),
         F.round(xdiv(F.sum("confidence"), F.count("confidence")), R6).alias("confidence"))
-    levels = cat.spark.createDataFrame([(x,) for x in LEVELS], "risk_level string")
-    out = B(levels).join(g, "risk_level", "left")
-    n = F.coalesce("n", F.lit(0))
-    return out.select("risk_level", n.cast("double").alias("customer_count"),
-                      F.when(n > 0, _money(F.col("rev"))).alias("predicted_revenue_at_risk"), "confidence",
-                      F.col("confidence").isNotNull().alias("confidence_available"))
+    status = F.lower("lifecycle_status")
+    by_life = _customers(cat, None, segment, search).groupBy(
+        F.when(status == "churn risk", "High").when(status == "at risk", "Medium").otherwise("Low").alias("risk_level")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("lifetime_net_sales", z)).alias("rev"))
+    levels = cat.spark.range(1).select(F.explode(F.array(*map(F.lit, LEVELS))).alias("risk_level"))
+    scored = attach_scalars(levels.join(by_score, "risk_level", "left"), matched).where("matched > 0")
+    known = by_life.agg(F.coalesce(F.sum("n"), z).alias("customers"))  # no customer: no rows
+    lived = attach_scalars(attach_scalars(levels.join(by_life, "risk_level", "left"), matched), known).where("matched = 0 and customers > 0")
+    n = F.coalesce("n", z)
+    scored = scored.select("risk_level", n.cast("double").alias("customer_count"),
+                           F.when(n > 0, _money(F.col("rev"))).alias("predicted_revenue_at_risk"), "confidence")
+    lived = lived.select("risk_level", n.cast("double").alias("customer_count"),
+                         F.when(F.col("risk_level") != "Low", _money(F.coalesce("rev", z))).alias("predicted_revenue_at_risk"),
+                         F.lit(None).cast(scored.schema["confidence"].dataType).alias("confidence"))
+    return scored.unionByName(lived).withColumn("confidence_available", F.col("confidence").isNotNull())
 
 
 # ============================================================ operations
@@ -717,13 +728,14 @@ def k21_returns_by_category(cat: Catalog, date_from=None, date_to=None, category
         r = r.where(_isin_ci("category", category))
     if search:
         r = r.where(F.lower("category").contains(search.lower()))
-    p = resolve_period(r, "return_date", date_from, date_to) or make_period(date_to or cat.as_of, date_from)
+    p = resolve_period(r, "return_date", date_from, date_to, default=cat.as_of)
     cur, pri = p.current("return_date"), p.prior("return_date")
-    g = r.groupBy("category").agg(
-        F.sum(F.when(cur, F.col("quantity_returned"))).alias("cnt"),
-        F.sum(F.when(cur, F.col("refund_line_amount"))).alias("cost"),
-        F.sum(F.when(pri, F.col("quantity_returned"))).alias("prior_cnt"),
-        F.count(F.when(cur, 1)).alias("n")).where(F.col("n") > 0)
+    sums = {"cnt": F.when(cur, F.col("quantity_returned")), "cost": F.when(cur, F.col("refund_line_amount")),
+            "prior_cnt": F.when(pri, F.col("quantity_returned")), "n": F.when(cur, F.lit(1))}
+    lines = M.fact_return_line(cat) if not (category or search) else r
+    by_product = lines.groupBy("product_id").agg(*(F.sum(v).alias(k) for k, v in sums.items()))  # before the categories are joined
+    g = (by_product.join(pcm, "product_id", "left").groupBy(F.coalesce("category_name", F.lit("Uncategorized")).alias("category"))
+         .agg(*(F.sum(k).alias(k) for k in sums)).where(F.col("n") > 0))
     total = F.sum("cnt").over(Window.partitionBy())  # categories: bounded by the hierarchy
     return g.select("category", F.col("cnt").cast("double").alias("return_count"),
                     ratio(F.col("cnt"), total, R6).alias("return_pct"), _money(F.col("cost")).alias("return_cost"),
@@ -797,7 +809,7 @@ def _refunds_by_date(cat) -> DataFrame:
 
 def k24_finance_overview(cat: Catalog, date_from=None, date_to=None, region=None, search=None) -> DataFrame:
     s = _sales_summary(cat, region, search)
-    p = resolve_period(s, "order_date", date_from, date_to) or make_period(date_to or cat.as_of, date_from)
+    p = resolve_period(s, "order_date", date_from, date_to, default=cat.as_of)
     cur = p.current("order_date")
     sales = s.agg(F.sum(F.when(cur, F.col("net_sales"))).alias("rev"), F.sum(F.when(cur, F.col("gross_profit"))).alias("gp"),
                   F.sum(F.when(cur, F.col("cogs_amount"))).alias("cogs"),
@@ -825,7 +837,7 @@ def k25_profitability_by_region(cat: Catalog, date_from=None, date_to=None, regi
     s = _sales_summary(cat, region, None).withColumn("region", _region_name())
     if search:
         s = s.where(F.lower("region").contains(search.lower()))
-    p = resolve_period(s, "order_date", date_from, date_to) or make_period(date_to or cat.as_of, date_from)
+    p = resolve_period(s, "order_date", date_from, date_to, default=cat.as_of)
     cur, pri = p.current("order_date"), p.prior("order_date")
     g = s.groupBy("region").agg(
         F.sum(F.when(cur, F.col("net_sales"))).alias("revenue"), F.sum(F.when(cur, F.col("cogs_amount"))).alias("cost"),
@@ -844,7 +856,7 @@ COST_CATEGORIES = ("COGS", "Discounts", "Refunds")
 def k26_cost_breakdown(cat: Catalog, date_from=None, date_to=None, region=None, cost_category=None,
                        search=None) -> DataFrame:
     s = _sales_summary(cat, region, None)
-    p = resolve_period(s, "order_date", date_from, date_to) or make_period(date_to or cat.as_of, date_from)
+    p = resolve_period(s, "order_date", date_from, date_to, default=cat.as_of)
     cur, pri = p.current("order_date"), p.prior("order_date")
     sales = s.agg(F.sum(F.when(cur, F.col("cogs_amount"))).alias("c_cogs"),
                   F.sum(F.when(pri, F.col("cogs_amount"))).alias("p_cogs"),
@@ -942,6 +954,8 @@ def k28_financial_risks(cat: Catalog, region=None, department=None, search=None,
         F.lit(None).cast("decimal(38,2)").alias("estimated_impact"), _owner("enterprise_margin"),
         _advice("enterprise_margin"))
     u = reduce(DataFrame.unionByName, [low, contraction, rising, over, ent])
+    if search:  # of all that the searched figures give, the risks whose text holds it
+        u = u.where(F.lower("risk").contains(search.lower()))
     return top_n(u, [F.col("_grp"), F.col("_k"), F.col("_sub")], limit).drop("_grp", "_k", "_sub")
 
 

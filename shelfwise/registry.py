@@ -88,6 +88,10 @@ def build_registry() -> dict[str, Callable[[Catalog], DataFrame]]:
                                                                         sort_dir="asc")
     reg["k21_returns_by_category_filtered"] = lambda cat: kpis.k21_returns_by_category(cat, category=["SMALL", "medium"])
     reg["k17_churn_risk_champions"] = lambda cat: kpis.k17_churn_risk(cat, segment=["Champions"])
+    reg["k06_sales_overview_category_search"] = lambda cat: kpis.k06_sales_overview(cat, category=["SMALL", "large"], search="web")
+    reg["k07_sales_trends_weekly"] = lambda cat: kpis.k07_sales_trends(cat, grain="weekly")
+    reg["k17_churn_risk_lifecycle"] = lambda cat: kpis.k17_churn_risk(cat, search="gold")
+    reg["k28_financial_risks_search"] = lambda cat: kpis.k28_financial_risks(cat, search="cogs")
     reg["k22_warehouse_performance_search"] = lambda cat: kpis.k22_warehouse_performance(cat, search="NATION_1")
     reg.update(_sql_function_entries())
     reg.update(_viewquery_entries())

@@ -181,6 +181,9 @@ a AS (SELECT sum(net_sales) FILTER (WHERE {cur('order_date')}) AS rev,
       f"{growth('rev', 'prior_rev')} IS NOT NULL")])
 
 K["k07_sales_trends"] = """
+SELECT strftime(order_date, '%Y-%m-%d') AS period, sum(net_sales) AS revenue, sum(order_count) AS orders, sum(gross_profit) AS profit
+FROM vw_sales_daily GROUP BY ALL"""
+K["k07_sales_trends_weekly"] = """
 SELECT CAST(isoyear(order_date) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(order_date) AS VARCHAR), 2, '0') AS period,
        sum(net_sales) AS revenue, sum(order_count) AS orders, sum(gross_profit) AS profit
 FROM vw_sales_daily GROUP BY 1"""
@@ -598,6 +601,28 @@ K["k17_churn_risk_champions"] = K["k17_churn_risk"].replace(
     "WHERE ml.entity_type = 'customer'",
     "WHERE ml.entity_type = 'customer' AND ml.entity_id IN (SELECT CAST(customer_id AS VARCHAR) FROM vw_customer_rfm "
     "WHERE lower(rfm_segment) IN ('champions'))")
+# category, search and region at once: lines, with the columns that the daily sales are searched by
+K["k06_sales_overview_category_search"] = _with_base(K["k06_sales_overview"], "vw_sales_daily", "TRUE").replace(
+    "WITH base AS (SELECT * FROM vw_sales_daily WHERE TRUE)", """WITH base AS (
+  SELECT f.order_date, f.order_id, sum(f.line_net_amount) AS net_sales, sum(f.line_gross_profit) AS gross_profit, 1 AS order_count
+  FROM vw_fact_sales_line f JOIN vw_product_category_map m ON m.product_id = f.product_id
+  JOIN oltp_channels c ON c.channel_id = f.channel_id LEFT JOIN oltp_stores s ON s.store_id = f.store_id
+  LEFT JOIN oltp_regions r ON r.region_id = s.region_id
+  WHERE lower(m.category_name) IN ('small', 'large')
+    AND contains(lower(concat_ws(chr(1), s.store_code, s.store_name, r.region_name, c.channel_name)), 'web')
+  GROUP BY f.order_date, f.order_id)""")
+# no prediction holds the text, some customers do: risk by lifecycle
+K["k17_churn_risk_lifecycle"] = """
+WITH levels(risk_level) AS (VALUES ('High'), ('Medium'), ('Low')),
+c AS (SELECT coalesce(list_extract(['High', 'Medium'], list_position(['Churn Risk', 'At Risk'], lifecycle_status)), 'Low') AS risk_level,
+             coalesce(lifetime_net_sales, 0) AS sales
+      FROM vw_customer_360 WHERE contains(lower(concat_ws(chr(1), customer_number, customer_type, loyalty_tier, lifecycle_status)), 'gold'))
+SELECT l.risk_level, CAST(count(c.risk_level) AS DOUBLE) AS customer_count,
+       CASE WHEN l.risk_level <> 'Low' THEN coalesce(sum(sales), 0) END AS predicted_revenue_at_risk,
+       NULL AS confidence, FALSE AS confidence_available
+FROM levels l LEFT JOIN c ON c.risk_level = l.risk_level GROUP BY l.risk_level"""
+# the search goes through the figures as well as the texts: of one cost its rise is left
+K["k28_financial_risks_search"] = f"SELECT * FROM ({K['k28_financial_risks']}) WHERE contains(lower(risk), 'cogs')"
 K["k22_warehouse_performance_search"] = K["k22_warehouse_performance"].replace(
     "FROM vw_inventory_health GROUP BY 1",
     "FROM vw_inventory_health WHERE contains(lower(coalesce(dc_name, store_name, 'Unknown')), 'nation_1') GROUP BY 1"

@@ -20,8 +20,10 @@ SCHEMAS = {
     'k04_top_risks': [("id", "VARCHAR"), ("title", "VARCHAR"), ("description", "VARCHAR"), ("priority", "VARCHAR"), ("impact", "VARCHAR"), ("owner", "VARCHAR"), ("source", "VARCHAR"), ("rank", "BIGINT")],
     'k05_opportunities': [("id", "VARCHAR"), ("title", "VARCHAR"), ("description", "VARCHAR"), ("estimated_impact", "VARCHAR"), ("priority", "VARCHAR"), ("source", "VARCHAR")],
     'k06_sales_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("formatted_value", "VARCHAR"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
+    'k06_sales_overview_category_search': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("formatted_value", "VARCHAR"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
     'k06_sales_overview_filtered': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("formatted_value", "VARCHAR"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
     'k07_sales_trends': [("period", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "BIGINT"), ("profit", "DOUBLE")],
+    'k07_sales_trends_weekly': [("period", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "BIGINT"), ("profit", "DOUBLE")],
     'k07_sales_trends_monthly': [("period", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "BIGINT"), ("profit", "DOUBLE")],
     'k08_category_performance': [("category", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "DOUBLE"), ("growth", "DOUBLE"), ("margin", "DOUBLE")],
     'k08_category_performance_filtered': [("category", "VARCHAR"), ("revenue", "DOUBLE"), ("orders", "DOUBLE"), ("growth", "DOUBLE"), ("margin", "DOUBLE")],
@@ -38,6 +40,7 @@ SCHEMAS = {
     'k16_top_customers_detail': [("customer_id", "VARCHAR"), ("customer", "VARCHAR"), ("segment", "VARCHAR"), ("region", "VARCHAR"), ("lifetime_value", "DOUBLE"), ("orders", "DOUBLE"), ("average_order_value", "DOUBLE"), ("lifecycle_status", "VARCHAR"), ("last_order_date", "DATE"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
     'k16_top_customers_detail_orders_p3': [("customer_id", "VARCHAR"), ("customer", "VARCHAR"), ("segment", "VARCHAR"), ("region", "VARCHAR"), ("lifetime_value", "DOUBLE"), ("orders", "DOUBLE"), ("average_order_value", "DOUBLE"), ("lifecycle_status", "VARCHAR"), ("last_order_date", "DATE"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
     'k17_churn_risk': [("risk_level", "VARCHAR"), ("customer_count", "DOUBLE"), ("predicted_revenue_at_risk", "DOUBLE"), ("confidence", "DOUBLE"), ("confidence_available", "BOOLEAN")],
+    'k17_churn_risk_lifecycle': [("risk_level", "VARCHAR"), ("customer_count", "DOUBLE"), ("predicted_revenue_at_risk", "DOUBLE"), ("confidence", "DOUBLE"), ("confidence_available", "BOOLEAN")],
     'k17_churn_risk_champions': [("risk_level", "VARCHAR"), ("customer_count", "DOUBLE"), ("predicted_revenue_at_risk", "DOUBLE"), ("confidence", "DOUBLE"), ("confidence_available", "BOOLEAN")],
     'k18_operations_overview': [("metric_id", "VARCHAR"), ("label", "VARCHAR"), ("value", "DOUBLE"), ("formatted_value", "VARCHAR"), ("delta", "DOUBLE"), ("trend", "VARCHAR"), ("format", "VARCHAR"), ("available", "BOOLEAN")],
     'k19_inventory': [("product", "VARCHAR"), ("product_id", "VARCHAR"), ("sku", "VARCHAR"), ("category", "VARCHAR"), ("stock", "DOUBLE"), ("safety_stock", "DOUBLE"), ("turnover", "DOUBLE"), ("inventory_value", "DOUBLE"), ("stock_status", "VARCHAR"), ("total_items", "BIGINT"), ("total_pages", "BIGINT")],
@@ -53,6 +56,7 @@ SCHEMAS = {
     'k26_cost_breakdown': [("cost_category", "VARCHAR"), ("amount", "DOUBLE"), ("percentage", "DOUBLE"), ("trend", "VARCHAR")],
     'k27_cashflow': [("period", "VARCHAR"), ("inflows", "DOUBLE"), ("outflows", "DOUBLE"), ("net_cashflow", "DOUBLE"), ("profit", "DOUBLE"), ("margin", "DOUBLE")],
     'k28_financial_risks': [("risk", "VARCHAR"), ("severity", "VARCHAR"), ("estimated_impact", "DOUBLE"), ("owner", "VARCHAR"), ("recommendation", "VARCHAR")],
+    'k28_financial_risks_search': [("risk", "VARCHAR"), ("severity", "VARCHAR"), ("estimated_impact", "DOUBLE"), ("owner", "VARCHAR"), ("recommendation", "VARCHAR")],
     'k29_budget_variance': [("department", "VARCHAR"), ("budget", "DOUBLE"), ("actual", "DOUBLE"), ("variance", "DOUBLE"), ("variance_pct", "DOUBLE")],
     'm01': [("product_id", "BIGINT"), ("sku", "VARCHAR"), ("product_name", "VARCHAR"), ("brand_name", "VARCHAR"), ("is_active", "BOOLEAN"), ("current_list_price", "DOUBLE"), ("current_unit_cost", "DOUBLE"), ("primary_supplier_id", "BIGINT"), ("subcategory_id", "BIGINT"), ("subcategory_code", "VARCHAR"), ("subcategory_name", "VARCHAR"), ("category_id", "BIGINT"), ("category_code", "VARCHAR"), ("category_name", "VARCHAR")],
     'm02': [("order_item_id", "BIGINT"), ("order_id", "BIGINT"), ("order_number", "VARCHAR"), ("order_date", "DATE"), ("order_timestamp", "TIMESTAMP"), ("order_status", "VARCHAR"), ("customer_id", "BIGINT"), ("store_id", "BIGINT"), ("channel_id", "BIGINT"), ("campaign_id", "BIGINT"), ("employee_id", "BIGINT"), ("product_id", "BIGINT"), ("line_number", "BIGINT"), ("quantity", "BIGINT"), ("unit_price", "DOUBLE"), ("unit_cost", "DOUBLE"), ("discount_amount", "DOUBLE"), ("line_gross_amount", "DOUBLE"), ("line_net_amount", "DOUBLE"), ("line_cogs_amount", "DOUBLE"), ("line_gross_profit", "DOUBLE"), ("line_margin_pct", "DOUBLE"), ("promotion_id", "BIGINT"), ("is_gift", "BOOLEAN"), ("year_number", "BIGINT"), ("quarter_number", "BIGINT"), ("month_number", "BIGINT"), ("month_name", "VARCHAR"), ("week_of_year", "BIGINT"), ("season_name", "VARCHAR"), ("is_weekend", "BOOLEAN"), ("is_holiday", "BOOLEAN")],
