@@ -72,6 +72,37 @@ def test_override_resolves_other_view():
         resolve_view("nope")
 
 
+def test_every_problem_is_told_at_once():
+    with pytest.raises(QueryValidationError) as e:
+        ViewQuery(page=0, page_size=0, sort_dir="up", sort_by="a b", columns=())
+    assert len(e.value.problems) == 5
+    view = VIEWS["sales_summary"]
+    with pytest.raises(QueryValidationError) as e:
+        validate(ViewQuery(sort_by="store_id", columns=("secret",), filters=(FilterClause("store_code", "in", "S1"), FilterClause("other", "gt", 1)),
+                           date_from=dt.date(2024, 1, 1), date_column="net_sales"), view, list(view.allowed_columns))
+    assert len(e.value.problems) == 5
+
+
+def test_override_reads_a_stored_view_with_the_base_lists(spark):
+    base = _fixture_view(spark).build(None)
+    base.createOrReplaceGlobalTempView("daily_stand_in")
+    page = view_query(Catalog(spark, {}), "sales_summary", ViewQuery(sort_by="net_sales", columns=("net_sales",)),
+                      overrides={"sales_summary": "global_temp.daily_stand_in"})
+    assert [r.net_sales for r in page.rows.collect()] == [180.0, 150.0, 100.0]
+    with pytest.raises(QueryValidationError):
+        view_query(Catalog(spark, {}), "sales_summary", ViewQuery(sort_by="store_name"), overrides={"sales_summary": "global_temp.daily_stand_in"})
+    for bad in ("a.b; drop", "a..b", "nope", "a.b.c.d"):
+        with pytest.raises(QueryValidationError):
+            resolve_view("sales_summary", {"sales_summary": bad})
+
+
+@pytest.mark.parametrize("clause, rows", [(("store_code", "ne", "S1"), 1), (("net_sales", "gt", 100.0), 2), (("net_sales", "gte", 100.0), 3), (("net_sales", "lt", 150.0), 1),
+                                          (("net_sales", "lte", 150.0), 2), (("channel_name", "in", ["Online"]), 2), (("store_name", "like", "%Two"), 1),
+                                          (("store_name", "ilike", "%two"), 1), (("store_name", "is_null"), 0), (("store_name", "is_not_null"), 3)])
+def test_every_operator(spark, clause, rows):
+    assert view_query(Catalog(spark, {}), _fixture_view(spark), ViewQuery(filters=(FilterClause(*clause),))).rows.count() == rows
+
+
 def test_filter_sort_page(spark):
     cat = Catalog(spark, {})
     page = view_query(cat, _fixture_view(spark), ViewQuery(filters=(FilterClause("store_code", "eq", "S1"),),
