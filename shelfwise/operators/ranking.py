@@ -7,10 +7,10 @@ total order are computed the way a distributed sort does it:
 1. range-partition on the sort keys and sort inside each partition;
 2. tag each row with its partition id and its ordinal inside the partition
    (``monotonically_increasing_id`` = ``pid << 33 | ordinal``);
-3. freeze that assignment by writing the tagged rows once as a Parquet table
-   under the shared ``spark.checkpoint.dir`` (a lineage cut: a lost executor
-   cannot re-shuffle rows into a different order, and unlike an eager
-   ``checkpoint()`` the input is computed only once);
+3. hold the tagged rows (Spark's block store, from their first use on), so that the
+   counts and the rows themselves come from one range partitioning; no job runs
+   while the plan is built. A lost block comes out the same again: the bounds belong
+   to the shuffle, and the order inside a partition is total;
 4. prefix-sum the per-partition counts (one row per partition, broadcast) and
    add the offset.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.operators.materialize import freeze
+from shelfwise.operators.materialize import hold
 
 _ORD_BITS = 33
 
@@ -35,23 +35,17 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def global_row_number(df: DataFrame, order_by: list[Column], name: str = "row_number",
-                      total_name: str | None = None, num_partitions: int | None = None,
-                      materialize_input: bool = False) -> DataFrame:
+                      total_name: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row in ``order_by`` (a total order).
 
     If ``total_name`` is given, the total row count is added as well.
     """
     n = _partitions(df, num_partitions)
-    if materialize_input:
-        # range partitioning samples its input in a separate pass; with AQE the
-        # upstream shuffle stages are already materialised when it samples, so
-        # this is only needed for inputs without an exchange below them
-        df = freeze(df)
     tagged = (df.repartitionByRange(n, *order_by)
               .sortWithinPartitions(*order_by)
               .withColumn("_rk_pid", F.spark_partition_id())
               .withColumn("_rk_mono", F.monotonically_increasing_id()))
-    tagged = freeze(tagged)
+    tagged = hold(tagged)
     counts = tagged.groupBy("_rk_pid").agg(F.count(F.lit(1)).alias("_rk_n"))
     w = Window.orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -77,9 +71,9 @@ def ntile_expr(position: Column, total: Column, tiles: int) -> Column:
 
 
 def with_ntile(df: DataFrame, order_by: list[Column], tiles: int, name: str,
-               num_partitions: int | None = None, materialize_input: bool = False) -> DataFrame:
+               num_partitions: int | None = None) -> DataFrame:
     """``NTILE(tiles) OVER (ORDER BY order_by)`` over the whole frame, distributed."""
-    ranked = global_row_number(df, order_by, "_nt_pos", "_nt_total", num_partitions, materialize_input)
+    ranked = global_row_number(df, order_by, "_nt_pos", "_nt_total", num_partitions)
     return ranked.withColumn(name, ntile_expr(F.col("_nt_pos"), F.col("_nt_total"), tiles)) \
                  .drop("_nt_pos", "_nt_total")
 

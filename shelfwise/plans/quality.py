@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.expr import ratio, xdiv
-from shelfwise.operators.materialize import attach_scalars, freeze
 from shelfwise.sources.catalog import Catalog
 
 DEC = "decimal(38,6)"
@@ -99,40 +98,26 @@ def data_quality_summary(cat: Catalog, as_of: dt.date | None = None) -> DataFram
         for c in ("completeness", "missing_value_pct", "duplicate_pct", "validity", "consistency", "freshness",
                   "score"):
             scored = scored.withColumn(c, F.col(c).cast(DEC))
-        # five rows, read by six branches below: profile the tables exactly once
-        scored = freeze(scored)
-        overall = scored.agg(F.round(xdiv(F.sum("score"), F.count("score")), 6).cast(DEC).alias("overall_score"))
-
-        def text(c):
-            return F.coalesce(F.col(c).cast("string"), F.lit("n/a"))
-
-        metric = None
-        for check, col_name, prefix, msg_col, desc, (lo, hi) in CHECKS:
-            part = scored.select(
-                F.lit(check).alias("check_name"), "entity_name", F.lit("table").alias("namespace"),
-                F.col(col_name).alias("score"), _severity(F.col(col_name), lo, hi).alias("severity"),
-                F.concat(F.lit(prefix), text(msg_col)).alias("message"), F.lit(desc).alias("description"),
-                "missing_value_pct", "duplicate_pct", "freshness", "validity", "consistency", "completeness",
-                F.col("row_count").alias("invalid_records"))
-            metric = part if metric is None else metric.unionByName(part)
-        metric = attach_scalars(metric, overall)
-        metric = metric.select(
-            F.lit(as_of).alias("check_date"), F.lit(as_of).alias("as_of_date"), "check_name", "entity_name",
-            "namespace", "score", "severity", "message", "description", "overall_score",
-            F.col("overall_score").alias("dq_score"), F.col("overall_score").alias("quality_score"),
-            F.lit(OWNER).alias("owner"), "missing_value_pct", "duplicate_pct", "freshness", "validity", "consistency",
-            "completeness", "invalid_records")
-        nul = F.lit(None).cast(DEC)
-        o = F.col("overall_score")
-        overall_row = overall.select(
-            F.lit(as_of).alias("check_date"), F.lit(as_of).alias("as_of_date"), F.lit("overall_score").alias("check_name"),
-            F.lit("analytics.platform").alias("entity_name"), F.lit("overall").alias("namespace"), o.alias("score"),
-            _severity(o, 0.7, 0.9).alias("severity"),
-            F.concat(F.lit("Platform overall DQ score="), F.coalesce(o.cast("string"), F.lit("n/a"))).alias("message"),
-            F.lit(OVERALL_DESCRIPTION).alias("description"), o.alias("overall_score"), o.alias("dq_score"),
-            o.alias("quality_score"), F.lit(OWNER).alias("owner"),
-            *[nul.alias(c) for c in ("missing_value_pct", "duplicate_pct", "freshness", "validity", "consistency",
-                                     "completeness")],
-            F.lit(None).cast("long").alias("invalid_records"))
-        return metric.unionByName(overall_row)
+        # the five tables' rows become one, from which the overall score and all result rows are made
+        packed = scored.agg(F.collect_list(F.struct(*scored.columns)).alias("tables"),
+                            F.round(xdiv(F.sum("score"), F.count("score")), 6).cast(DEC).alias("overall"))
+        shown = ("missing_value_pct", "duplicate_pct", "freshness", "validity", "consistency", "completeness")
+
+        def row(check, entity, namespace, score, limits, prefix, said, about, profile=None):
+            told = F.concat(F.lit(prefix), F.coalesce(said.cast("string"), F.lit("n/a")))
+            return F.struct(F.lit(check).alias("check_name"), entity.alias("entity_name"), F.lit(namespace).alias("namespace"), score.alias("score"),
+                            _severity(score, *limits).alias("severity"), told.alias("message"), F.lit(about).alias("description"),
+                            *((profile[c] if profile is not None else F.lit(None).cast(DEC)).alias(c) for c in shown),
+                            (profile["row_count"] if profile is not None else F.lit(None).cast("long")).alias("invalid_records"))
+
+        def of_table(x):
+            return F.array(*(row(check, x["entity_name"], "table", x[score], limits, prefix, x[said], about, x)
+                             for check, score, prefix, said, about, limits in CHECKS))
+        o = F.col("overall")
+        every = F.concat(F.flatten(F.transform("tables", of_table)),
+                         F.array(row("overall_score", F.lit("analytics.platform"), "overall", o, (0.7, 0.9), "Platform overall DQ score=", o, OVERALL_DESCRIPTION)))
+        return packed.select("overall", F.inline(every)).select(
+            F.lit(as_of).alias("check_date"), F.lit(as_of).alias("as_of_date"), "check_name", "entity_name", "namespace", "score", "severity",
+            "message", "description", o.alias("overall_score"), o.alias("dq_score"), o.alias("quality_score"), F.lit(OWNER).alias("owner"), *shown,
+            "invalid_records")
     return cat.memo(f"m15@{as_of}", build)
