@@ -377,25 +377,11 @@ MARTS_BASIC = {
 }
 
 
-# Heavily reused marts, materialised once and read back by every later query
-PERSISTABLE = {
-    "m02": (fact_sales_line, ["year_number", "month_number"]),
-    "m03": (sales_daily, ["year_number", "month_number"]),
-    "m05": (customer_360, None),
-}
-
-
 def materialize(cat: Catalog, root: str, names=("m02", "m03", "m05")) -> dict[str, str]:
-    """Write the named marts under ``root`` (shared storage) and make ``cat``
-    serve them from there; month partitions let date filters prune files."""
-    from shelfwise.sources.ingest import persist_mart
-    written = {}
+    """Write the named marts under ``root`` (shared storage) and make ``cat`` serve them from there."""
+    from shelfwise.sources.mart_store import MartStore
+    store = MartStore(cat.spark, root)
+    written = store.save(cat, names)
     for name in names:
-        fn, parts = PERSISTABLE[name]
-        df = fn(cat)
-        path = f"{root.rstrip('/')}/{name}"
-        stored = persist_mart(df, path, parts).select(*df.columns)
-        key = f"{name}@{cat.as_of}" if name == "m05" else name
-        cat._extras[key] = stored
-        written[name] = path
+        cat._extras[store.marts[name].key(name, cat)] = store.frame(name)
     return written
