@@ -96,7 +96,7 @@ def q04(cat):
     r = cat.regions.select("region_id", "region_code", "region_name")
     per_store = (M.sold_order_facts(cat).where(F.col("store_id").isNotNull())
                  .groupBy("store_id").agg(F.sum("net_sales").alias("net"), F.count(F.lit(1)).alias("orders")))
-    g = (per_store.join(B(s), "store_id").join(B(r), "region_id")
+    g = (per_store.join(s, "store_id").join(B(r), "region_id")
          .groupBy("region_code", "region_name").agg(F.sum("net").alias("net"), F.sum("orders").alias("order_count")))
     return g.select("region_code", "region_name", _r2("net").alias("net_sales"), "order_count",
                     _share_of_total(g, "net").alias("region_share_pct")).orderBy(F.col("net_sales").desc_nulls_first())
@@ -107,7 +107,7 @@ def q05(cat):
     r = cat.regions.select("region_id", "region_name")
     per_store = (M.sold_order_facts(cat).where(F.col("store_id").isNotNull())
                  .groupBy("store_id").agg(F.sum("net_sales").alias("net")))
-    g = per_store.join(B(s), "store_id").join(B(r), "region_id")
+    g = per_store.join(s, "store_id").join(B(r), "region_id")
     return g.select("store_id", "store_code", "store_name", "store_format", "region_name",
                     _r2("net").alias("net_sales"), ratio("net", "selling_sq_ft", 2).alias("sales_per_sqft"),
                     F.rank().over(Window.orderBy(F.col("net").desc_nulls_first())).alias("sales_rank")
@@ -234,7 +234,7 @@ def q16(cat):
     ch = cat.channels.select("channel_id", "channel_name")
     # aggregate to (store, channel) first, then grouping sets over the small result
     base = (M.sold_order_facts(cat).groupBy("store_id", "channel_id").agg(F.sum("net_sales").alias("net"))
-            .join(B(s), "store_id", "left").join(B(r), "region_id", "left").join(B(ch), "channel_id"))
+            .join(s, "store_id", "left").join(B(r), "region_id", "left").join(B(ch), "channel_id"))
     g = base.groupingSets([["region_name", "channel_name"], ["region_name"], ["channel_name"], []],
                           "region_name", "channel_name").agg(
         F.sum("net").alias("net"), F.grouping("region_name").alias("is_region_total"),
@@ -349,7 +349,7 @@ def q27(cat):
     c = cat.customers.select("customer_id", "customer_type", "preferred_store_id")
     s = cat.stores.select(F.col("store_id").alias("preferred_store_id"), "state_code", "region_id")
     r = cat.regions.select("region_id", "region_name")
-    j = c.join(B(s), "preferred_store_id", "left").join(B(r), "region_id", "left")
+    j = c.join(s, "preferred_store_id", "left").join(B(r), "region_id", "left")
     return (j.groupBy("region_name", "state_code").agg(
         F.countDistinct("customer_id").alias("customers"),
         F.countDistinct(F.when(F.col("customer_type") == "Loyalty", F.col("customer_id"))).alias("loyalty_customers"))
@@ -500,7 +500,7 @@ def q40(cat):
            .agg(F.sum("labor_hours").alias("hours")))
     s = cat.stores.select("store_id", "store_code", "store_name", "region_id")
     r = cat.regions.select("region_id", "region_name")
-    j = ss.join(B(s), "store_id").join(B(r), "region_id").join(lab, "store_id", "left")
+    j = ss.join(s, "store_id").join(B(r), "region_id").join(lab, "store_id", "left")
     prod = xdiv("net", "hours")
     return j.select("store_code", "store_name", "region_name", _r2("net").alias("net_sales_90d"),
                     F.round("hours", 1).alias("labor_hours_90d"), ratio("net", "hours", 2).alias("sales_per_labor_hour"),
@@ -584,7 +584,7 @@ def q48(cat):
     mc = cat.marketing_campaigns.select("campaign_id", "campaign_code")
     s = cat.stores.select("store_id", "region_id")
     r = cat.regions.select("region_id", "region_name")
-    j = per.join(mc, "campaign_id").join(B(s), "store_id", "left").join(B(r), "region_id", "left")
+    j = per.join(mc, "campaign_id").join(s, "store_id", "left").join(B(r), "region_id", "left")
     return (j.groupBy("campaign_code", "region_name").agg(F.sum("orders").alias("attributed_orders"),
                                                          _r2(F.sum("net")).alias("net_sales"))
             .orderBy("campaign_code", F.col("net_sales").desc_nulls_first()))
@@ -689,7 +689,7 @@ def q54(cat):
 def q55(cat):
     cutoff = F.add_months(F.lit(cat.as_of), -13)
     eligible = cat.stores.where((F.col("open_date") <= cutoff) & (F.col("is_active") == True)).select("store_id")  # noqa
-    f = M.sold_order_facts(cat).join(B(eligible), "store_id", "left_semi")
+    f = M.sold_order_facts(cat).join(eligible, "store_id", "left_semi")
     m = f.groupBy(month_start("order_date").alias("month_start")).agg(F.sum("net_sales").alias("net"))
     prior = F.lag("net", 12).over(Window.orderBy("month_start"))
     return m.select("month_start", _r2("net").alias("sss_net_sales"),

@@ -339,7 +339,7 @@ def _region_filter_lines(cat, lines, region):
         return lines
     s = cat.stores.select("store_id", "region_id").join(cat.regions.select("region_id", "region_name"), "region_id")
     keep = s.where(F.col("region_name").isin(region)).select("store_id")
-    return lines.join(B(keep), "store_id", "left_semi")
+    return lines.join(keep, "store_id", "left_semi")
 
 
 def k08_category_performance(cat: Catalog, date_from=None, date_to=None, region=None, category=None,
@@ -435,7 +435,7 @@ def _customers(cat, region=None, segment=None, search=None) -> DataFrame:
     c = _search(c, search, ["customer_number", "customer_type", "loyalty_tier", "lifecycle_status"])
     s = cat.stores.select(F.col("store_id").alias("preferred_store_id"), "region_id")
     r = cat.regions.select("region_id", "region_name", "region_code")
-    c = (c.join(B(s), "preferred_store_id", "left").join(B(r), "region_id", "left")
+    c = (c.join(s, "preferred_store_id", "left").join(B(r), "region_id", "left")
          .withColumn("region", F.when(F.col("preferred_store_id").isNull(), F.lit("Unknown")).otherwise(_region_name()))
          .drop("region_id", "region_code"))
     if segment:  # D18: the segment filter really filters
@@ -617,7 +617,7 @@ def _inventory(cat, category=None, search=None, region=None) -> DataFrame:
         inv = inv.where(_isin_ci("category_name", category))
     if region:
         s = cat.stores.select("store_id", "region_id").join(cat.regions.select("region_id", "region_name"), "region_id")
-        inv = inv.join(B(s.where(F.col("region_name").isin(region)).select("store_id")), "store_id", "left_semi")
+        inv = inv.join(s.where(F.col("region_name").isin(region)).select("store_id"), "store_id", "left_semi")
     return inv
 
 

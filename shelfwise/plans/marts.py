@@ -114,7 +114,7 @@ def sales_daily(cat: Catalog) -> DataFrame:
         s = cat.stores.select("store_id", "store_code", "store_name", "store_format", "region_id")
         r = cat.regions.select("region_id", "region_code", "region_name")
         ch = cat.channels.select("channel_id", "channel_code", "channel_name")
-        return (agg.join(B(d), "order_date").join(B(s), "store_id", "left").join(B(r), "region_id", "left")
+        return (agg.join(B(d), "order_date").join(s, "store_id", "left").join(B(r), "region_id", "left")
                 .join(B(ch), "channel_id")
                 .select("order_date", "year_number", "quarter_number", "month_number", "store_id", "store_code",
                         "store_name", "store_format", "region_id", "region_code", "region_name", "channel_id",
@@ -214,7 +214,7 @@ def inventory_health(cat: Catalog) -> DataFrame:
         s = cat.stores.select("store_id", "store_name")
         dc = cat.distribution_centers.select("dc_id", "dc_name")
         return (i.join(p, "product_id").join(pcm, "product_id", "left")
-                .join(B(s), "store_id", "left").join(B(dc), "dc_id", "left")
+                .join(s, "store_id", "left").join(dc, "dc_id", "left")
                 .select("inventory_id", "product_id", "sku", "product_name", "category_name", "location_type",
                         "store_id", "store_name", "dc_id", "dc_name", "quantity_on_hand", "quantity_reserved",
                         "quantity_available", "reorder_point", "max_stock",
@@ -322,7 +322,7 @@ def shipment_performance(cat: Catalog) -> DataFrame:
         sh = cat.shipments
         o = cat.orders.select("order_id", "order_date")
         dc = cat.distribution_centers.select("dc_id", "dc_code", "dc_name")
-        j = (sh.join(o, "order_id").join(B(dc), "dc_id", "left")
+        j = (sh.join(o, "order_id").join(dc, "dc_id", "left")
              .withColumn("fulfillment_lead_time_days", days_between("ship_date", "order_date"))
              .withColumn("transit_days", days_between("delivery_date", "ship_date")))
         return j.select("shipment_id", "order_id", "order_date", "dc_id", "dc_code", "dc_name", "store_id",

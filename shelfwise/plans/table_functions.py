@@ -55,7 +55,7 @@ def store_performance(cat: Catalog, start, end) -> DataFrame:  # FN2
         F.sum("units").alias("units"))
     s = cat.stores.select("store_id", "store_code", "store_name", "region_id", "selling_sq_ft")
     r = cat.regions.select("region_id", "region_name")
-    j = per.join(B(s), "store_id").join(B(r), "region_id")
+    j = per.join(s, "store_id").join(B(r), "region_id")
     gp = F.col("net") - F.col("cogs")
     return j.select("store_id", "store_code", "store_name", "region_name", F.round("net", 2).alias("net_sales"),
                     F.round(gp, 2).alias("gross_profit"), ratio(gp, "net", 4).alias("margin_pct"),

@@ -187,7 +187,7 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
                           F.lit(None).cast("int").alias("parent_category_id"),
                           F.lit(1).cast("short").alias("category_level"))
         sub = (raw("part").select("p_type", "p_brand").distinct()
-               .join(F.broadcast(l1()), F.col("p_type") == F.col("l1_code"))
+               .join(l1(), F.col("p_type") == F.col("l1_code"))
                .select((F.col("l1_id") * 1000 + brand_no).alias("category_id"),
                        F.concat_ws("-", "p_type", "p_brand").alias("category_code"),
                        F.concat_ws(" ", "p_type", "p_brand").alias("category_name"),
@@ -199,7 +199,7 @@ def tpch_builders(spark: SparkSession, sf_dir: str) -> dict:
         k = F.col("p_partkey")
         price = F.col("p_retailprice").cast(MONEY)
         launched = F.date_add(_date("1994-01-01"), (k % 365).cast("int"))
-        return (raw("part").join(F.broadcast(l1()), F.col("p_type") == F.col("l1_code"))
+        return (raw("part").join(l1(), F.col("p_type") == F.col("l1_code"))
                 .select(k.alias("product_id"),
                         F.concat(F.lit("SKU-"), _pad(k, 8)).alias("sku"),
                         F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand_name"),
