@@ -345,6 +345,15 @@ CUTS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("cuts", pa.binar
 CUTS_SQL = "doc_id long, key long, cuts binary"
 
 
+def joined(ids, keys, start, end):
+    """Stretches by document, those that touch made one."""
+    order = np.lexsort((start, keys, ids))
+    ids, keys, start, end = ids[order], keys[order], start[order], end[order]
+    same = np.r_[False, (ids[1:] == ids[:-1]) & (keys[1:] == keys[:-1])][:len(ids)]
+    heads = np.flatnonzero(~(same & np.r_[False, start[1:] <= end[:-1]][:len(ids)]))
+    return ids[heads], keys[heads], start[heads], np.maximum.reduceat(end, heads) if len(heads) else end[:0]
+
+
 def spans(ids, keys, start, end):
     """One row a document: its stretches (start and end, int64), those that touch joined."""
     order = np.lexsort((start, keys, ids))
@@ -357,3 +366,41 @@ def spans(ids, keys, start, end):
     ends = [*docs[1:].tolist(), len(heads)]
     return pa.RecordBatch.from_arrays([pa.array(ids[heads][docs]), pa.array(keys[heads][docs]),
                                        pa.array([pairs[i:k].astype(np.int64).tobytes() for i, k in zip(docs.tolist(), ends)], pa.binary())], schema=CUTS)
+
+
+_PACKED = pa.schema([("group", pa.int32()), *((c, pa.binary()) for c in ("ids", "keys", "start", "end"))])
+PACKED_SQL = "group int, ids binary, keys binary, start binary, end binary"
+
+
+def packed(ids, keys, start, end, groups: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of many documents, a row for each group of documents."""
+    group = (mix(ids.astype(np.uint64) ^ mix(keys.astype(np.uint64))) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        yield row_of(_PACKED, int(group[some[0]]), *joined(*(x[some] for x in (ids, keys, start, end))))
+
+
+def _unpacked(at_once: int = 4_000_000):
+    def run(batches):
+        now, held, size = None, [], 0
+
+        def settle():
+            if held:
+                yield spans(*(np.concatenate(x) for x in zip(*held)))
+        for b in batches:
+            for r in b.to_pylist():
+                if r["group"] != now:
+                    yield from settle()
+                    now, held, size = r["group"], [], 0
+                held.append(tuple(np.frombuffer(r[c], np.int64) for c in ("ids", "keys", "start", "end")))
+                size += len(held[-1][0])
+                if size > at_once:
+                    held = [joined(*(np.concatenate(x) for x in zip(*held)))]
+                    size = 0
+        yield from settle()
+    return run
+
+
+def cuts_by_document(found: DataFrame, groups: int) -> DataFrame:
+    """doc_id, key and cuts (pairs of int64) of each document that has stretches."""
+    return found.repartition(groups, "group").sortWithinPartitions("group").mapInArrow(_unpacked(), CUTS_SQL)
