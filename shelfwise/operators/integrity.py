@@ -4,11 +4,11 @@ The rules are data (``operators.constraints``). They are compiled into few plans
 
 * NOT NULL, value lists, ranges and row conditions of a table are conditional sums
   of one aggregate, so the table is read once however many rules it has.
-* All keys of a table are grouped in one shuffle of (rule, key) pairs (SQL UNIQUE lets
-  NULL keys repeat).
-* All references of a table are read in one scan, reduced to distinct (referenced key,
-  value) pairs with their counts before the shuffle, and anti-joined with the
-  referenced keys of all tables at once.
+* A key is grouped by its own columns in their own types (SQL UNIQUE lets NULL keys
+  repeat), a reference by its columns with the count of its rows, then anti-joined with
+  the referenced key. Nothing turns into text before the shuffle, a table that is
+  already dealt by such a column is not dealt again, and references to one key share
+  its shuffle.
 
 ``check_summary`` has a row for every rule, with status ``not_checked`` where the catalog
 lacks its table or column. ``check`` gives the violating rows themselves, distributed.
@@ -21,11 +21,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.operators.constraints import EDGES, RULES, Rule
 from shelfwise.sources.catalog import TABLE_ORDER, Catalog
 
 BY_ROW = ("not_null", "domain", "range", "row")
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def applies(cat: Catalog, r: Rule) -> bool:
@@ -73,27 +75,52 @@ def _row_counts(cat: Catalog, rules: list[Rule]) -> list[DataFrame]:
     return out
 
 
-def _pairs(df: DataFrame, rules: list[Rule], *more: str) -> DataFrame:
-    """(rule, value) of each row and rule, without NULL keys."""
-    pairs = F.array(*(F.struct(F.lit(r.rule).alias("rule"), _text(r.columns).alias("value")) for r in rules))
-    return df.select(*more, F.inline(pairs)).where("value is not null")
+def _keyed(df: DataFrame, columns: Iterable[str], types: Iterable[str | None]) -> DataFrame:
+    """The key alone, its parts as k0, k1, ... in the given types (None: their own)."""
+    return df.select(*((F.col(c).cast(t) if t else F.col(c)).alias(f"k{i}") for i, (c, t) in enumerate(zip(columns, types))))
+
+
+def _whole(keys: DataFrame) -> DataFrame:
+    return keys.where(reduce(Column.__and__, (F.col(k).isNotNull() for k in keys.columns)))
+
+
+def _counted(keys: DataFrame) -> DataFrame:
+    """Keys with the number of their rows (0 for NULL)."""
+    return keys.groupBy(*keys.columns).agg(F.count("k0").alias("n"))
+
+
+def _told(found: DataFrame, r: Rule) -> DataFrame:
+    """rule, value and n of the keys found."""
+    return found.select(F.lit(r.rule).alias("rule"), _text(c for c in found.columns if c != "n").alias("value"), "n")
 
 
 def duplicates(cat: Catalog, rules: list[Rule]) -> DataFrame:
     """rule, value and n of the keys that stand more than once."""
-    pairs = _union([_pairs(cat[t], some) for t, some in _by_table(rules).items()])
-    return pairs.groupBy("rule", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = []
+    for r in rules:
+        keys = _keyed(cat[r.table], r.columns, [None] * len(r.columns))
+        # a key of one column is not filtered: the filter would reach the scan, and what the table shuffles to make
+        # the column could not be shared with its other rules
+        parts.append(_told(_counted(keys if len(r.columns) == 1 else _whole(keys)).where("n > 1"), r))
+    return _union(parts)
+
+
+def _common(own: T.DataType, other: T.DataType) -> str | None:
+    """The type in which a reference and its key compare as their texts would; None: their own."""
+    if own == other:
+        return None
+    return "long" if isinstance(own, WHOLE) and isinstance(other, WHOLE) else "string"
 
 
 def orphans(cat: Catalog, rules: list[Rule]) -> DataFrame:
     """rule, value and n (rows that have it) of the references to no row."""
-    target = {r.rule: f"{r.ref_table}.{','.join(r.ref_columns)}" for r in rules}
-    names = F.create_map(*(F.lit(x) for pair in target.items() for x in pair))
-    used = _union([_pairs(cat[t], some) for t, some in _by_table(rules).items()])
-    used = used.groupBy("rule", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("target", names[F.col("rule")])
-    keys = {f"{r.ref_table}.{','.join(r.ref_columns)}": r for r in rules}
-    held = _union([cat[r.ref_table].select(F.lit(name).alias("target"), _text(r.ref_columns).alias("value")) for name, r in keys.items()])
-    return used.join(held, ["target", "value"], "left_anti").select("rule", "value", "n")
+    parts = []
+    for r in rules:
+        df, ref = cat[r.table], cat[r.ref_table]
+        types = [_common(df.schema[c].dataType, ref.schema[k].dataType) for c, k in zip(r.columns, r.ref_columns)]
+        used, held = _counted(_whole(_keyed(df, r.columns, types))), _keyed(ref, r.ref_columns, types)
+        parts.append(_told(used.join(held, held.columns, "left_anti"), r))
+    return _union(parts)
 
 
 def check_summary(cat: Catalog, rules: list[Rule] | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
