@@ -50,3 +50,8 @@ def test_tables_made_of_lines_share_the_shuffle_of_their_ids(spark):
     df.collect()
     plan = _plan(df).split("Initial Plan")[0]
     assert len(re.findall(r"[^d]Exchange hashpartitioning\(l_orderkey", plan)) == 1
+
+
+def test_positions_meet_costs_before_months(spark):
+    plan = _plan(Catalog.from_tpch(spark, SF_SMALL).inventory_snapshots, "optimizedPlan")
+    assert plan.index("Generate explode") < plan.index("Join Inner")
