@@ -55,3 +55,34 @@ def test_tables_made_of_lines_share_the_shuffle_of_their_ids(spark):
 def test_positions_meet_costs_before_months(spark):
     plan = _plan(Catalog.from_tpch(spark, SF_SMALL).inventory_snapshots, "optimizedPlan")
     assert plan.index("Generate explode") < plan.index("Join Inner")
+
+
+def test_supplier_joins_carry_no_attributes_and_keep_every_repeat(spark):
+    import datetime as dt
+    d = dt.date(2024, 1, 1)
+
+    def day(n):
+        return d + dt.timedelta(days=n)
+    cat = make_catalog(spark, {
+        "suppliers": [{"supplier_id": 1, "supplier_code": "A", "lead_time_days_avg": 5}] * 2 + [{"supplier_id": 2, "supplier_code": "B"}, {"supplier_id": 2, "supplier_code": "C"}],
+        "purchase_orders": [{"purchase_order_id": p, "supplier_id": s, "order_date": d} for p, s in [(1, 1), (1, 1), (1, 2), (2, 1), (3, 2), (4, 1), (5, None)]],
+        "purchase_order_items": [{"po_item_id": i, "purchase_order_id": p, "quantity_ordered": q} for i, p, q in [(10, 1, 4), (11, 1, 5), (11, 1, 6), (20, 2, 7), (30, 3, 8), (50, 5, 9)]],
+        "goods_receipts": [{"receipt_id": r, "purchase_order_id": p, "receipt_date": day(n) if n else None, "is_on_time": t}
+                           for r, p, n, t in [(100, 1, 3, True), (100, 1, 9, False), (101, 1, None, None), (300, 3, 2, True)]],
+        "goods_receipt_items": [{"receipt_item_id": n, "receipt_id": r, "po_item_id": i, "quantity_received": q}
+                                for n, (r, i, q) in enumerate([(100, 10, 1), (100, 10, 2), (100, 11, 3), (101, 11, None), (300, 30, 8), (None, 30, 1)])]})
+    j = (cat.purchase_orders.select("purchase_order_id", "supplier_id", F.col("order_date").alias("d")).join(cat.suppliers, "supplier_id")
+         .join(cat.purchase_order_items.select("purchase_order_id", "po_item_id", "quantity_ordered"), "purchase_order_id")
+         .join(cat.goods_receipts.select("purchase_order_id", "receipt_id", "receipt_date", "is_on_time"), "purchase_order_id", "left")
+         .join(cat.goods_receipt_items.select("receipt_id", "po_item_id", "quantity_received"), ["receipt_id", "po_item_id"], "left"))
+    want = j.groupBy("supplier_id", "supplier_code").agg(
+        F.countDistinct("purchase_order_id"), F.sum("quantity_ordered"), F.coalesce(F.sum("quantity_received"), F.lit(0)),
+        F.round(F.avg(F.when(F.col("is_on_time"), 1.0).otherwise(0.0)), 6), F.round(F.avg(F.datediff("receipt_date", "d")), 6))
+    df = M.supplier_performance(cat)
+    got = df.select("supplier_id", "supplier_code", "po_count", "units_ordered", "units_received", F.round("on_time_rate", 6).cast("double"),
+                    F.round("avg_actual_lead_time_days", 6).cast("double"))
+
+    def rows(x):
+        return sorted(tuple(float(v) if v is not None and not isinstance(v, str) else v for v in r) for r in x.collect())
+    assert rows(got) == rows(want) and len(rows(got)) == 3
+    assert not re.search(r"hashpartitioning\([^)]*supplier_code[^)]*purchase_order_id", _plan(df))
