@@ -5,7 +5,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from fixtures import make_catalog
+from fixtures import D, make_catalog
 from shelfwise.operators import integrity as IC
 from shelfwise.plans import business as Q
 from shelfwise.plans import marts as M
@@ -57,6 +57,17 @@ def test_positions_meet_costs_before_months(spark):
     assert plan.index("Generate explode") < plan.index("Join Inner")
 
 
+def test_orders_of_a_product_are_counted_once(spark):
+    cat = make_catalog(spark, {
+        "orders": [{"order_id": i, "order_status": s} for i, s in [(1, "Completed"), (1, "Completed"), (2, "Returned"), (3, "Cancelled"), (None, "Completed")]],
+        "order_items": [{"order_item_id": n, "order_id": o, "product_id": p, "line_net_amount": D("1"), "quantity": 1}
+                        for n, (o, p) in enumerate([(1, 7), (1, 7), (1, 8), (2, 7), (3, 7), (None, 7), (2, None)])],
+        "products": [{"product_id": 7, "sku": "s7"}, {"product_id": 8, "sku": "s8"}]})
+    df = Q.q06(cat)
+    assert sorted((r.product_id, int(r.net_sales), r.units_sold, r.order_count) for r in df.collect()) == [(7, 5, 5, 2), (8, 2, 2, 1)]
+    assert not re.search(r"Aggregate \[product_id#\d+L?, order_id", _plan(df, "optimizedPlan"))
+
+
 def test_supplier_joins_carry_no_attributes_and_keep_every_repeat(spark):
     import datetime as dt
     d = dt.date(2024, 1, 1)
