@@ -4,8 +4,10 @@ The rules are data (``operators.constraints``). They are compiled into few plans
 
 * NOT NULL, value lists, ranges and row conditions of a table are conditional sums
   of one aggregate, so the table is read once however many rules it has.
-* A key is grouped by its own columns in their own types (SQL UNIQUE lets NULL keys
-  repeat), a reference by its columns with the count of its rows, then anti-joined with
+* The keys of a table are packed by the tasks that read it and compared where packs meet
+  (``operators.packed_keys``; SQL UNIQUE lets NULL keys repeat); the same pass counts its row rules.
+  Keys of types that cannot be packed are grouped in their own types.
+* A reference is grouped by its columns with the count of its rows, then anti-joined with
   the referenced key. Nothing turns into text before the shuffle, a table that is
   already dealt by such a column is not dealt again, and references to one key share
   its shuffle.
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfwise.operators import packed_keys as PK
 from shelfwise.operators.constraints import EDGES, RULES, Rule
 from shelfwise.sources.catalog import TABLE_ORDER, Catalog
 
@@ -50,12 +53,6 @@ def breaks(r: Rule) -> Column:
     return ~F.coalesce(sound, F.lit(True))
 
 
-def _text(columns: Iterable[str]) -> Column:
-    """A key as text; NULL if a part is. Lengths keep parts apart."""
-    parts = [F.col(c).cast("string") for c in columns]
-    return parts[0] if len(parts) == 1 else F.concat(*(x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)))
-
-
 def _by_table(rules: list[Rule]) -> dict[str, list[Rule]]:
     out: dict[str, list[Rule]] = {}
     for r in rules:
@@ -91,17 +88,27 @@ def _counted(keys: DataFrame) -> DataFrame:
 
 def _told(found: DataFrame, r: Rule) -> DataFrame:
     """rule, value and n of the keys found."""
-    return found.select(F.lit(r.rule).alias("rule"), _text(c for c in found.columns if c != "n").alias("value"), "n")
+    return found.select(F.lit(r.rule).alias("rule"), PK.text(c for c in found.columns if c != "n").alias("value"), "n")
+
+
+def _can_pack(cat: Catalog, r: Rule) -> bool:
+    return PK.forms(cat[r.table], r.columns) is not None
+
+
+def _rule_at(rules: list[Rule]) -> Column:
+    return F.array(*(F.lit(r.rule) for r in rules))[F.col("no")]
 
 
 def duplicates(cat: Catalog, rules: list[Rule]) -> DataFrame:
     """rule, value and n of the keys that stand more than once."""
-    parts = []
+    keys, parts = [r for r in rules if _can_pack(cat, r)], []
+    for table, some in _by_table(keys).items():
+        found = PK.repeated(cat[table], [r.columns for r in some], [])
+        parts.append(found.select(_rule_at(some).alias("rule"), F.col("key").cast("string").alias("value"), "n"))
     for r in rules:
-        keys = _keyed(cat[r.table], r.columns, [None] * len(r.columns))
-        # a key of one column is not filtered: the filter would reach the scan, and what the table shuffles to make
-        # the column could not be shared with its other rules
-        parts.append(_told(_counted(keys if len(r.columns) == 1 else _whole(keys)).where("n > 1"), r))
+        if r not in keys:  # by a type whose equality is Spark's to tell
+            keyed = _whole(_keyed(cat[r.table], r.columns, [None] * len(r.columns)))
+            parts.append(_told(_counted(keyed).where("n > 1"), r))
     return _union(parts)
 
 
@@ -127,10 +134,20 @@ def check_summary(cat: Catalog, rules: list[Rule] | None = None, kinds: tuple[st
     """rule, table, kind, status and violations (0 when sound, NULL when not checked) of every rule."""
     rules = [r for r in (RULES if rules is None else rules) if not kinds or r.kind in kinds]
     can = [r for r in rules if applies(cat, r)]
-    counts = _row_counts(cat, [r for r in can if r.kind in BY_ROW])
     unique, references = ([r for r in can if r.kind == k] for k in ("unique", "foreign_key"))
-    if unique:
-        counts.append(duplicates(cat, unique).groupBy("rule").agg(F.count(F.lit(1)).alias("violations")))
+    keys = [r for r in unique if _can_pack(cat, r)]
+    rows, keyed = _by_table([r for r in can if r.kind in BY_ROW]), _by_table(keys)
+    counts = _row_counts(cat, [r for t, some in rows.items() if t not in keyed for r in some])
+    packs = []
+    for table, some in keyed.items():  # the pass over its keys tells a table's row rules as well
+        beside = rows.get(table, [])
+        found = PK.repeated(cat[table], [r.columns for r in some], [breaks(r) for r in beside], told=False)
+        packs.append(found.select(_rule_at(some + beside).alias("rule"), "n"))
+    if packs:
+        counts.append(_union(packs).groupBy("rule").agg(F.sum("n").alias("violations")))
+    if len(keys) < len(unique):
+        others = duplicates(cat, [r for r in unique if r not in keys])
+        counts.append(others.groupBy("rule").agg(F.count(F.lit(1)).alias("violations")))
     if references:
         counts.append(orphans(cat, references).groupBy("rule").agg(F.sum("n").alias("violations")))
     checked = {r.rule for r in can}

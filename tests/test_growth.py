@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fixtures import D, make_catalog
 from shelfwise.operators import integrity as IC
+from shelfwise.operators import packed_keys as PK
 from shelfwise.plans import business as Q
 from shelfwise.plans import marts as M
 from shelfwise.sources.catalog import Catalog
@@ -97,3 +98,42 @@ def test_supplier_joins_carry_no_attributes_and_keep_every_repeat(spark):
         return sorted(tuple(float(v) if v is not None and not isinstance(v, str) else v for v in r) for r in x.collect())
     assert rows(got) == rows(want) and len(rows(got)) == 3
     assert not re.search(r"hashpartitioning\([^)]*supplier_code[^)]*purchase_order_id", _plan(df))
+
+
+def test_line_tables_are_numbered_by_one_shuffle_and_keys_travel_packed(spark):
+    cat = Catalog.from_tpch(spark, SF_SMALL)
+    tables = ("order_items", "return_items", "purchase_order_items", "goods_receipt_items", "inventory_snapshots")
+    df = IC.check_summary(cat, [r for r in IC.RULES if r.kind in ("unique", "not_null") and r.table in tables])
+    df.collect()
+    plan = _plan(df).split("Initial Plan")[0]
+    assert len(re.findall(r"\+- Exchange hashpartitioning\(l_orderkey#\d+L?, l_linenumber", plan)) == 1
+    assert "hashpartitioning(k0" not in plan and plan.count("MapInArrow") >= len(tables)
+
+
+def test_packed_keys_repeat_as_grouped_ones_do(spark):
+    top = 2**63 - 1
+    rows = [(i % 700 * 20011 - 5_000_000, i % 11, f"é{i % 500}" + "x" * (i % 3), f"1990-01-{i % 28 + 1:02d}") for i in range(2000)]
+    rows += [(top, 1, "", "0001-01-01"), (-top - 1, 2, "a\0", "9999-12-31"), (top, 1, "a", "10000-01-01"), (None, 3, None, None), (-top - 1, None, "", None),
+             (None, None, "a\0", "10000-01-01"), (0, 3, "1:2", None), (0, 3, "1", None)]
+    rows += rows[:40]
+    df = spark.createDataFrame(rows, "a long, b int, c string, d string").selectExpr("a", "b", "c", "cast(if(length(d) > 10, '+' || d, d) as date) AS d").repartition(5)
+    keys = [("a",), ("a", "b"), ("c",), ("b", "c"), ("d",), ("b", "d", "a"), ("d", "c")]
+    bad = [F.col("a").isNull(), F.col("b") == 3]
+    got = PK.repeated(df, keys, bad).selectExpr("no", "cast(key AS string)", "n").collect()
+    want = []
+    for i, columns in enumerate(keys):
+        grouped = df.dropna(subset=list(columns)).groupBy(*columns).count().where("count > 1")
+        want += [(i, *r) for r in grouped.select(PK.text(columns), "count").collect()]
+    want += [(len(keys) + i, None, df.where(c).count()) for i, c in enumerate(bad)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert set(range(9)) == {w[0] for w in want}
+    counted = {r.no: r.n for r in PK.repeated(df, keys, [], told=False).groupBy("no").agg(F.sum("n").alias("n")).collect()}
+    assert counted == {i: sum(w[0] == i for w in want) for i in range(len(keys))}
+
+
+def test_keys_of_no_packed_type_are_grouped(spark):
+    from types import MappingProxyType
+    df = spark.createDataFrame([(1.5, 1), (1.5, 2), (0.0, 3), (-0.0, 4), (None, 5), (None, 6)], "order_id double, order_number int")
+    rules = [r for r in IC.RULES if r.kind == "unique" and r.table == "orders"]
+    found = IC.duplicates(MappingProxyType({"orders": df}), rules).collect()
+    assert sorted((r.rule, float(r.value), r.n) for r in found) == [("pk_orders_unique", 0.0, 2), ("pk_orders_unique", 1.5, 2)]
